@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import contamination, fingerprint, language, mixing, sharding
-from foliate.llm.common import bucket_of_id, table
+from foliate.llm import contamination, fingerprint, language, mixing, sharding, toxicity, warc
+from foliate.llm.common import bucket_of_id, shared_path, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = shared_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), archive)
+
+    def page(urn: str):
+        return F.regexp_extract(urn, r"<urn:page:(-?\d+)>", 1).try_cast("long")
+
+    records = warc.read_warc(spark, archive)
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +31,15 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(bucket_of_id("doc_id", 3) == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    model = toxicity.train(toxicity.sample(documents, labels))
+    scored = toxicity.score(documents.select("doc_id", "text", held_out.alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -40,14 +60,25 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
     "op3_shards": op3_shards,
+    "op4_toxicity": op4_toxicity,
     "op6_mix": op6_mix,
     "op7_language": op7_language,
     "op9_fingerprint": op9_fingerprint,
 }
 
 ORACLES = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, t, strlen(t) AS n, min(page_id) OVER (PARTITION BY t) AS first,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((('0x' || substr(h, 5 * (i // 4) + 1, 5))::INTEGER >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS digest FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM d
+""",
     "op2_decontaminate": f"""
 WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
