@@ -102,13 +102,14 @@ class ByteNetwork:
         return self
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
-        """Label and probability of each text, from the mean over its windows."""
+        """Label and probability of each text: the mean over its windows, by their bytes."""
         parts = [windows(t) for t in texts]
         z = self.logits(np.concatenate(parts))
-        sums = np.add.reduceat(z, np.cumsum([0, *map(len, parts)])[:-1], axis=0) / np.array([len(p) for p in parts])[:, None]
-        p = np.exp(sums - sums.max(1, keepdims=True))
+        p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        return [(self.labels[i], float(q[i])) for q, i in zip(p, p.argmax(1), strict=True)]
+        share = np.concatenate([(np.minimum(WINDOW, len(t) - WINDOW * np.arange(len(w))) / len(t)) for t, w in zip(texts, parts, strict=True)])
+        p = np.add.reduceat(p * share[:, None], np.cumsum([0, *map(len, parts)])[:-1], axis=0)
+        return [(self.labels[i], min(1.0, float(q[i]))) for q, i in zip(p, p.argmax(1), strict=True)]
 
 
 def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", seed: int = SEED) -> ByteNetwork | None:

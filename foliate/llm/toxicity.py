@@ -24,6 +24,8 @@ WORD_PRIOR, PREFIX_PRIOR = 2.0, 5.0
 DRIFT = 0.7
 #: Passages with fewer expected chance hits in a document than this are significant.
 SIGNIFICANT = 0.05
+#: Weight of the toxic documents, of 1, in the calibration.
+TOXIC_WEIGHT = 0.2
 #: Cached token scores in a task.
 CACHE = 500_000
 
@@ -82,6 +84,10 @@ class Model:
         up = s > 0
         if not up.any():
             return []
+        again: dict[bytes, int] = {}
+        for i in np.flatnonzero(up):  # the n-th time a word counts for an n-th
+            again[tokens[i]] = n = again.get(tokens[i], 0) + 1
+            s[i] /= n
         # neighbours of one sign act as one
         edge = np.flatnonzero(np.diff(up, prepend=not up[0]))
         ends = np.append(edge[1:], len(s))
@@ -174,9 +180,9 @@ def _karlin(share: np.ndarray, score: np.ndarray) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method with a small ridge; classes weigh alike."""
+    """Slope and offset by Newton's method with a small ridge; the toxic class weighs TOXIC_WEIGHT."""
     a, b = 0.1, 0.0
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = np.where(y == 1, TOXIC_WEIGHT / max(1, (y == 1).sum()), (1 - TOXIC_WEIGHT) / max(1, (y == 0).sum()))
     x = np.clip(x, -30, 60)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
