@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SIZE_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Documents that a bin of the seeded order holds on average.
 BIN_ROWS = 500
+#: So many patterns' plans are broadcast.
+BROADCAST_PATTERNS = 100_000
 
 
 def n_words(text: str) -> Column:
@@ -169,12 +171,13 @@ def mix(
         return rows.drop("_hash", "_key").selectExpr("*", *empty)
     spark = documents.sparkSession
     plan = spark.createDataFrame(_plan(totals, weights, share, repeats, bin_rows), "_key string, source_size long, target double, rounds long, rest long, bins long")
-    # one row a pattern; patterns were counted above, and small plans are broadcast
-    plan = F.broadcast(plan) if len(totals) <= 100_000 else plan
+    # a row of numbers a pattern, and the patterns are counted: broadcast, or joined by a shuffle if there are many
+    few = len(totals) <= BROADCAST_PATTERNS
+    plan = F.broadcast(plan) if few else plan
     rows = rows.join(plan, "_key").withColumn("_bin", F.floor((F.shiftrightunsigned("_hash", 1) / float(1 << 63)) * F.col("bins")).cast("long"))
     bins = rows.groupBy("_key", "_bin").agg(F.sum("size").alias("w"), F.first("rest").alias("rest"))
     edges = _edges(bins)
-    rows = rows.join(edges, "_key", "left")
+    rows = rows.join(F.broadcast(edges) if few else edges, "_key", "left")
     base = F.col("rounds") * F.col("size")
     inside = F.col("_bin") == F.col("_edge")
     columns = [c for c in rows.columns if c not in {"_hash", "_key", "rounds", "rest", "bins", "_bin", "_edge", "_room"}]
