@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import contamination, fingerprint, language, mixing, sharding, toxicity, warc
+from foliate.llm import contamination, fingerprint, language, mixing, personal, sharding, toxicity, warc
 from foliate.llm.common import bucket_of_id, shared_path, table
 
 
@@ -40,6 +40,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal.find(documents, personal.train(documents))
+    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select("doc_id", *count, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -64,6 +75,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_shards": op3_shards,
     "op4_toxicity": op4_toxicity,
+    "op5_personal": op5_personal,
     "op6_mix": op6_mix,
     "op7_language": op7_language,
     "op9_fingerprint": op9_fingerprint,
