@@ -59,14 +59,14 @@ def bucket_of_id(column: str, modulus: int) -> Column:
 ROWS = 1000
 
 
-def append(df: DataFrame, inputs: list[str], fields: str, function: Callable[..., list[list]]) -> DataFrame:
+def append(df: DataFrame, inputs: list[str], fields: str, function: Callable[..., list[list]], keep: list[str] | None = None) -> DataFrame:
     """The rows with new columns, computed in batches from the lists of values of some columns.
 
-    Other columns pass through untouched in Arrow. Columns that clash with a new one are replaced.
+    Other columns, or those of ``keep``, pass through untouched in Arrow. Columns that clash with a new one are replaced.
     """
     new = StructType.fromDDL(fields)
-    kept = df.select(*(c for c in df.columns if c not in new.names or c in inputs))
-    passed = [c for c in kept.columns if c not in new.names]
+    passed = [c for c in (df.columns if keep is None else keep) if c not in new.names]
+    kept = df.select(*dict.fromkeys([*passed, *inputs]))
     out = StructType([kept.schema[c] for c in passed] + new.fields)
     arrow = to_arrow_schema(new)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import contamination, fingerprint, language, mixing, personal, sharding, toxicity, warc
+from foliate.llm import contamination, fingerprint, language, mixing, personal, sharding, similarity, toxicity, warc
 from foliate.llm.common import bucket_of_id, shared_path, table
 
 
@@ -70,6 +70,10 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 QUERIES = {
@@ -81,9 +85,24 @@ QUERIES = {
     "op6_mix": op6_mix,
     "op7_language": op7_language,
     "op9_fingerprint": op9_fingerprint,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLES = {
+    "op10_jaccard": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+t AS (SELECT w, min(doc_id) AS rep, count(*) AS n_copies FROM d WHERE len(w) > 0 GROUP BY w),
+s AS (SELECT DISTINCT rep, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT rep, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM t)),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+o AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rep != b.rep GROUP BY a.rep, b.rep),
+e AS (SELECT a, b FROM o JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE c >= 0.8 * (x.n + y.n - c)),
+r AS (SELECT rep AS node, rep AS seen FROM t UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT node AS rep, min(seen) AS class_id FROM r GROUP BY node),
+l AS (SELECT a AS rep, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(l.n_links, 0) AS n_links, coalesce(t.n_copies, 1) AS n_copies
+FROM d LEFT JOIN t ON d.w = t.w AND len(d.w) > 0 LEFT JOIN c ON c.rep = t.rep LEFT JOIN l ON l.rep = t.rep
+""",
     "op1_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT page_id, t, strlen(t) AS n, min(page_id) OVER (PARTITION BY t) AS first,
