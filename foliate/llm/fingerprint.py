@@ -6,6 +6,7 @@ import hashlib
 import math
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ BASES = (1_000_003, 998_244_353)
 CHECKPOINTS = 32
 #: UTF-8 bytes of text that a range of ids holds on average.
 RANGE_BYTES = 32 << 20
+#: So many ranges' ids are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_RANGES = 100_000
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -112,10 +115,16 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _pack(texts: list) -> list[list]:
+    press = zstandard.ZstdCompressor(level=3)
+    return [[None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in texts]]
+
+
 def _measure(texts: list, nexts: list) -> list[list]:
-    rows = []
+    rows, press = [], zstandard.ZstdDecompressor()
+    unpack = lambda z: press.decompress(z).decode("utf-8", "surrogatepass") if z else ""
     for text, following in zip(texts, nexts, strict=True):
-        text, following = text or "", following or ""
+        text, following = unpack(text), unpack(following)
         changed = edit(text, following)
         whole = PrefixHash(code_points(text)).fingerprint()
         other = PrefixHash(code_points(changed)).fingerprint()
@@ -126,36 +135,38 @@ def _measure(texts: list, nexts: list) -> list[list]:
 
 
 def fingerprint(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The documents with ``n_chars``, ``fingerprint`` and what an edit does to it.
+    """The documents, without their text, with ``n_chars``, ``fingerprint`` and what an edit does to it.
 
     The edited text ends in the beginning of the next document by descending
     id; after the last comes the first. The ids are cut into ranges at
-    quantiles, known to the plan, and each range is sorted; only the first
-    document of each range goes to its neighbour.
+    quantiles, known to the plan, and each range is sorted; texts go there
+    packed, once. Only the first document of each range goes to its neighbour.
 
     Null texts count as empty. Rows with a null id come last, in one range;
     rows that share an id follow each other by their text's hash. An empty
     table gives an empty result. Clashing columns are replaced.
     """
     made = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    rows = documents.select(*(c for c in documents.columns if c not in made), F.lit(None).cast("string").alias("_next"), F.xxhash64(text).alias("_tie")).drop("_next")
+    keep = [c for c in documents.columns if c not in made and c != text]
     total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
     ranges = max(1, math.ceil(total / range_bytes))
     cuts = sorted(set(documents.approxQuantile(doc_id, [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
     bounds = F.array(*(F.lit(int(c)) for c in cuts)).cast("array<long>")
-    part = F.when(F.col(doc_id).isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(doc_id)))) if cuts else F.when(F.col(doc_id).isNull(), -1).otherwise(0)
-    rows = rows.withColumn("_part", part)
-    order = [F.col(doc_id).desc_nulls_last(), F.col("_tie")]
-    heads = rows.groupBy("_part").agg(F.max_by(F.struct(doc_id, "_tie"), F.struct(F.coalesce(F.col(doc_id), F.lit(0)), -F.col("_tie"))).alias("h"))
-    heads = heads.select("_part", f"h.{doc_id}", "h._tie")
-    texts = rows.select("_part", F.col(doc_id).alias("_id"), "_tie", F.col(text).alias("_head"))
-    # a row a range: as many as the data have times range_bytes, joined without a broadcast hint
-    heads = heads.join(texts, (heads["_part"] == texts["_part"]) & heads[doc_id].eqNullSafe(texts["_id"]) & (heads["_tie"] == texts["_tie"])).select(heads["_part"], "_head").dropDuplicates(["_part"])
+    part = F.when(F.col(doc_id).isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(doc_id))))
+    rows = documents.select(*keep, text, part.alias("_part"), F.xxhash64(text).alias("_tie"))
+    heads = rows.groupBy("_part").agg(F.max(F.struct(F.col(doc_id).alias("_id"), (-F.col("_tie")).alias("_less"))).alias("h"))
+    heads = heads.select("_part", F.col("h._id").alias("_id"), (-F.col("h._less")).alias("_tie"))
+    # a row of three numbers for each range, of which there are as many as the data have times range_bytes
+    heads = F.broadcast(heads) if ranges <= BROADCAST_RANGES else heads
+    first = rows.join(heads, ["_part", "_tie"], "left_semi").join(heads.select("_part", "_id"), "_part").where(F.col(doc_id).eqNullSafe(F.col("_id")))
+    first = append(first, [text], "_head binary", _pack, ["_part"]).groupBy("_part").agg(F.first("_head").alias("_head"))
     ring = Window.orderBy(F.col("_part").desc())
-    everything = Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("_part", F.coalesce(F.lead("_head").over(ring), F.first("_head").over(everything)).alias("_head"), F.lit(True).alias("_known"))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    rows = rows.withColumn("_next", F.lead(F.coalesce(F.col(text), F.lit(""))).over(inside))
-    rows = rows.join(heads.drop("_known"), "_part", "left").withColumn("_next", F.coalesce("_next", "_head"))
+    everything = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = first.select("_part", F.coalesce(F.lead(F.coalesce("_head", F.lit(b""))).over(ring), F.first("_head").over(everything)).alias("_head"))
+    packed = append(rows, [text], "_text binary", _pack, [*keep, "_part", "_tie"])
+    inside = Window.partitionBy("_part").orderBy(F.col(doc_id).desc_nulls_last(), "_tie")
+    packed = packed.withColumn("_next", F.lead(F.coalesce("_text", F.lit(b""))).over(inside))
+    # the ranges stand where they are for this join; only the first documents' texts move
+    both = packed.join(first, "_part", "left").withColumn("_next", F.coalesce("_next", "_head"))
     fields = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return append(rows.drop("_part", "_tie", "_head"), [text, "_next"], fields, _measure).drop("_next")
+    return append(both, ["_text", "_next"], fields, _measure, keep)
