@@ -117,7 +117,7 @@ def edit(text: str, following: str) -> str:
 
 def _pack(texts: list) -> list[list]:
     press = zstandard.ZstdCompressor(level=3)
-    return [[None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in texts]]
+    return [[press.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]]
 
 
 def _measure(texts: list, nexts: list) -> list[list]:
@@ -162,10 +162,10 @@ def fingerprint(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     first = append(first, [text], "_head binary", _pack, ["_part"]).groupBy("_part").agg(F.first("_head").alias("_head"))
     ring = Window.orderBy(F.col("_part").desc())
     everything = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = first.select("_part", F.coalesce(F.lead(F.coalesce("_head", F.lit(b""))).over(ring), F.first("_head").over(everything)).alias("_head"))
+    first = first.select("_part", F.coalesce(F.lead("_head").over(ring), F.first("_head").over(everything)).alias("_head"))
     packed = append(rows, [text], "_text binary", _pack, [*keep, "_part", "_tie"])
     inside = Window.partitionBy("_part").orderBy(F.col(doc_id).desc_nulls_last(), "_tie")
-    packed = packed.withColumn("_next", F.lead(F.coalesce("_text", F.lit(b""))).over(inside))
+    packed = packed.withColumn("_next", F.lead("_text").over(inside))
     # the ranges stand where they are for this join; only the first documents' texts move
     both = packed.join(first, "_part", "left").withColumn("_next", F.coalesce("_next", "_head"))
     fields = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
