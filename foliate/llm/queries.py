@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import contamination, fingerprint, language, mixing, personal, sharding, similarity, toxicity, warc
+from foliate.llm import contamination, fingerprint, language, lines, mixing, personal, sharding, similarity, toxicity, warc
 from foliate.llm.common import bucket_of_id, shared_path, table
 
 
@@ -65,6 +65,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    numbers = F.array_join(F.transform("removed", lambda i: i.cast("string")), ",")
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), numbers.alias("removed"))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = fingerprint.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -84,11 +90,25 @@ QUERIES = {
     "op5_personal": op5_personal,
     "op6_mix": op6_mix,
     "op7_language": op7_language,
+    "op8_lines": op8_lines,
     "op9_fingerprint": op9_fingerprint,
     "op10_jaccard": op10_jaccard,
 }
 
 ORACLES = {
+    "op8_lines": """
+WITH d AS (SELECT doc_id, CASE WHEN length(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS no FROM d),
+w AS (SELECT doc_id, no, list_sort(list_distinct(list_filter(string_split(lower(line), ' '), lambda x: x != ''))) AS t FROM l),
+s AS (SELECT t, min({'d': doc_id, 'l': no}) AS first FROM w WHERE len(t) > 0 GROUP BY t),
+j AS (SELECT DISTINCT b.t FROM s a JOIN s b ON a.first < b.first AND len(a.t) >= 0.8 * len(b.t) AND len(b.t) >= 0.8 * len(a.t)
+  WHERE len(list_intersect(a.t, b.t)) >= 0.8 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))),
+g AS (SELECT w.doc_id, w.no FROM w JOIN s ON w.t = s.t LEFT JOIN j ON j.t = w.t
+  WHERE j.t IS NOT NULL OR s.first != {'d': w.doc_id, 'l': w.no})
+SELECT d.doc_id, CAST(len(d.ls) AS BIGINT) AS n_lines, count(g.no) AS n_removed,
+  coalesce(string_agg(CAST(g.no AS VARCHAR), ',' ORDER BY g.no), '') AS removed
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id, d.ls
+""",
     "op10_jaccard": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 t AS (SELECT w, min(doc_id) AS rep, count(*) AS n_copies FROM d WHERE len(w) > 0 GROUP BY w),
