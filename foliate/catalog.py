@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from foliate.plans import documents
+
+QUERIES: dict = {**documents.QUERIES}
+ORACLES: dict[str, str] = {**documents.ORACLES}
