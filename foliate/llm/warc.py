@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import math
 import re
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from foliate.llm.common import cut
 
-#: Records in an archive at most; a task holds one archive.
-ARCHIVE_RECORDS = 4096
+#: Records in an archive at most; a task holds one archive, and its chain takes ten rounds of pointer jumping.
+ARCHIVE_RECORDS = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -31,7 +32,7 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
     """Writes a record a page. Of equal payloads of ``min_bytes`` or more the page with the least id is a response, the others revisit it.
 
     The text writer ends each row with the two line ends that end a WARC
-    record, so executors write the archives and Spark commits them. Payloads
+    record, so executors write the archives, gzipped, and Spark commits them. Payloads
     are grouped by digest before anything is shuffled, and only digests that
     occur twice are joined back; a digest of a third of all pages is split by
     the skew handling of the join.
@@ -63,7 +64,7 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "),
     )
     record = rows.select(head.alias("head"), block.alias("block")).select(F.concat("head", F.octet_length("block").cast("string"), F.lit("\r\n\r\n"), "block").alias("value"))
-    record.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", archive_records).text(path)
+    record.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", archive_records).option("compression", "gzip").text(path)
 
 
 def scan(content: bytes) -> Iterator[dict]:
@@ -97,7 +98,9 @@ def candidates(spark: SparkSession, path: str, payload: bool = False) -> DataFra
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows = []
-                for c in scan(content.as_py()):
+                data = content.as_py()
+                # gzip members, one for a file or one for a record, are one stream; offsets count its bytes
+                for c in scan(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     f = c["fields"]
                     response = f.get("warc-type") != "revisit"
                     if response:
@@ -113,7 +116,7 @@ def candidates(spark: SparkSession, path: str, payload: bool = False) -> DataFra
 
     schema = SCHEMA + (", payload string" if payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,warc}").load(path)
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,warc,gz}").load(path)
     return archives.select("path", "content").mapInArrow(run, schema)
 
 
