@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliate.plans import documents
+from foliate.plans import documents, manuscripts
 
-QUERIES: dict = {**documents.QUERIES}
-ORACLES: dict[str, str] = {**documents.ORACLES}
+QUERIES: dict = {**documents.QUERIES, **manuscripts.QUERIES}
+ORACLES: dict[str, str] = {**documents.ORACLES, **manuscripts.ORACLES}
