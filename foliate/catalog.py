@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from foliate.plans import documents, manuscripts
+from foliate.plans import documents, graphs, manuscripts
 
-QUERIES: dict = {**documents.QUERIES, **manuscripts.QUERIES}
-ORACLES: dict[str, str] = {**documents.ORACLES, **manuscripts.ORACLES}
+PLANS = (documents, manuscripts, graphs)
+QUERIES: dict = {name: function for plan in PLANS for name, function in plan.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
