@@ -164,6 +164,7 @@ def fingerprint(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     everything = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = first.select("_part", F.coalesce(F.lead("_head").over(ring), F.first("_head").over(everything)).alias("_head"))
     packed = append(rows, [text], "_text binary", _pack, [*keep, "_part", "_tie"])
+    packed = packed.repartitionById(ranges + 1, F.col("_part") + 1)
     inside = Window.partitionBy("_part").orderBy(F.col(doc_id).desc_nulls_last(), "_tie")
     packed = packed.withColumn("_next", F.lead("_text").over(inside))
     # the ranges stand where they are for this join; only the first documents' texts move

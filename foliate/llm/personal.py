@@ -266,7 +266,9 @@ def _fitted(contexts: tuple[str, ...]) -> Tagger:
 def train(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", seed: int = SEED) -> Tagger:
     """A tagger from labelled spans in the text of CONTEXTS documents at most, CONTEXT_CHARS of each, picked by a seeded hash."""
     drawn = documents.where(F.length(text) > 0).select(F.xxhash64(F.lit(seed), doc_id).alias("d"), F.substring(text, 1, CONTEXT_CHARS).alias("t"))
-    return _fitted(tuple(r.t for r in drawn.orderBy("d", "t").limit(CONTEXTS).collect()))
+    least = [r.d for r in drawn.select("d").orderBy("d").limit(CONTEXTS).collect()]
+    rows = drawn.where(F.col("d") <= least[-1]).orderBy("d", "t").limit(CONTEXTS).collect() if least else []
+    return _fitted(tuple(r.t for r in rows))
 
 
 def window_starts(text: str) -> list[int]:

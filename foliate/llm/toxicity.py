@@ -203,7 +203,9 @@ def sample(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
     """
     labels = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isin(0, 1)).groupBy(doc_id).agg(F.max(toxic).alias("_toxic"))
     labels = labels.withColumn("_draw", F.xxhash64(F.lit(seed), doc_id))
-    picked = [labels.where(F.col("_toxic") == y).orderBy("_draw", doc_id).limit(SAMPLE) for y in (0, 1)]
+    counts = {r["_toxic"]: r["count"] for r in labels.groupBy("_toxic").count().collect()}
+    drawn = F.shiftrightunsigned("_draw", 1) / float(1 << 63)
+    picked = [labels.where((F.col("_toxic") == y) & (drawn < min(1.0, 1.15 * SAMPLE / counts.get(y, SAMPLE)))).orderBy("_draw", doc_id).limit(SAMPLE) for y in (0, 1)]
     picked = picked[0].unionAll(picked[1]).select(doc_id, "_toxic", F.pmod(F.shiftright("_draw", 7), F.lit(FOLDS)).alias("_fold"))
     return documents.join(F.broadcast(picked), doc_id).withColumnRenamed("_toxic", toxic)
 

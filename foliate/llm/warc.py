@@ -60,7 +60,7 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
         F.lit(f"\r\nWARC-Date: {DATE}"),
         F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]+", " ")), F.lit("")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
-        F.coalesce(F.concat(F.lit("\r\nWARC-Refers-To: "), urn(refers), F.lit(f"\r\nWARC-Profile: {PROFILE}")), F.lit("")),
+        F.when(refers.isNull(), "").otherwise(F.concat(F.lit("\r\nWARC-Refers-To: "), urn(refers), F.lit(f"\r\nWARC-Profile: {PROFILE}"))),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "),
     )
     record = rows.select(head.alias("head"), block.alias("block")).select(F.concat("head", F.octet_length("block").cast("string"), F.lit("\r\n\r\n"), "block").alias("value"))

@@ -1,0 +1,465 @@
+"""Each corpus operator against a brute-force version on small tables, with nulls, empty and repeated rows and clashing columns."""
+
+import base64
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from foliate.llm import components, contamination, fingerprint, language, lines, mixing, personal, sharding, similarity, toxicity, warc
+from foliate.llm.common import words
+
+DOCS = "doc_id long, text string, size string, score string, items string, class_id string"
+
+
+def text(seed, n, vocabulary=400):
+    draw = random.Random(seed)
+    return " ".join(f"w{draw.randrange(vocabulary)}" for _ in range(n))
+
+
+def docs(spark, texts, first=0):
+    return spark.createDataFrame([(first + i, t, "x", "x", "x", "x") for i, t in enumerate(texts)], DOCS)
+
+
+ODD = [None, "", " ", "\n\n", "one", "ä", "one", text(1, 3000)]
+
+
+# WARC
+
+
+def test_warc_round_trip(spark, tmp_path):
+    fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 4\r\n\r\nfake\r\n\r\n"
+    pages = [(5, "http://a\r\nb", "same"), (3, None, "same"), (9, "u", "same"), (1, "u", None), (2, "u", ""), (4, "u", fake), (6, "u", "x" * 50_000), (7, "u", "é\r\n\r\n" + fake), (None, "u", "same")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    warc.write_warc(df.repartition(2), f"{tmp_path}/w", archive_records=3)
+    out = warc.read_warc(spark, f"{tmp_path}/w", payload=True).collect()
+    assert len(out) == len(pages)
+    by_payload = {}
+    for i, _, h in pages:
+        by_payload.setdefault(h or "", []).append(i)
+    for r in out:
+        ident = None if r.record_id == "<urn:page:null>" else int(r.record_id[10:-1])
+        html = next(h or "" for i, _, h in pages if i == ident)
+        data = html.encode()
+        first = min(i for i in by_payload[html] if i is not None)
+        assert (r.payload_bytes, r.payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
+        assert r.record_type == ("response" if ident == first else "revisit")
+        assert r.refers_to == (None if ident == first else f"<urn:page:{first}>")
+        assert r.payload == (html if ident == first else None)
+
+
+def test_warc_min_bytes_and_empty(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
+    warc.write_warc(df, f"{tmp_path}/w", min_bytes=3)
+    assert {r.record_type for r in warc.read_warc(spark, f"{tmp_path}/w").collect()} == {"response"}
+    warc.write_warc(df.limit(0), f"{tmp_path}/e")
+    assert warc.read_warc(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_reachable_needs_the_chain(spark):
+    links = [("f", 0, 10), ("f", 4, 12), ("f", 10, 30), ("f", 12, 20), ("f", 30, 40), ("g", 5, 9)]
+    found = warc.reachable(spark.createDataFrame(links, "file string, offset long, next long"))
+    assert sorted(map(tuple, found.collect())) == [("f", 0), ("f", 10), ("f", 30)]
+
+
+# decontamination
+
+
+def brute_hits(doc, items, window=10):
+    w, hit, found = words(doc), set(), set()
+    for name, item in items:
+        v = words(item)
+        k = min(window, len(v))
+        if name is None or not k:
+            continue
+        grams = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)}
+        for i in range(len(w) - k + 1):
+            if tuple(w[i : i + k]) in grams:
+                hit |= set(range(i, i + k))
+                found.add(str(name))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 100])
+def test_decontaminate(spark, limit):
+    items = [(i, text(i, n, 30)) for i, n in enumerate([40, 25, 10, 9, 3, 1, 0])] + [(3, text(99, 30, 30)), (None, text(7, 20)), (8, None)]
+    pieces = [items[i % 8][1] or "" for i in range(20)]
+    texts = ODD + [f"{text(100 + i, 30, 30)} {pieces[i].upper()}, {text(200 + i, 20, 30)}" for i in range(20)] + [pieces[0][:60]] * 3
+    out = contamination.decontaminate(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), table_bytes=limit)
+    assert out.columns.count("items") == 1
+    for r in out.collect():
+        assert (r.n_words, r.n_hit, r["items"]) == brute_hits(texts[r.doc_id], items)
+        assert r.n_items == len(r["items"])
+
+
+def test_decontaminate_empty(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    out = contamination.decontaminate(docs(spark, ["a b", None]), none).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r.n_items) for r in out] == [(2, 0, 0), (0, 0, 0)]
+    assert contamination.decontaminate(docs(spark, ["a"]).limit(0), none).count() == 0
+
+
+# sharding
+
+
+def test_shards(spark):
+    texts = ODD + [text(i, 20 + i % 30) for i in range(500)] + ["copy"] * 300
+    out = sharding.shard(docs(spark, texts).repartition(3), 16, bucket_bytes=4000)
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    counts = {}
+    for r in rows:
+        counts.setdefault(r.shard, []).append(r.slot)
+        data = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(data) + 1, zlib.crc32(data))
+    assert set(counts) == set(range(16))
+    assert max(map(len, counts.values())) - min(map(len, counts.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in counts.values())
+    again = {(r.doc_id, r.shard, r.slot) for r in sharding.shard(docs(spark, texts).repartition(7), 16, bucket_bytes=4000).collect()}
+    assert again == {(r.doc_id, r.shard, r.slot) for r in rows}
+    order = [r.doc_id for r in sorted(rows, key=lambda r: (r.slot, r.shard))]
+    assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.2
+
+
+def test_shards_edges(spark):
+    assert sharding.shard(docs(spark, ["a"]).limit(0)).count() == 0
+    rows = sharding.shard(spark.createDataFrame([(None, "a"), (None, "a"), (1, None), (1, None)], "doc_id long, text string"), 3).collect()
+    assert len(rows) == 4 and sorted((r.shard, r.slot) for r in rows) == [(0, 0), (0, 1), (1, 0), (2, 0)]
+
+
+# toxicity
+
+
+def test_segments_are_the_maximal_ones():
+    draw = random.Random(4)
+    for _ in range(200):
+        scores = [draw.choice([-3.1, -1.7, -0.9, 0.45, 1.3, 2.2]) + draw.random() / 1000 for _ in range(draw.randrange(14))]
+
+        def best(lo, hi):
+            cuts = [(sum(scores[i:j]), i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)]
+            top = max(cuts, default=(0, 0, 0))
+            return [] if top[0] <= 0 else best(lo, top[1]) + [(top[1], top[2])] + best(top[2], hi)
+
+        assert [(a, b) for a, b, _ in toxicity.segments(scores)] == best(0, len(scores))
+
+
+def test_toxicity_learns(spark):
+    bad = ["scumbag", "moronic", "idiotics"]
+    draw = random.Random(2)
+    texts, labels = [], []
+    for i in range(600):
+        w = text(i, 80).split()
+        y = i % 3 == 0
+        if y:
+            for _ in range(3):
+                w.insert(draw.randrange(len(w)), draw.choice(bad))
+        texts.append(" ".join(w))
+        labels.append((i, int(y)))
+    labels += [(5, None), (None, 1), (0, 0)]
+    frame, marks = docs(spark, texts + ODD), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(toxicity.sample(frame.where("doc_id % 4 != 1"), marks))
+    rows = {r.doc_id: r for r in toxicity.score(frame, model).collect()}
+    assert len(rows) == len(texts) + len(ODD)
+    held = [i for i in range(600) if i % 4 == 1]
+    assert np.mean([(rows[i].score >= 0.7) == (i % 3 == 0) for i in held]) > 0.97
+    assert all(rows[i].passages for i in held if i % 3 == 0)
+    assert all(0 <= r.score < 0.7 for i, r in rows.items() if i >= 600)
+    assert toxicity.train(toxicity.sample(frame, marks.limit(0))) is None
+    assert {r.score for r in toxicity.score(frame, None).collect()} == {0.0}
+
+
+# personal data
+
+
+def test_base_spans():
+    t = "Mail a.b@c-d.example.org, +1 (624) 555-2408; 10.0.0.256 and 10.0.0.25, 4242 4242 4242 4242 or 4242 4242 4242 4241"
+    assert [(personal.KINDS[k], t[a:b]) for a, k, b in personal.base_spans(t)] == [("email", "a.b@c-d.example.org"), ("phone", "+1 (624) 555-2408"), ("ip", "10.0.0.25"), ("card", "4242 4242 4242 4242")]
+
+
+def test_personal_gradients():
+    x, tags = personal.examples(["the end of it all "] * 3, 4, 1)
+    tagger = personal.Tagger(2)
+    tagger.w = {k: v.astype(np.float64) for k, v in tagger.w.items()}
+    grads = tagger.gradients(x, tags)[1]
+    for name, g in grads.items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        keep = tagger.w[name][at]
+        both = []
+        for d in (1e-4, -1e-4):
+            tagger.w[name][at] = keep + d
+            both.append(tagger.gradients(x, tags)[0])
+        tagger.w[name][at] = keep
+        assert abs((both[0] - both[1]) / 2e-4 - g[at]) < 1e-2 * abs(g[at]) + 1e-3
+
+
+def test_personal_added_spans(spark):
+    prose = "and so it was that they came to the river and went on to the town where all of them had been before "
+    texts = [t for t in ODD[:7]] + [prose[i:] * 4 for i in range(60)] + ["Please call 624-555-2408 now", "write to bob [at] mail [dot] example [dot] com today", "server 10.0.0.7 and version 2.0.1.", "password=7602ad27cf5550de1c"]
+    frame = docs(spark, texts)
+    rows = {r.doc_id: r for r in personal.find(frame, personal.train(frame)).collect()}
+    spans = {texts[i][s.start : s.end]: s.kind for i, r in rows.items() for s in r.spans}
+    assert spans.get("624-555-2408") == "phone" and spans.get("10.0.0.7") == "ip" and spans.get("bob [at] mail [dot] example [dot] com") == "email"
+    assert not rows[len(texts) - 1].spans and not any(rows[i].spans for i in range(7))
+    for r in rows.values():
+        assert {tuple(s) for s in r.base} <= {tuple(s) for s in r.spans}
+
+
+def test_reconcile_is_the_best_choice():
+    found = [(0, 10, 0, -0.1), (0, 10, 0, -0.3), (8, 20, 1, -0.05), (20, 25, 2, -0.01), (30, 31, 3, -0.9)]
+    assert personal.reconcile(found, []) == [(8, 1, 20), (20, 2, 25)]
+    assert personal.reconcile(found, [(15, 3, 16)]) == [(0, 0, 10), (20, 2, 25)]
+
+
+def test_windows_hold_all_places():
+    t = ("a" * 47 + "7") * 12
+    assert all(sum(s <= p < s + personal.WINDOW for s in personal.window_starts(t)) >= 1 for p in range(len(t)) if t[p] == "7")
+
+
+# mixing
+
+
+def test_targets_are_shared_again():
+    got = mixing.targets({"b": 100, "a": 10, None: 50, "c": 1000})
+    assert got["a"] == 20  # 5 of 10 shares would be more than twice its size
+    assert abs(sum(got.values()) - 1.5 * 1160) < 1e-6
+    assert all(got[s] <= 2 * n + 1e-9 for s, n in {"b": 100, "a": 10, None: 50, "c": 1000}.items())
+
+
+def brute_cost(patterns, wanted, repeats=2):
+    """Least cost of the greatest flow, word by word over all ways."""
+    import itertools
+
+    names = list(patterns)
+    ways = [[c for c in itertools.product(range(repeats * patterns[p] + 1), repeat=len(p)) if sum(c) <= repeats * patterns[p]] for p in names]
+    best = (-1, 0)
+    for choice in itertools.product(*ways):
+        got = {}
+        for p, c in zip(names, choice, strict=True):
+            for s, x in zip(p, c, strict=True):
+                got[s] = got.get(s, 0) + x
+        if any(x > wanted[s] for s, x in got.items()):
+            continue
+        total = sum(got.values())
+        cost = sum(max(0, sum(c) - patterns[p]) for p, c in zip(names, choice, strict=True))
+        best = max(best, (total, -cost))
+    return best
+
+
+def test_flow_is_cheapest():
+    draw = random.Random(3)
+    for _ in range(25):
+        patterns = {("a",): draw.randrange(1, 4), ("a", "b"): draw.randrange(1, 4), ("b",): draw.randrange(1, 3)}
+        wanted = {"a": draw.randrange(8), "b": draw.randrange(8)}
+        flow = mixing.min_cost_flow(patterns, wanted)
+        total = sum(sum(f.values()) for f in flow.values())
+        cost = sum(max(0, sum(f.values()) - patterns[p]) for p, f in flow.items())
+        assert (total, -cost) == brute_cost(patterns, wanted)
+
+
+def test_mix(spark):
+    rows = [(i, text(i, 1 + i % 60), f"s{i % 4 if i % 3 else 0}" if i % 11 else None) for i in range(900)] + [(None, None, "s1"), (None, "", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(frame, bin_rows=50).collect()
+    assert len(out) == len(rows)
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    wanted, taken = mixing.targets(sizes), {}
+    for r in out:
+        assert r.source_size == sizes[r.source] and abs(r.target - wanted[r.source]) < 1e-6
+        assert r.taken in {0, r.size, 2 * r.size}
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - wanted[s]) <= 10 for s in wanted)
+    again = mixing.mix(frame.repartition(5), bin_rows=50).collect()
+    assert sorted((r.doc_id or -1, r.taken) for r in again) == sorted((r.doc_id or -1, r.taken) for r in out)
+    assert mixing.mix(frame.limit(0)).count() == 0
+
+
+def test_mix_overlapping_sources(spark):
+    rows = [(i, text(i, 10), ["a", "b"] if i % 2 else ["a"]) for i in range(100)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>"), bin_rows=20).collect()
+    assert len(out) == 100 and all(r.taken <= 2 * r.size for r in out)
+
+
+# language
+
+
+def test_language_gradients():
+    net = language.ByteNetwork(["a", "b", "c"], 1)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    draw = np.random.default_rng(0)
+    x, y = draw.integers(1, 256, (5, language.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 0, 1])
+
+    def loss():
+        hidden, _ = net.pooled(x)
+        z = hidden @ net.w["o"] + net.w["c"]
+        return float((np.log(np.exp(z).sum(1)) - z[np.arange(5), y]).mean())
+
+    for name, g in net.gradients(x, y).items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        keep, both = net.w[name][at], []
+        for d in (1e-5, -1e-5):
+            net.w[name][at] = keep + d
+            both.append(loss())
+        net.w[name][at] = keep
+        assert abs((both[0] - both[1]) / 2e-5 - g[at]) < 1e-3 * abs(g[at]) + 1e-6
+
+
+def test_language(spark):
+    alphabets = {"xx": "aeioul", "yy": "bcdfgh", "zz": "äöüßst"}
+    draw = random.Random(1)
+    rows = [(i, " ".join("".join(draw.choice(alphabets[lang]) for _ in range(draw.randrange(2, 8))) for _ in range(draw.randrange(5, 200))), lang) for i, lang in enumerate(list(alphabets) * 100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(frame.where("doc_id % 4 != 2"))
+    found = {r.doc_id: r for r in language.identify(frame, model).collect()}
+    assert np.mean([found[i].lang_pred == lang for i, _, lang in rows if i % 4 == 2]) > 0.97
+    odd = {r.doc_id: r for r in language.identify(docs(spark, [*ODD, "123 !?"]), model).collect()}
+    assert [odd[i].lang_pred for i in (0, 1, 2, 3, 8)] == ["und"] * 5 and odd[4].lang_pred != "und"
+    assert all(0 <= r.score <= 1 for r in odd.values())
+    assert language.train(frame.withColumn("lang", frame.lang.substr(9, 1)).where("lang = 'q'")) is None
+    assert {r.lang_pred for r in language.identify(frame.limit(3), None).collect()} == {"und"}
+
+
+# lines
+
+
+def brute_lines(rows, t=0.8):
+    seen, out = [], {}
+    for ident, doc in sorted(rows, key=lambda r: r[0]):
+        parts = doc.split("\n") if doc else []
+        out[ident] = (len(parts), [])
+        for i, line in enumerate(parts):
+            s = {w for w in line.lower().split(" ") if w}
+            if not s:
+                continue
+            if any(len(s & o) >= t * len(s | o) - 1e-9 for o in seen):
+                out[ident][1].append(i)
+            seen.append(s)
+    return out
+
+
+def test_duplicate_lines(spark):
+    draw = random.Random(6)
+    base = [text(i, 4 + i % 25, 60) for i in range(40)]
+
+    def near(line):
+        w = line.split()
+        for _ in range(draw.randrange(4)):
+            w[draw.randrange(len(w))] = f"n{draw.randrange(50)}"
+        return " ".join(w)
+
+    texts = ODD + ["\n".join(near(draw.choice(base)) if draw.random() < 0.8 else text(draw.random(), 12, 60) for _ in range(draw.randrange(1, 9))) for _ in range(150)]
+    frame = docs(spark, texts)
+    found = lines.duplicate_lines(frame)
+    want = brute_lines(list(enumerate(texts)))
+    assert {r.doc_id: (r.n_lines, r.removed) for r in found.collect()} == want
+    assert sum(len(r) for _, r in want.values()) > 50
+    clean = {r.doc_id: r.text for r in lines.remove_lines(frame, found).collect()}
+    for i, t in enumerate(texts):
+        gone = set(want[i][1])
+        assert clean[i] == (t if not gone else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone))
+    assert lines.duplicate_lines(frame.limit(0)).count() == 0
+
+
+# fingerprints
+
+
+def test_prefix_hashes():
+    draw = random.Random(8)
+    one, two = "".join(draw.choice("ab") for _ in range(300)), "".join(draw.choice("ab") for _ in range(300))
+    a, b = (fingerprint.PrefixHash(fingerprint.code_points(t)) for t in (one, two))
+    for _ in range(500):
+        i, j, n = draw.randrange(290), draw.randrange(290), draw.randrange(1, 10)
+        assert a.equal(i, b, j, n) == (one[i : i + n] == two[j : j + n])
+        k = 0
+        while i + k < 300 and j + k < 300 and one[i + k] == two[j + k]:
+            k += 1
+        assert a.common_extension(i, b, j) == k
+
+
+@pytest.mark.parametrize("size", [500, 1 << 20])
+def test_fingerprints(spark, size):
+    texts = [*ODD, *(text(i, 30 + i) for i in range(60)), "𝔘nicode " * 20, "same " * 40, "same " * 40]
+    rows = {r.doc_id: r for r in fingerprint.fingerprint(docs(spark, texts).repartition(3), range_bytes=size).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        t, following = t or "", texts[i - 1] or ""
+        half = len(t) // 2
+        changed = t[: len(t) - half] + following[:half]
+        r = rows[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert (r.near_edited == 1.0) == (changed == t) and 0 <= r.near_next <= 1
+        if len(t) > 200:
+            assert 0.4 <= r.near_edited <= 1 and (r.near_next < 0.2 or following[:50] == t[:50])
+    assert rows[len(texts) - 1].fingerprint == rows[len(texts) - 2].fingerprint
+    assert fingerprint.fingerprint(docs(spark, texts).limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, None)], "doc_id long, text string")
+    assert fingerprint.fingerprint(twice).count() == 4
+
+
+# similarity
+
+
+def brute_classes(texts, t=0.8):
+    def sh(doc):
+        w = words(doc)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else None
+
+    same = {}
+    for i, doc in enumerate(texts):
+        same.setdefault(b" ".join(words(doc)) or i, []).append(i)
+    reps = {v[0]: (sh(texts[v[0]]), v) for v in same.values()}
+    links = {i: [j for j in reps if j != i and s and reps[j][0] and len(s & reps[j][0]) >= t * len(s | reps[j][0])] for i, (s, _) in reps.items()}
+    out = {}
+    for i in reps:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        for k in reps[i][1]:
+            out[k] = (min(seen), len(links[i]), len(reps[i][1]))
+    return out
+
+
+def test_near_duplicates(spark):
+    draw = random.Random(9)
+
+    def near(doc, edits):
+        w = doc.split()
+        for _ in range(edits):
+            w[draw.randrange(len(w))] = f"n{draw.randrange(1000)}"
+        return " ".join(w)
+
+    base = [text(i, 150) for i in range(6)]
+    texts = ODD + [near(draw.choice(base), draw.randrange(7)) for _ in range(250)] + [text(1000 + i, 60) for i in range(30)] + [base[0]] * 20 + ["short one", "Short, one"]
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in similarity.near_duplicates(docs(spark, texts), block=40).collect()}
+    assert got == brute_classes(texts)
+    assert similarity.near_duplicates(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_posterior_keeps_links():
+    least = similarity.least_matches()
+    assert least[0] == 0 and all(a <= b for a, b in zip(least, least[1:], strict=False))
+    assert least[-1] < 0.8 * similarity.HASHES
+
+
+def test_components(spark):
+    draw = random.Random(5)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    want = {x: top(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+    got = components.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.label for r in got.collect()} == want
