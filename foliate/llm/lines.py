@@ -19,10 +19,6 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), " "), lambda w: w != "")
 
 
-def _hash(word: Column) -> Column:
-    return F.xxhash64(word)
-
-
 def _dense(rows: DataFrame, size: int, value: Column) -> DataFrame:
     """One row with an array of ``size`` values, in the order of their slots; ``rows`` has slot and v, the aggregate ``value`` is over v."""
     empty = rows.sparkSession.range(size).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("v"))
@@ -33,7 +29,7 @@ def _dense(rows: DataFrame, size: int, value: Column) -> DataFrame:
 def _frequencies(documents: DataFrame, text: str) -> DataFrame:
     """One row: the rank of each counter of hashed words, from the rarest to the most frequent."""
     found = documents.select(F.explode(F.split(F.lower(F.translate(text, "\n", " ")), " ")).alias("w")).where("w != ''")
-    counted = found.select(F.pmod(_hash(F.col("w")), F.lit(COUNTERS)).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("v"))
+    counted = found.select(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("v"))
     return _dense(counted, COUNTERS, F.sum("v"))
 
 
@@ -44,16 +40,15 @@ def _lines(documents: DataFrame, doc_id: str, text: str, frequencies: DataFrame)
     of another hash of the word; frequency and hash together are 62 bits.
     """
     counts = frequencies.scalar()
-    exploded = documents.select(doc_id, F.posexplode(F.split(text, "\n")).alias("line_no", "_line"))
+    exploded = documents.select(doc_id, F.posexplode(F.split(text, "\n")).alias("line_no", "_line")).where(F.col("_line").rlike("[^ ]"))
     top = F.lit((1 << 18) - 1).cast("long")
 
-    def code(w: Column) -> Column:
-        h = _hash(w)
-        seen = F.least(F.element_at(F.col("_counts"), (F.pmod(h, F.lit(COUNTERS)) + 1).cast("int")), top)
+    def code(h: Column) -> Column:
+        seen = F.least(F.get(F.col("_counts"), F.pmod(h, F.lit(COUNTERS)).cast("int")), top)
         return F.shiftleft(seen, CODE_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - CODE_BITS))
 
-    codes = F.array_sort(F.array_distinct(F.transform(_words(F.col("_line")), code)))
-    rows = exploded.withColumn("_counts", counts).select(doc_id, "line_no", codes.alias("codes")).where(F.size("codes") > 0)
+    hashes = F.array_distinct(F.transform(_words(F.col("_line")), lambda w: F.xxhash64(w)))
+    rows = exploded.withColumn("_counts", counts).select(doc_id, "line_no", F.sort_array(F.transform(hashes, code)).alias("codes"))
     return rows.select(doc_id, "line_no", "codes", F.size("codes").alias("n"), F.xxhash64("codes").alias("line"))
 
 
@@ -87,6 +82,7 @@ def duplicate_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     place = F.struct(F.col(doc_id).alias("d"), F.col("line_no").alias("l"))
     t = threshold
     prefix = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1
+    own = cut(lines.select(doc_id, "line_no", "line"))
     rows = lines.select(
         "line", "n", place.alias("place"), _signature(F.col("codes"), 0).alias("s"), _signature(F.col("codes"), 1).alias("u"),
         F.posexplode(F.slice("codes", F.lit(1), prefix.cast("int"))).alias("at", "code"),
@@ -108,7 +104,6 @@ def duplicate_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     )
     pairs = cut(pairs.select(F.col("a.line").alias("first"), F.col("b.line").alias("then")).distinct())
     similar = _verified(pairs, lines, t)
-    own = lines.select(doc_id, "line_no", "line")
     first = own.groupBy("line").agg(F.min(place).alias("first"))
     gone = first.join(similar.select(F.col("then").alias("line")).distinct(), "line", "left_anti").select("line", "first")
     marked = own.join(gone, "line", "left").where(F.col("first").isNull() | (F.col("first") != place))

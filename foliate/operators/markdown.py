@@ -94,13 +94,50 @@ def cleanup(text: Column) -> Column:
     return F.regexp_replace(out, r"[^\S\n]+(?=\n|$)", "")
 
 
+def table_count(text: Column) -> Column:
+    """Tables outside fences: unbroken rows with pipes that have a separator row beside others, or two rows of several cells.
+
+    Pipes in code and formulas do not count, list items and quotes are no
+    rows. The lines are folded in the row of their document; the state is the
+    open fence, the counts of the block at hand, and the tables so far.
+    """
+    integer = F.lit(0)
+
+    def state(fence: Column, rows: Column, marks: Column, wide: Column, found: Column) -> Column:
+        return F.struct(fence.alias("fence"), rows.cast("int").alias("rows"), marks.cast("int").alias("marks"), wide.cast("int").alias("wide"), found.cast("int").alias("found"))
+
+    def closed(s: Column) -> Column:
+        table = ((s["marks"] > 0) & (s["marks"] < s["rows"])) | (s["wide"] >= 2)
+        return s["found"] + table.cast("int")
+
+    def step(s: Column, line: Column) -> Column:
+        fence = F.substring(F.regexp_extract(line, r"^\s*(`{3,}|~{3,})", 1), 1, 1)
+        masked = F.replace(F.regexp_replace(F.regexp_replace(line, "`[^`]*`", ""), r"\$[^$]*\$", ""), F.lit(r"\mid"), F.lit(""))
+        is_row = F.contains(masked, F.lit("|")) & ~line.rlike(r"^\s*(?:[-*+>]\s|\d+[.)]\s)")
+        inner = F.regexp_replace(F.trim(masked), r"^\||\|$", "")
+        cells = F.split(inner, r"\|")
+        mark = F.forall(cells, lambda c: F.trim(c).rlike("^:?-+:?$"))
+        wide = (F.size(cells) >= 2) & ~mark
+        flush = state(s["fence"], integer, integer, integer, closed(s))
+        return (
+            F.when((s["fence"] != "") & (fence == s["fence"]), state(F.lit(""), integer, integer, integer, closed(s)))
+            .when(s["fence"] != "", flush)
+            .when(fence != "", state(fence, integer, integer, integer, closed(s)))
+            .when(is_row, state(s["fence"], s["rows"] + 1, s["marks"] + mark.cast("int"), s["wide"] + wide.cast("int"), s["found"]))
+            .otherwise(flush)
+        )
+
+    return F.aggregate(F.split(text, "\n"), state(F.lit(""), integer, integer, integer, integer), step, closed).cast("long")
+
+
 def metrics(documents: DataFrame, paper_id: str = "paper_id", text: str = "markdown") -> DataFrame:
-    """Counts of headings, linked citations, images and references of a document."""
+    """Counts of headings, linked citations, images, tables and references of a document."""
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     return documents.select(
         paper_id,
         count(r"(?m)^#{1,6}\s+\S").alias("sections"),
         count(r"\[\[\d+\]\]\(#ref-\d+\)").alias("linked_citations"),
         count(r"!\[").alias("figures"),
+        table_count(F.col(text)).alias("tables"),
         reference_count(F.col(text)).alias("refs"),
     )

@@ -18,7 +18,7 @@ def squared_norm(words: Column) -> Column:
         # (n + 1)^2 - n^2 = 2n + 1
         return F.struct(w.alias("w"), n.alias("n"), (acc["s"] + 2 * n - 1).alias("s"))
 
-    return F.aggregate(F.array_sort(words), start, step, lambda acc: acc["s"])
+    return F.aggregate(F.sort_array(words), start, step, lambda acc: acc["s"])
 
 
 def query_terms(queries: dict[str, str]) -> dict[str, dict[str, int]]:

@@ -7,13 +7,14 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # Words that citation keys leave out; scores of a match and of an exact one; the bonus of a matching year.
 STOPWORDS = ["a", "an", "the", "of", "on", "in", "and", "for", "to", "with"]
 THRESHOLD, EXACT, YEAR_BONUS = 70, 92, 10
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """0 to 100: twice the matched characters over all, rounded half to even."""
     return pd.Series([None if x is None or y is None else round(difflib.SequenceMatcher(None, x, y).ratio() * 100) for x, y in zip(a, b, strict=True)], dtype="Int32")

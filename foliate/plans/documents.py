@@ -182,7 +182,10 @@ def link_citations(spark, sf_dir):
 
 
 @query("md_metrics", WHOLE + """SELECT paper_id, CAST(len(regexp_extract_all(markdown, '(?m)^#{1,6}\\s+\\S')) AS BIGINT) AS sections,
-  CAST(len(regexp_extract_all(body, '\\[\\d{1,3}\\]')) AS BIGINT) AS linked_citations, CAST(0 AS BIGINT) AS figures, CAST(1 + paper_id % 7 AS BIGINT) AS refs FROM doc""")
+  CAST(len(regexp_extract_all(body, '\\[\\d{1,3}\\]')) AS BIGINT) AS linked_citations, CAST(0 AS BIGINT) AS figures, coalesce(tables, 0) AS tables, CAST(1 + paper_id % 7 AS BIGINT) AS refs
+FROM doc LEFT JOIN (SELECT paper_id, count(*) AS tables FROM (
+  SELECT paper_id, isle, count(*) FILTER (WHERE len(regexp_extract_all(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '\\|')) >= 1) AS wide
+  FROM (SELECT *, line_no - row_number() OVER (PARTITION BY paper_id ORDER BY line_no) AS isle FROM md WHERE contains(line, '|')) GROUP BY ALL) WHERE wide >= 2 GROUP BY 1) USING (paper_id)""")
 def md_metrics(spark, sf_dir):
     linked = whole(spark, sf_dir).select("paper_id", markdown.process_citations(F.col("markdown")).alias("markdown"))
     return markdown.metrics(linked)

@@ -45,7 +45,8 @@ def read_folder(spark: SparkSession, path: str, most_files: int = 50, most_chars
     """The documents below a folder as label and text: README first, then by path, hidden and vendor folders left out."""
     files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     name = F.element_at(F.split("file", "/"), -1)
-    inside = F.expr("substring(file, instr(file, '" + path.rstrip("/").replace("'", "''") + f"') + {len(path.rstrip('/')) + 1})")
+    root = path.rstrip("/")
+    inside = F.substring(F.col("file"), F.instr("file", root) + F.lit(len(root) + 1), F.length("file"))
     readme = F.upper(name).startswith("README")
     wanted = (name.rlike(DOCUMENTS) | readme) & ~inside.rlike(r"(^|/)(\.[^/]*|node_modules|vendor|venv|__pycache__|build|dist)/")
     rows = files.where(wanted).select(inside.alias("label"), (~readme).alias("_later"), cap_text(F.col("value"), most_chars).alias("text"))
