@@ -27,6 +27,8 @@ TAGS = 1 + 2 * len(KINDS)
 EMBED, HIDDEN = 12, 20
 #: Training: texts for contexts at most, characters of each, windows made from them, passes.
 CONTEXTS, CONTEXT_CHARS, EXAMPLES, EPOCHS, BATCH, RATE, SEED = 400, 2000, 3000, 6, 48, 0.02, 3
+#: Share of the windows that are cut short and filled up.
+SHORT = 0.3
 #: Mean log-probability a character that a span needs.
 LEAST = -1.0
 
@@ -241,10 +243,11 @@ def examples(contexts: list[str], count: int = EXAMPLES, seed: int = SEED) -> tu
     for row in range(count):
         text = contexts[int(draw.integers(len(contexts)))]
         start = int(draw.integers(0, max(1, len(text) - WINDOW)))
-        piece, spans = text[start : start + WINDOW], []
+        width = int(draw.integers(8, WINDOW)) if draw.random() < SHORT else WINDOW  # as texts and their last windows are
+        piece, spans = text[start : start + width], []
         if draw.random() < 0.9:
             kind, item = _write(draw)
-            at = piece.rfind(" ", 0, int(draw.integers(1, max(2, WINDOW - 8)))) + 1
+            at = piece.rfind(" ", 0, int(draw.integers(1, max(2, len(piece) - 8)))) + 1
             piece = piece[:at] + item + " " + piece[at:]
             spans = [(at, at + len(item), kind)] if kind >= 0 else []
         taken = [(a, b) for a, b, _ in spans]
