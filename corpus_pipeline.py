@@ -21,8 +21,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of copies and near copies; rows that repeat an id stay or go together."""
-    return similarity.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(docs.columns)
+    """One row of each class of copies and near copies, with the least id; rows that repeat an id or have none leave one as well."""
+    return similarity.one_of_each(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

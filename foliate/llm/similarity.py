@@ -186,6 +186,41 @@ def _texts(documents: DataFrame, text: str, keep: list[str], with_bands: bool =
     return append(documents, [text], "node long, bands array<long>" if with_bands else "node long", run, keep)
 
 
+def _one_row(rows: DataFrame, nodes: DataFrame, doc_id: str) -> DataFrame:
+    """One row of ``rows`` for each of ``nodes`` (node, rep, copies and others), with the node's columns.
+
+    It has the node and its least id; of several with both, null ids included,
+    the one with the least hash. Nodes of one document need no choice; the rows
+    of others are pre-aggregated, so that repeated rows do not meet in one task.
+    """
+    nodes = nodes.withColumnRenamed("node", "_node")
+    joined = rows.join(nodes, (F.col("node") == F.col("_node")) & F.col(doc_id).eqNullSafe(F.col("rep")))
+    columns = [c for c in joined.columns if c != "_node"]
+    chosen = F.min_by(F.struct(*columns), F.xxhash64(*rows.columns)).alias("_row")
+    repeated = joined.where("copies > 1").groupBy("_node").agg(chosen).select("_row.*")
+    return joined.where("copies = 1").select(columns).unionAll(repeated)
+
+
+def _classes(documents: DataFrame, doc_id: str, text: str, threshold: float, block: int) -> DataFrame:
+    """A row for each text with words: ``node``, ``label`` of its class, ``rep``, the least id, ``copies`` and ``n_links``."""
+    texts = _texts(documents, text, [doc_id], True).where("node is not null")
+    texts = cut(texts.groupBy("node").agg(F.min(doc_id).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
+    buckets = texts.select("node", F.explode("bands").alias("bucket"))
+    centers = buckets.groupBy("bucket").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    stars = buckets.join(centers, "bucket").where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    near = components(stars)
+    sizes = near.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    near = near.join(sizes, "label").join(texts.select("node", "rep", "copies"), "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    own = _one_row(_texts(documents, text, [doc_id, text]), near, doc_id)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = own.select("node", "label", "block", F.col(text).alias("text"), other.alias("other"))
+    dealt = dealt.select("node", "block", "text", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    found = cut(dealt.groupBy("label", "i", "j").applyInArrow(_links(threshold), "a long, b long, n long"))
+    classes = components(found.where("b is not null").select("a", "b"))
+    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    return texts.select("node", "rep", "copies").join(classes, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """The documents with ``class_id``, ``n_links`` and ``n_copies``.
 
@@ -208,22 +243,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     Clashing columns are replaced.
     """
     documents = documents.drop("class_id", "n_links", "n_copies", "node", "bands")
-    texts = _texts(documents, text, [doc_id], True).where("node is not null")
-    texts = cut(texts.groupBy("node").agg(F.min(doc_id).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
-    buckets = texts.select("node", F.explode("bands").alias("bucket"))
-    centers = buckets.groupBy("bucket").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    stars = buckets.join(centers, "bucket").where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    near = components(stars)
-    sizes = near.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    near = near.join(sizes, "label").join(texts.select("node", "rep"), "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    own = _texts(documents, text, [doc_id, text]).join(near, "node").where(F.col(doc_id).eqNullSafe(F.col("rep")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = own.select("node", "label", "block", F.col(text).alias("text"), other.alias("other"))
-    dealt = dealt.select("node", "block", "text", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = cut(dealt.groupBy("label", "i", "j").applyInArrow(_links(threshold), "a long, b long, n long"))
-    classes = components(found.where("b is not null").select("a", "b"))
-    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
-    rows = texts.select("node", "rep", "copies").join(classes, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = _classes(documents, doc_id, text, threshold, block)
     least = rows.groupBy("label").agg(F.min("rep").alias("class_id"))
     rows = rows.join(least, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
     keep = documents.columns
@@ -235,3 +255,20 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
+
+
+def one_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Exactly one of the rows of each class of ``near_duplicates``: one with the class's least id, ids before null.
+
+    Among texts with that id it is the one with the least hash of its words,
+    so that rows that repeat an id, or have none, leave one as well. Texts
+    without words are alone and stay.
+    """
+    columns = documents.columns
+    documents = documents.drop("node", "_node", "rep", "copies", "label")
+    rows = _classes(documents, doc_id, text, threshold, block)
+    first = F.min(F.struct(F.col("rep").isNull().alias("_null"), "rep", "node", "copies")).alias("_first")
+    chosen = rows.groupBy("label").agg(first).select("_first.node", "_first.rep", "_first.copies")
+    kept = _one_row(_texts(documents, text, documents.columns), chosen, doc_id).select(documents.columns)
+    alone = documents.where(~F.coalesce(F.col(text).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False)))
+    return kept.unionAll(alone).select([c for c in columns if c in documents.columns])

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from foliate.llm import components, contamination, fingerprint, language, lines, mixing, personal, sharding, similarity, toxicity, warc
 from foliate.llm.common import words
 
@@ -441,6 +442,35 @@ def test_near_duplicates(spark):
     assert similarity.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_one_of_each_class_stays(spark, monkeypatch):
+    base, other = text(1, 150), text(2, 150)
+    near = base.replace(base.split()[70], "changed", 1)
+    rows = [(5, base)] * 40 + [(5, near)] * 3 + [(None, base), (9, base)]  # one class, its least id repeated
+    rows += [(None, other)] * 30 + [(None, other.upper()), (None, other + " more")]  # a class without ids
+    rows += [(5, text(3, 60)), (6, "alone"), (None, None), (7, ""), (7, "--")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    links = similarity._links
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(threshold):
+        run = links(threshold)
+
+        def group(table):
+            seen.add(table.num_rows)
+            return run(table)
+
+        return group
+
+    monkeypatch.setattr(similarity, "_links", counted)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, frame, "").collect()]
+    assert seen.value == 4  # a row for each text: base and near, other and the longer one
+    assert sorted((i or 0, t or "") for i, t in got if t not in (base, near)) == sorted([(0, ""), (7, ""), (7, "--"), (6, "alone"), (5, text(3, 60)), *[(i or 0, t) for i, t in got if t and t.lower().startswith(other)]])
+    assert [i for i, t in got if t in (base, near)] == [5]
+    assert sum(bool(t) and t.lower().startswith(other) for _, t in got) == 1
+    again = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, frame.repartition(2), "").collect()]
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_posterior_keeps_links():
     least = similarity.least_matches()
     assert least[0] == 0 and all(a <= b for a, b in zip(least, least[1:], strict=False))
