@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ DRIFT = 0.7
 SIGNIFICANT = 0.05
 #: Weight of the toxic documents, of 1, in the calibration.
 TOXIC_WEIGHT = 0.2
+#: Words back to which a repeated word counts for less; what stands further off has no say in a passage's score.
+SPAN = 64
 #: Cached token scores in a task.
 CACHE = 500_000
 
@@ -84,10 +87,13 @@ class Model:
         up = s > 0
         if not up.any():
             return []
-        again: dict[bytes, int] = {}
-        for i in np.flatnonzero(up):  # the n-th time a word counts for an n-th
-            again[tokens[i]] = n = again.get(tokens[i], 0) + 1
-            s[i] /= n
+        recent: dict[bytes, deque[int]] = {}
+        for i in np.flatnonzero(up).tolist():  # the n-th time a word stands within SPAN words counts for an n-th
+            at = recent.setdefault(tokens[i], deque())
+            while at and at[0] <= i - SPAN:
+                at.popleft()
+            at.append(i)
+            s[i] /= len(at)
         # neighbours of one sign act as one
         edge = np.flatnonzero(np.diff(up, prepend=not up[0]))
         ends = np.append(edge[1:], len(s))

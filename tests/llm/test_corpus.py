@@ -171,6 +171,19 @@ def test_toxicity_learns(spark):
     assert {r.score for r in toxicity.score(frame, None).collect()} == {0.0}
 
 
+def test_toxic_passages_count_alike_wherever_they_stand():
+    score = {b"scumbag": 4.0, b"moronic": 3.0, b"idiotics": 3.5}
+    cache = {w: score.get(w, -0.5) for w in [*score, *words(text(1, 4000))]}
+    model = toxicity.Model(None, None, None)
+    clean, bad = words(text(1, 4000)), [b"scumbag", b"moronic", b"idiotics"]
+    want = sum(score.values())
+    often = [w for i in range(10) for w in [*clean[i * 90 : i * 90 + 90], *bad]]
+    assert model.passages(often, cache) == [(93 * i + 90, 93 * i + 93, want) for i in range(10)]
+    late = [*bad, *clean, *bad]
+    assert model.passages(late, cache) == [(0, 3, want), (4003, 4006, want)]
+    assert sum(x for *_, x in model.passages(bad[:1] * 20, cache)) < 20  # the same word over and over is no passage of twenty
+
+
 # personal data
 
 
