@@ -96,7 +96,7 @@ class Tagger:
         self.first = np.where(np.arange(TAGS) % 2 == 0, np.float32(-1e4), np.float32(0))
         self.first[0] = 0
 
-    def _lstm(self, e: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+    def _lstm(self, e: np.ndarray, d: str, keep: bool = True) -> tuple[np.ndarray, list]:
         n, size, _ = e.shape
         x = e @ self.w[f"x{d}"] + self.w[f"z{d}"]
         h = c = np.zeros((n, HIDDEN), np.float32)
@@ -108,12 +108,14 @@ class Tagger:
             before = (h, c)
             c = f * c + i * u
             h = o * np.tanh(c)
-            out[:, t], trace[t] = h, (i, f, o, u, c, *before)
+            out[:, t] = h
+            if keep:
+                trace[t] = (i, f, o, u, c, *before)
         return out, trace
 
-    def emissions(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def emissions(self, x: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple]:
         e = self.w["e"][x]
-        (f, tf), (b, tb) = self._lstm(e, "f"), self._lstm(e, "b")
+        (f, tf), (b, tb) = self._lstm(e, "f", keep), self._lstm(e, "b", keep)
         h = np.concatenate([f, b], 2)
         return h @ self.w["o"] + self.w["c"], (e, h, tf, tb)
 
@@ -179,7 +181,7 @@ class Tagger:
 
     def decode(self, x: np.ndarray) -> list[list[tuple[int, int, int, float]]]:
         """For each window the spans of the best path: start, end, kind, mean log-probability of its characters' tags."""
-        y, _ = self.emissions(x)
+        y, _ = self.emissions(x, False)
         a, b, z = self._sweeps(y)
         p = a + b - z[:, None, None]
         n, size, _ = y.shape
@@ -306,41 +308,82 @@ def reconcile(found: list[tuple[int, int, int, float]], fixed: list[tuple[int, i
     return out[::-1]
 
 
+def _decode(tagger: Tagger, texts: list[str], jobs: list[tuple[int, int, int]], base: list[list], found: list[list]) -> list[tuple[int, int, int]]:
+    """Adds the plausible spans of some stretches (text, start, end) to ``found``; the wider stretches of spans that are cut come back.
+
+    A cut part is done with when a whole span of its kind holds it, or a fixed
+    one meets it. Parts of a text that meet or overlap, of windows or of
+    stretches, become one stretch with as much again and STRIDE on both sides, which
+    holds the stretches it came from, so that none comes back for ever.
+    """
+    parts: dict[int, list[tuple[int, int, int, int, int]]] = {}
+    jobs = sorted(jobs, key=lambda j: j[2] - j[1])  # those of a batch are of like length
+    at = 0
+    while at < len(jobs):
+        some = jobs[at : at + 256]
+        some = [j for j in some if j[2] - j[1] <= 2 * (some[0][2] - some[0][1])]
+        at += len(some)
+        x = np.full((len(some), max(e - s for _, s, e in some)), 32, np.int64)
+        for i, (row, s, e) in enumerate(some):
+            codes = encode(texts[row][s:e])
+            x[i, : len(codes)] = codes
+        for (row, s, e), made in zip(some, tagger.decode(x), strict=True):
+            t = texts[row]
+            for a, b, k, p in made:
+                a, b = s + a, min(s + b, e)
+                if a >= b:
+                    continue
+                if (a == s and s > 0) or (b == e and e < len(t)):
+                    parts.setdefault(row, []).append((a, b, k, s, e))
+                elif _plausible(k, t[a:b]):
+                    found[row].append((a, b, k, p))
+    wider = []
+    for row, cut in parts.items():
+        joined: list[list[int]] = []
+        for a, b, k, start, end in sorted(cut):
+            if any(s <= a and b <= e and k == kind for s, e, kind, _ in found[row]) or any(a < e and s < b for s, _, e in base[row]):
+                continue
+            if joined and a <= joined[-1][1]:
+                last = joined[-1]
+                last[1:] = max(b, last[1]), min(start, last[2]), max(end, last[3])
+            else:
+                joined.append([a, b, start, end])
+        for a, b, start, end in joined:
+            more = b - a + STRIDE
+            wider.append((row, max(0, min(start, a - more)), min(len(texts[row]), max(end, b + more))))
+    return wider
+
+
+def spans_of(texts: list, tagger: Tagger) -> tuple[list[list], list[list]]:
+    """(start, kind, end) of each text's base matches, and of these with what the tagger adds."""
+    texts = [t or "" for t in texts]
+    base, jobs = [], []
+    for row, t in enumerate(texts):
+        starts = window_starts(t)
+        base.append(base_spans(t) if starts else [])
+        jobs += [(row, s, s + WINDOW) for s in starts]
+    found: list[list] = [[] for _ in texts]
+    while jobs:
+        jobs = _decode(tagger, texts, jobs, base, found)
+    return base, [sorted(fixed + reconcile(found[row], fixed)) if found[row] else fixed for row, fixed in enumerate(base)]
+
+
 def find(documents: DataFrame, tagger: Tagger, *, text: str = "text") -> DataFrame:
     """The documents with ``base`` and ``spans``: arrays of kind, start and end in code points, by start, then kind.
 
     ``base`` are the matches of the base patterns, ``spans`` has what the
     tagger adds as well. Whole texts are searched; the tagger decodes the
     overlapping windows that hold a digit, an at sign or a bracketed "at" or
-    "dot", without which there is no span of any kind. Spans cut by a window's
-    end are left to the next window. Null and empty texts have none. Texts are
-    handled where they stand; clashing columns are replaced.
+    "dot", without which there is no span of any kind. A span that a window's
+    end cuts is decoded again, joined with what it meets, in a stretch wide
+    enough to hold it. Null and empty texts have none. Texts are handled where
+    they stand; clashing columns are replaced.
     """
     shipped = documents.sparkSession.sparkContext.broadcast(tagger)
 
     def run(texts: list) -> list[list]:
-        base, spans, jobs = [], [], []
-        for row, t in enumerate(texts):
-            t = t or ""
-            starts = window_starts(t)
-            base.append(base_spans(t) if starts else [])
-            jobs += [(row, s) for s in starts]
-        found: list[list] = [[] for _ in texts]
-        for at in range(0, len(jobs), 256):
-            some = jobs[at : at + 256]
-            x = np.full((len(some), WINDOW), 32, np.int64)
-            for i, (row, s) in enumerate(some):
-                codes = encode(texts[row][s : s + WINDOW])
-                x[i, : len(codes)] = codes
-            for (row, s), made in zip(some, shipped.value.decode(x), strict=True):
-                t = texts[row]
-                for a, b, k, p in made:
-                    whole = (a > 0 or s == 0) and (b < WINDOW or s + WINDOW >= len(t))
-                    if whole and _plausible(k, t[s + a : s + b]):
-                        found[row].append((s + a, s + b, k, p))
-        for row, fixed in enumerate(base):
-            spans.append(sorted(fixed + reconcile(found[row], fixed)) if found[row] else fixed)
-        return [[[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in row] for row in x] for x in (base, spans)]
+        both = spans_of(texts, shipped.value)
+        return [[[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in row] for row in x] for x in both]
 
     span = "array<struct<kind: string, start: int, end: int>>"
     return append(documents, [text], f"base {span}, spans {span}", run)

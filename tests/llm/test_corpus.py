@@ -220,6 +220,28 @@ def test_personal_added_spans(spark):
         assert {tuple(s) for s in r.base} <= {tuple(s) for s in r.spans}
 
 
+class KnowsAddresses(personal.Tagger):
+    """Emissions of a tagger that is sure of every character: "~" is outside, a capital begins an address."""
+
+    def emissions(self, x, keep=True):
+        y = np.zeros((*x.shape, personal.TAGS), np.float32)
+        tag = np.where((x == ord("~")), 0, np.where((x >= 65) & (x <= 90), 1, 2))
+        np.put_along_axis(y, tag[:, :, None], 12, 2)
+        return y, ()
+
+
+@pytest.mark.parametrize("size", [20, 48, 60, 95, 96, 97, 120, 300])
+def test_personal_spans_at_every_offset(size):
+    tagger = KnowsAddresses()
+    tagger.w |= {k: np.zeros_like(tagger.w[k]) for k in "ts"}
+    user, host = "A" + "b" * (size // 2 - 5), "(dot)edu"
+    item = user + "(at)" + "c" * (size - len(user) - 4 - len(host)) + host
+    assert len(item) == size
+    texts = ["~" * i + item + "~" * 150 for i in [0, *range(96, 96 + personal.STRIDE)]] + ["~" * 100 + item]
+    _, spans = personal.spans_of(texts, tagger)
+    assert [[t[a:b] for a, _, b in row] for t, row in zip(texts, spans, strict=True)] == [[item]] * len(texts)
+
+
 def test_reconcile_is_the_best_choice():
     found = [(0, 10, 0, -0.1), (0, 10, 0, -0.3), (8, 20, 1, -0.05), (20, 25, 2, -0.01), (30, 31, 3, -1.9)]
     assert personal.reconcile(found, []) == [(8, 1, 20), (20, 2, 25)]
