@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_left
 
 import numpy as np
 import zstandard
@@ -15,8 +16,10 @@ from foliate.llm.common import append
 #: Two moduli of one size, a base for each; together 62 bits.
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353)
-#: Checkpoints of a fingerprint at most.
-CHECKPOINTS = 32
+#: Span hashes of a fingerprint at most.
+SKETCH = 32
+#: Points of a span that is hashed where the content says so, and the neighbouring spans of which the least is taken.
+SPAN, NEIGHBOURS = 16, 32
 #: UTF-8 bytes of text that a range of ids holds on average.
 RANGE_BYTES = 32 << 20
 #: So many ranges' ids are broadcast; beyond, they are joined by a shuffle.
@@ -43,6 +46,16 @@ class Powers:
 
 
 _POWERS = tuple(Powers(b) for b in BASES)
+_INVERSE = tuple(Powers(pow(b, -1, PRIME)) for b in BASES)
+
+
+def _slide(pick: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
+    """The least or greatest of every ``size`` neighbours, by doubling."""
+    width = 1
+    while width < size:
+        step = min(width, size - width)
+        x, width = pick(x[:-step], x[step:]), width + step
+    return x
 
 
 def code_points(text: str) -> np.ndarray:
@@ -53,7 +66,7 @@ class PrefixHash:
     """prefix[i]: the sum of point * base^position over the first i points, modulo PRIME, for both bases."""
 
     def __init__(self, points: np.ndarray):
-        self.n = len(points)
+        self.n, self._anchors = len(points), None
         wide = points.astype(np.uint64)
         # a sum of 2^32 terms below 2^31 fits in 64 bits
         self.prefix = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mod((wide + np.uint64(1)) * p.upto(self.n)))]) for p in _POWERS]
@@ -76,37 +89,83 @@ class PrefixHash:
             low, high = (half, high) if self.equal(start, other, at, half) else (low, half - 1)
         return low
 
-    def fingerprint(self) -> str:
-        """Length, grid, and the prefix hashes at the grid's points and at the end.
+    def common_before(self, start: int, other: PrefixHash, at: int, most: int) -> int:
+        """How far, up to ``most``, two texts agree backwards from these positions, by binary search."""
+        low, high = 0, min(start, at, most)
+        while low < high:
+            half = (low + high + 1) // 2
+            low, high = (half, high) if self.equal(start - half, other, at - half, half) else (low, half - 1)
+        return low
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places set by content, and the hashes of the SPAN points from there on, whatever the place.
 
-        The grid is the least power of two that gives CHECKPOINTS points at
-        most, so that the coarser of two grids is part of the finer.
+        Of every NEIGHBOURS neighbouring spans those of least mixed hash are
+        taken, so that texts that share a run of SPAN + NEIGHBOURS - 1 points
+        share an anchor in it.
+        """
+        if self._anchors is None:
+            n = max(0, self.n - SPAN + 1)
+            mixed = self._spans(0, np.arange(n)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            size = min(NEIGHBOURS, n)
+            least = _slide(np.minimum, mixed, size)
+            edge = np.zeros(max(0, size - 1), np.uint64)
+            at = np.flatnonzero(_slide(np.maximum, np.concatenate([edge, least, edge]), size) == mixed) if n else np.zeros(0, np.int64)
+            self._anchors = at, self._spans(0, at) << np.uint64(31) | self._spans(1, at)
+        return self._anchors
+
+    def _spans(self, base: int, at: np.ndarray) -> np.ndarray:
+        """Hashes of the SPAN points from each place, shifted back to place 0."""
+        p = self.prefix[base]
+        return _mod(_mod(p[at + SPAN] - p[at]) * _INVERSE[base].upto(self.n)[at])
+
+    def found_in(self, other: PrefixHash) -> int:
+        """So many points stand in the other text too, at any place, in common spans as long as they go.
+
+        Spans are the common beginning and end, and those that hold an anchor
+        of both texts.
         """
-        grid = 1 << max(0, math.ceil(math.log2(max(1, self.n) / CHECKPOINTS)))
-        at = [*range(grid, self.n, grid), self.n] if self.n else []
-        return f"{self.n}:{grid}:" + ",".join(f"{int(a[i]) % PRIME << 31 | int(b[i]) % PRIME:016x}" for i in at for a, b in [self.prefix])
+        done = self.common_extension(0, other, 0)
+        end = self.n - self.common_before(self.n, other, other.n, self.n - done)
+        total, follow = done + self.n - end, done
+        (mine, hashes), (theirs, others) = self.anchors(), other.anchors()
+        shared = np.isin(hashes, others)
+        mine, hashes = mine[shared], hashes[shared].tolist()
+        places: dict[int, list[int]] = {}
+        some = np.isin(others, hashes)
+        for j, h in zip(theirs[some].tolist(), others[some].tolist(), strict=True):
+            places.setdefault(h, []).append(j)
+        k = 0
+        while (k := max(k, int(np.searchsorted(mine, done - SPAN, side="right")))) < len(mine) and mine[k] < end:
+            i, at = int(mine[k]), places[hashes[k]]
+            k += 1
+            j = at[min(bisect_left(at, follow), len(at) - 1)]
+            if not self.equal(i, other, j, SPAN):
+                continue
+            stop = i + self.common_extension(i, other, j)
+            start = i - self.common_before(i, other, j, max(0, i - done))
+            total += max(0, min(stop, end) - max(start, done))
+            done, follow = max(done, stop), j + stop - i
+        return total
+
+    def fingerprint(self) -> str:
+        """Length, hash of the whole, and the SKETCH least span hashes of all anchors, which insertions leave alone but where they stand."""
+        whole = int(self.prefix[0][-1]) % PRIME << 31 | int(self.prefix[1][-1]) % PRIME
+        return f"{self.n}:{whole:016x}:" + ",".join(f"{h:016x}" for h in np.unique(self.anchors()[1])[:SKETCH].tolist())
 
 
-def likeness(one: str, two: str) -> float:
-    """The share of the longer text, in points, that stands at the same place in the other, by whole steps of the coarser grid.
+def likeness(one: PrefixHash, two: PrefixHash, equal: bool) -> float:
+    """The share of the longer text, in points, that stands in the other at any place; of both ways the lesser.
 
-    Equal texts have 1, two empty ones too; an empty and another text 0.
+    Equal texts have 1, two empty ones too, all others less; an empty and
+    another text 0.
     """
-    if one == two:
+    if equal:
         return 1.0
-    (n, g, a), (m, h, b) = (x.split(":") for x in (one, two))
-    n, m, g, h = int(n), int(m), int(g), int(h)
-    if not n or not m:
-        return 0.0
-    step, found, before = max(g, h), 0, (0, 0)
-    a, b = [int(x, 16) for x in a.split(",")], [int(x, 16) for x in b.split(",")]
-    for end in [*range(step, min(n, m), step), *([n] if n == m else [])]:
-        start = (end - 1) // step * step
-        now = (a[-1] if end == n else a[end // g - 1], b[-1] if end == m else b[end // h - 1])
-        if all((x >> s) % (1 << 31) - (y >> s) % (1 << 31) in {d, d - PRIME, d + PRIME} for s in (0, 31) for x, y, d in [(now[0], before[0], (now[1] >> s) % (1 << 31) - (before[1] >> s) % (1 << 31))]):
-            found += end - start
-        before = now
-    return found / max(n, m)
+    longest = max(one.n, two.n)
+    found = min(one.found_in(two), two.found_in(one)) if one.n and two.n else 0
+    return min(found, longest - 1) / longest
 
 
 def edit(text: str, following: str) -> str:
@@ -126,11 +185,10 @@ def _measure(texts: list, nexts: list) -> list[list]:
     for text, following in zip(texts, nexts, strict=True):
         text, following = unpack(text), unpack(following)
         changed = edit(text, following)
-        whole = PrefixHash(code_points(text)).fingerprint()
-        other = PrefixHash(code_points(changed)).fingerprint()
-        after = PrefixHash(code_points(following)).fingerprint()
+        whole, other, after = (PrefixHash(code_points(t)) for t in (text, changed, following))
         digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-        rows.append((len(text), digest, whole, other, likeness(whole, other), likeness(whole, after)))
+        near = [likeness(whole, x, text == t) for x, t in ((other, changed), (after, following))]
+        rows.append((len(text), digest, whole.fingerprint(), other.fingerprint(), *near))
     return [list(x) for x in zip(*rows, strict=True)] or [[]] * 6
 
 

@@ -435,6 +435,19 @@ def test_fingerprints(spark, size):
     assert fingerprint.fingerprint(twice).count() == 4
 
 
+def test_near_next_finds_shifted_spans(spark):
+    t = text(21, 400)
+    w = t.split()
+    changed = ["new words here " + t, t[9:], " ".join(w[:30] + ["inserted"] + w[30:]), " ".join(w[:5] + w[6:]), " ".join(w[:200] + w[210:] + w[200:210]), t[: len(t) // 4] + "x" + t[len(t) // 4 : -7]]
+    for other in changed:
+        rows = fingerprint.fingerprint(docs(spark, [other, t])).collect()
+        assert all(0.9 < r.near_next < 1 for r in rows)
+        one, two = (set(r.fingerprint.split(":")[2].split(",")) for r in rows)
+        assert len(one & two) >= 24
+    a, b = (fingerprint.PrefixHash(fingerprint.code_points(x)) for x in ("a short text", "a shorter text"))
+    assert (a.found_in(b), b.found_in(a)) == (12, 12) and fingerprint.likeness(a, b, False) == 12 / 14
+
+
 # similarity
 
 
