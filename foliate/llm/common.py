@@ -31,9 +31,11 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is named, as in tests."""
+    """The folder that driver and executors share; where none is named, a temporary one in local mode, as in tests, and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="foliate-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -50,6 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """As ``cut``, in columns and compressed, for tables that are read in part or more than once."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucket_of_id(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

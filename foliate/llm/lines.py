@@ -2,135 +2,182 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliate.llm.common import cut
+from foliate.llm.common import cut, written
 
 #: Jaccard similarity at which the later of two lines goes.
 THRESHOLD = 0.8
 #: Counters of word frequency, and bits that tell which lines are candidates: fixed sizes, whatever the data.
-COUNTERS, BITS = 1 << 18, 1 << 22
-#: Bits of a word's code below its frequency rank.
-CODE_BITS = 44
+COUNTERS, BITS = 1 << 20, 1 << 22
+#: Frequencies are kept as logarithms, STEPS to a doubling, above the bits of a word's hash.
+STEPS, HASH_BITS = 4096, 33
+#: Earliest lines of a word's group that the first round probes, and by how much each further round reaches on.
+FIRST_REACH, REACH = 32, 8
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), " "), lambda w: w != "")
+def _shift(value: Column, by: int | Column) -> Column:
+    return F.call_function("shiftleft", value, F.lit(by) if isinstance(by, int) else by)
+
+
+def _bit(number: Column, bits: int = 64) -> Column:
+    return _shift(F.lit(1).cast("long"), number.bitwiseAND(F.lit(bits - 1)).cast("int"))
 
 
 def _dense(rows: DataFrame, size: int, value: Column) -> DataFrame:
-    """One row with an array of ``size`` values, in the order of their slots; ``rows`` has slot and v, the aggregate ``value`` is over v."""
+    """One row with an array of ``size`` values below 2^32, in the order of their slots; ``rows`` has slot and v, the aggregate ``value`` is over v."""
     empty = rows.sparkSession.range(size).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("v"))
     filled = rows.select(F.col("slot").cast("long").alias("slot"), F.col("v").cast("long").alias("v")).unionAll(empty).groupBy("slot").agg(value.alias("v"))
-    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda s: s["v"]).alias("values"))
+    packed = F.collect_list(_shift(F.col("slot"), 32).bitwiseOR(F.col("v")))
+    return filled.agg(F.sort_array(packed).alias("values")).select(F.transform("values", lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))).alias("values"))
 
 
-def _frequencies(documents: DataFrame, text: str) -> DataFrame:
-    """One row: the rank of each counter of hashed words, from the rarest to the most frequent."""
-    found = documents.select(F.explode(F.split(F.lower(F.translate(text, "\n", " ")), " ")).alias("w")).where("w != ''")
-    counted = found.select(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("v"))
-    return _dense(counted, COUNTERS, F.sum("v"))
+def _lines(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """A row a line with words: its document (id and hash of the text), number, hash, and the 32-bit hashes of its distinct words."""
+    whole = documents.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("k"), F.posexplode(F.split(F.lower(text), "\n")).alias("l", "_line"))
+    hashes = F.transform(F.split("_line", " "), lambda w: F.hash(w))
+    nothing = F.array(F.hash(F.lit("")))
+    return whole.select("d", "k", "l", F.xxhash64("_line").alias("line"), F.array_except(hashes, nothing).alias("words")).where(F.size("words") > 0)
 
 
-def _lines(documents: DataFrame, doc_id: str, text: str, frequencies: DataFrame) -> DataFrame:
-    """A row a line with words: its codes, the rarest word first, their number and their hash.
+def _frequencies(lines: DataFrame) -> DataFrame:
+    """One row: for each counter of hashed words the logarithm of its count, above HASH_BITS."""
+    slots = lines.select(F.explode("words").alias("w")).select(F.col("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("slot"))
+    counted = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    dense = _dense(counted.select("slot", (F.floor(F.log2("n") * STEPS) + 1).alias("v")), COUNTERS, F.max("v"))
+    return dense.select(F.transform("values", lambda v: _shift(v, HASH_BITS)).alias("values"))
 
-    A code is a word's frequency, capped at the top of its bits, before 44 bits
-    of another hash of the word; frequency and hash together are 62 bits.
-    """
-    counts = frequencies.scalar()
-    exploded = documents.select(doc_id, F.posexplode(F.split(text, "\n")).alias("line_no", "_line")).where(F.col("_line").rlike("[^ ]"))
-    top = F.lit((1 << 18) - 1).cast("long")
 
-    def code(h: Column) -> Column:
-        seen = F.least(F.get(F.col("_counts"), F.pmod(h, F.lit(COUNTERS)).cast("int")), top)
-        return F.shiftleft(seen, CODE_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - CODE_BITS))
+def _entries(lines: DataFrame, frequencies: DataFrame, threshold: float) -> DataFrame:
+    """A row for each word in the prefix of each distinct line: code, place in the order of rarity, the line's first place, size and signature.
 
-    hashes = F.array_distinct(F.transform(_words(F.col("_line")), lambda w: F.xxhash64(w)))
-    rows = exploded.withColumn("_counts", counts).select(doc_id, "line_no", F.sort_array(F.transform(hashes, code)).alias("codes"))
-    return rows.select(doc_id, "line_no", "codes", F.size("codes").alias("n"), F.xxhash64("codes").alias("line"))
+    A code is a word's frequency before its hash, so that sorted codes begin
+    with the rarest word. The signature's 128 bits are flipped once by each
+    word, so two lines differ in at most as many bits as words.
+    """
 
+    def code(w: Column) -> Column:
+        return F.coalesce(F.get(F.col("_counts"), w.bitwiseAND(F.lit(COUNTERS - 1))), F.lit(0).cast("long")) + w.cast("long")
 
-def _signature(codes: Column, part: int) -> Column:
-    """64 bits, of which each word flips one; so two lines differ in at most as many bits as words."""
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(c, 6 * part), F.lit(64)).cast("int"))))
+    def flips(part: int) -> Column:
+        # a shift by an int goes by its last six bits
+        return F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(_shift(F.lit(1).cast("long"), F.shiftright(w, part) if part else w)))
 
+    n = F.size("words")
+    prefix = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
+    rarest = F.slice(F.sort_array(F.transform("words", code)), F.lit(1), prefix)
+    # long lines need the second half of the signature
+    more = F.when(n > 40, flips(6)).otherwise(F.lit(0).cast("long"))
+    row = F.struct("d", "l", n.alias("n"), flips(0).alias("s"), more.alias("u"), rarest.alias("prefix"))
+    distinct = lines.withColumn("_counts", frequencies.scalar()).select("line", row.alias("x")).groupBy("line").agg(F.min("x").alias("x"))
+    return distinct.select("line", "x.d", "x.l", "x.n", "x.s", "x.u", F.posexplode("x.prefix").alias("at", "code"))
 
-def duplicate_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """A row a document with ``n_lines`` and ``removed``, the numbers of the lines to remove, counted from 0.
 
-    A line is a set of lower-case words between blanks. It goes when a line
-    before it, by id and line number, has the same set or one of at least the
-    threshold's Jaccard similarity, whether that line itself stays or not.
-    Lines without words stay.
-
-    Sets are told apart by a 64-bit hash, so copies of a line are one set. The
-    words of a set are ordered by how rare they are in all documents; two sets
-    can be similar only if their prefixes share a word, their sizes are near,
-    what follows the shared word is long enough, and the 128-bit signatures
-    differ in few enough bits. Pairs that pass are verified by their whole
-    sets. The frequencies and the marks of candidate sets are arrays of fixed
-    size.
-
-    Null and empty texts have no line. Rows that share an id count as one
-    document. Rows with a null id come first in the order. An empty table gives
-    an empty result.
-    """
-    frequencies = cut(_frequencies(documents, text))
-    lines = _lines(documents.select(doc_id, text), doc_id, text, frequencies)
-    place = F.struct(F.col(doc_id).alias("d"), F.col("line_no").alias("l"))
-    t = threshold
-    prefix = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1
-    own = cut(lines.select(doc_id, "line_no", "line"))
-    rows = lines.select(
-        "line", "n", place.alias("place"), _signature(F.col("codes"), 0).alias("s"), _signature(F.col("codes"), 1).alias("u"),
-        F.posexplode(F.slice("codes", F.lit(1), prefix.cast("int"))).alias("at", "code"),
-    )
-    rows = rows.repartition("code").groupBy("code", "line", "n", "at", "s", "u").agg(F.min("place").alias("place"))
-    a, b = rows.alias("a"), rows.alias("b")
+def _close(a: str, b: str, t: float) -> Column:
+    """Length, positional and signature filter of two entries of one code; ``a`` is the earlier."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    total = x("n") + y("n")
     # words that similar sets share at least, and differ in at most
-    shared = F.ceil(F.lit(t / (1 + t)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
-    rest = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
-    differ = F.col("a.n") + F.col("b.n") - 2 * shared
-    bits = F.bit_count(F.col("a.s").bitwiseXOR(F.col("b.s")))
-    more = F.bit_count(F.col("a.u").bitwiseXOR(F.col("b.u")))
-    pairs = a.join(
-        b,
-        (F.col("a.code") == F.col("b.code"))
-        & (F.col("a.n") >= t * F.col("b.n") - 1e-9) & (F.col("b.n") >= t * F.col("a.n") - 1e-9)
-        & (bits <= differ) & (more <= differ) & (rest >= shared)
-        & (F.col("a.line") != F.col("b.line")) & (F.col("a.place") < F.col("b.place")),
-    )
-    pairs = cut(pairs.select(F.col("a.line").alias("first"), F.col("b.line").alias("then")).distinct())
-    similar = _verified(pairs, lines, t)
-    first = own.groupBy("line").agg(F.min(place).alias("first"))
-    gone = first.join(similar.select(F.col("then").alias("line")).distinct(), "line", "left_anti").select("line", "first")
-    marked = own.join(gone, "line", "left").where(F.col("first").isNull() | (F.col("first") != place))
-    removed = marked.groupBy(doc_id).agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
-    counted = documents.groupBy(doc_id).agg(F.sum(F.when(F.length(text) > 0, F.size(F.split(text, "\n"))).otherwise(0)).cast("long").alias("n_lines"))
-    out = counted.join(removed, counted[doc_id].eqNullSafe(removed[doc_id]), "left").select(counted[doc_id], "n_lines", "removed")
-    return out.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    shared = F.ceil(F.lit(t / (1 + t)) * total - 1e-9)
+    rest = F.least(x("n") - x("at"), y("n") - y("at"))
+    differ = total - 2 * shared
+    earlier = F.struct(x("d"), x("l"), x("line")) < F.struct(y("d"), y("l"), y("line"))
+    near = (x("n") >= t * y("n") - 1e-9) & (y("n") >= t * x("n") - 1e-9) & (rest >= shared)
+    # lines of 40 words or less have no second half; it is compared only where both have one
+    half = (x("n") <= 40) | (y("n") <= 40) | (F.bit_count(x("u").bitwiseXOR(y("u"))) <= differ)
+    return near & (F.bit_count(x("s").bitwiseXOR(y("s"))) <= differ) & half & earlier
+
+
+def _similar(lines: DataFrame, threshold: float) -> DataFrame:
+    """``line`` of the distinct lines that have a similar one before them.
+
+    Lines are grouped by the words of their prefixes, each group in the order
+    of the lines. A line first meets the FIRST_REACH earliest of each of its
+    groups; what is not found similar then goes on to the next REACH times as
+    many, and so on, until its groups are through. So a group of near copies,
+    most of which are like its first ones, is not expanded to its pairs, and
+    still nothing is left out. The earliest of a group are picked before
+    anything moves, and the lines that meet them may be split over tasks.
+    """
+    entries = written(_entries(lines, cut(_frequencies(lines)), threshold), "line-prefixes")
+
+    def probe(earliest: DataFrame, entries: DataFrame) -> DataFrame:
+        met = earliest.alias("a").join(entries.alias("b"), (F.col("a.code") == F.col("b.code")) & _close("a", "b", threshold))
+        return met.select(F.col("a.line").alias("first"), F.col("b.line").alias("then")).distinct()
+
+    rank = F.row_number().over(Window.partitionBy("code").orderBy("d", "l", "line"))
+    found = _verified(probe(entries.withColumn("rank", rank).where(F.col("rank") <= FIRST_REACH), entries), lines, threshold)
+    longer = cut(entries.groupBy("code").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > FIRST_REACH))
+    last, reach = longer.agg(F.max("size")).first()[0] or 0, FIRST_REACH
+    while last > reach:
+        low, reach = reach, reach * REACH
+        large = entries.join(longer.where(F.col("size") > low).select("code"), "code", "left_semi")
+        left = large.join(found, "line", "left_anti")
+        chunk = large.withColumn("rank", rank).where(F.col("rank") <= reach).where(F.col("rank") > low)
+        found = cut(found.unionAll(_verified(probe(chunk, left), lines, threshold)))
+    return found
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
-    """The pairs whose whole sets are similar. Sets that no pair names are left out before the rest move, by bits of their hashes."""
+    """``line`` of the later lines of pairs whose whole sets are similar. Sets that no pair names are left out before the rest move, by bits of their hashes."""
+    pairs = cut(pairs)
     slot = F.pmod(F.col("line"), F.lit(BITS))
     named = pairs.select(F.explode(F.array("first", "then")).alias("line"))
-    marks = named.select(F.floor(slot / 64).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("v"))
-    marks = cut(_dense(marks, BITS // 64, F.bit_or("v")))
-    word = F.element_at(F.col("_marks"), (F.floor(slot / 64) + 1).cast("int"))
-    asked = F.call_function("shiftright", word, F.pmod(slot, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    sets = lines.withColumn("_marks", marks.scalar()).where(asked).groupBy("line").agg(F.first("codes").alias("codes"))
-    x, y = sets.select(F.col("line").alias("first"), F.col("codes").alias("x")), sets.select(F.col("line").alias("then"), F.col("codes").alias("y"))
+    marks = cut(_dense(named.select(F.shiftright(slot, 5).alias("slot"), _bit(slot, 32).alias("v")), BITS // 32, F.bit_or("v")))
+    word = F.element_at(F.col("_marks"), (F.shiftright(slot, 5) + 1).cast("int"))
+    sets = lines.select("line", "words").withColumn("_marks", marks.scalar()).where(word.bitwiseAND(_bit(slot, 32)) != 0)
+    sets = sets.groupBy("line").agg(F.first("words").alias("words"))
+    x, y = sets.select(F.col("line").alias("first"), F.col("words").alias("x")), sets.select(F.col("line").alias("then"), F.col("words").alias("y"))
     both = pairs.join(x, "first").join(y, "then")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= F.lit(t) * (F.size("x") + F.size("y") - common) - 1e-9).select("first", "then")
+    return cut(both.where(common >= F.lit(t) * (F.size("x") + F.size("y") - common) - 1e-9).select(F.col("then").alias("line")).distinct())
+
+
+def _removed(documents: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    """``removed`` for each document with a line to remove, by id (d) and hash of the text (k)."""
+    lines = written(_lines(documents, doc_id, text), "coded-lines")
+    similar = _similar(lines, threshold)
+    place = F.struct("d", "l", "k")
+    own = lines.select("d", "k", "l", "line")
+    first = own.groupBy("line").agg(F.min(place).alias("first"))
+    stays = first.join(similar, "line", "left_anti").select("line", "first")
+    gone = own.join(stays, "line", "left").where(F.col("first").isNull() | (F.col("first") != place))
+    return gone.groupBy("d", "k").agg(F.array_sort(F.collect_set("l")).alias("removed"))
+
+
+def duplicate_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each row of the documents with its id, ``n_lines`` and ``removed``, the numbers of the lines to remove, counted from 0.
+
+    A line is a set of lower-case words between blanks. It goes when a line
+    before it, by id, line number and hash, has the same set or one of at least
+    the threshold's Jaccard similarity, whether that line itself stays or not.
+    Lines without words stay.
+
+    Lines are cut into words once; what follows reads 32-bit hashes of words,
+    so two different words of a pair of lines are taken for one with a chance
+    of 2e-10. Copies of a line are one set. The words of a set are ordered by
+    how rare they are in all documents; two sets can be similar only if their
+    prefixes share a word, their sizes are near, what follows the shared word
+    is long enough, and the 128-bit signatures differ in few enough bits. Pairs
+    that pass are verified by their whole sets. The frequencies and the marks of
+    candidate sets are arrays of fixed size.
+
+    Null and empty texts have no line. Rows with a null id come first in the
+    order. Rows alike in id and text are the same document and get the same
+    result; rows that share only the id are documents of their own. An empty
+    table gives an empty result; other columns are not returned.
+    """
+    removed = _removed(documents, doc_id, text, threshold)
+    newlines = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    counted = documents.select(F.col(doc_id), F.xxhash64(text).alias("_k"), F.when(F.length(text) > 0, newlines + 1).otherwise(0).cast("long").alias("n_lines"))
+    out = counted.join(removed, counted[doc_id].eqNullSafe(removed["d"]) & (counted["_k"] == removed["k"]), "left").select(counted[doc_id], "n_lines", "removed")
+    return out.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
 
 
-def remove_lines(documents: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without the lines that ``duplicate_lines`` found."""
-    gone = found.select(F.col(doc_id).alias("_id"), "removed")
-    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("removed", i))
-    joined = documents.join(gone, documents[doc_id].eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn(text, F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))).select(documents.columns)
+def remove_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents without the lines that ``duplicate_lines`` names; nothing else is changed, and every row stays."""
+    gone = _removed(documents, doc_id, text, threshold).select(F.col("d").alias("_d"), F.col("k").alias("_k"), F.col("removed").alias("_removed"))
+    joined = documents.join(gone, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_k")), "left")
+    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("_removed", i))
+    return joined.withColumn(text, F.when(F.size("_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))).select(documents.columns)

@@ -392,11 +392,41 @@ def test_duplicate_lines(spark):
     want = brute_lines(list(enumerate(texts)))
     assert {r.doc_id: (r.n_lines, r.removed) for r in found.collect()} == want
     assert sum(len(r) for _, r in want.values()) > 50
-    clean = {r.doc_id: r.text for r in lines.remove_lines(frame, found).collect()}
+    clean = {r.doc_id: r.text for r in lines.remove_lines(frame).collect()}
     for i, t in enumerate(texts):
         gone = set(want[i][1])
         assert clean[i] == (t if not gone else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone))
-    assert lines.duplicate_lines(frame.limit(0)).count() == 0
+    assert lines.duplicate_lines(frame.limit(0)).count() == 0 == lines.remove_lines(frame.limit(0)).count()
+
+
+def test_duplicate_lines_of_one_group(spark):
+    """2,000 near copies of a line, most of which are like the first ones, and some that are like later ones only."""
+    draw = random.Random(16)
+    base = text(5, 40, 300).split()
+
+    def near(line, changes):
+        w = list(line)
+        for _ in range(changes):
+            w[draw.randrange(len(w))] = f"n{draw.randrange(10_000)}"
+        return w
+
+    drifted = near(base, 12)
+    texts = [" ".join(near(base if i % 9 else drifted, draw.randrange(5))) for i in range(2000)]
+    found = lines.duplicate_lines(docs(spark, texts).repartition(5))
+    assert {r.doc_id: (r.n_lines, r.removed) for r in found.collect()} == brute_lines(list(enumerate(texts)))
+
+
+def test_duplicate_lines_without_ids(spark):
+    """Rows without an id come first; rows alike in id and text are one document, others that share an id are not."""
+    rows = [(None, "a b c\nd e f", 1), (None, "a b c\nd e f", 2), (3, "d e f\nx", 3), (3, "y y\nx", 4), (3, None, 5), (1, "a b c", 6), (4, "x\nq", 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, removed long")
+    found = sorted((r.doc_id is None, r.doc_id, r.n_lines, r.removed) for r in lines.duplicate_lines(frame).collect())
+    assert [r for r in found if r[0]] == [(True, None, 2, [])] * 2
+    assert [r[1:] for r in found if not r[0]][0] == (1, 1, [0])
+    third = [r[2:] for r in found if r[1] == 3]
+    assert len(third) == 3 and (0, []) in third and sorted(third) in ([(0, []), (2, []), (2, [0, 1])], [(0, []), (2, [0]), (2, [1])])
+    assert (4, 2, [0]) in [r[1:] for r in found if not r[0]]
+    assert sorted(r.removed for r in lines.remove_lines(frame).collect()) == [1, 2, 3, 4, 5, 6, 7]
 
 
 # fingerprints
