@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,12 @@ THRESHOLD = 0.8
 COUNTERS, BITS = 1 << 20, 1 << 22
 #: Frequencies are kept as logarithms, STEPS to a doubling, above the bits of a word's hash.
 STEPS, HASH_BITS = 4096, 33
+#: Lines of more words have a signature of 128 bits, others of 64.
+LONG = 80
 #: Earliest lines of a word's group that the first round probes, and by how much each further round reaches on.
-FIRST_REACH, REACH = 32, 8
+FIRST_REACH, REACH = 64, 8
+#: Words that occur in so many lines have groups that are not gathered in one task.
+FREQUENT = 100_000
 
 
 def _shift(value: Column, by: int | Column) -> Column:
@@ -68,10 +74,12 @@ def _entries(lines: DataFrame, frequencies: DataFrame, threshold: float) -> Data
     prefix = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
     rarest = F.slice(F.sort_array(F.transform("words", code)), F.lit(1), prefix)
     # long lines need the second half of the signature
-    more = F.when(n > 40, flips(6)).otherwise(F.lit(0).cast("long"))
+    more = F.when(n > LONG, flips(6)).otherwise(F.lit(0).cast("long"))
     row = F.struct("d", "l", n.alias("n"), flips(0).alias("s"), more.alias("u"), rarest.alias("prefix"))
     distinct = lines.withColumn("_counts", frequencies.scalar()).select("line", row.alias("x")).groupBy("line").agg(F.min("x").alias("x"))
-    return distinct.select("line", "x.d", "x.l", "x.n", "x.s", "x.u", F.posexplode("x.prefix").alias("at", "code"))
+    rows = distinct.select("line", "x.d", "x.l", "x.n", "x.s", "x.u", F.posexplode("x.prefix").alias("at", "code"))
+    # none of these is null; told so, the planner adds no filters, and all readers share one exchange
+    return rows.select("d", "l", *(F.coalesce(c, F.lit(0).cast(rows.schema[c].dataType)).alias(c) for c in ("line", "n", "s", "u", "at", "code")))
 
 
 def _close(a: str, b: str, t: float) -> Column:
@@ -84,8 +92,8 @@ def _close(a: str, b: str, t: float) -> Column:
     differ = total - 2 * shared
     earlier = F.struct(x("d"), x("l"), x("line")) < F.struct(y("d"), y("l"), y("line"))
     near = (x("n") >= t * y("n") - 1e-9) & (y("n") >= t * x("n") - 1e-9) & (rest >= shared)
-    # lines of 40 words or less have no second half; it is compared only where both have one
-    half = (x("n") <= 40) | (y("n") <= 40) | (F.bit_count(x("u").bitwiseXOR(y("u"))) <= differ)
+    # the second half is compared only where both have one
+    half = (x("n") <= LONG) | (y("n") <= LONG) | (F.bit_count(x("u").bitwiseXOR(y("u"))) <= differ)
     return near & (F.bit_count(x("s").bitwiseXOR(y("s"))) <= differ) & half & earlier
 
 
@@ -97,25 +105,35 @@ def _similar(lines: DataFrame, threshold: float) -> DataFrame:
     groups; what is not found similar then goes on to the next REACH times as
     many, and so on, until its groups are through. So a group of near copies,
     most of which are like its first ones, is not expanded to its pairs, and
-    still nothing is left out. The earliest of a group are picked before
-    anything moves, and the lines that meet them may be split over tasks.
+    still nothing is left out. Groups of frequent words are left to these
+    rounds, which pick the earliest before anything moves, and whose joins may
+    split the lines that meet them over tasks.
     """
-    entries = written(_entries(lines, cut(_frequencies(lines)), threshold), "line-prefixes")
-
-    def probe(earliest: DataFrame, entries: DataFrame) -> DataFrame:
-        met = earliest.alias("a").join(entries.alias("b"), (F.col("a.code") == F.col("b.code")) & _close("a", "b", threshold))
+    entries = _entries(lines, cut(_frequencies(lines)), threshold)
+    least = ((math.floor(math.log2(FREQUENT) * STEPS) + 1) << HASH_BITS) - (1 << HASH_BITS - 1)
+    usual = entries.where(F.col("code") < least).repartition("code")
+    by_word = Window.partitionBy("code")
+    rank = F.row_number().over(by_word.orderBy("d", "l", "line"))
+
+    def probe(earliest: DataFrame, others: DataFrame) -> DataFrame:
+        met = earliest.alias("a").join(others.alias("b"), (F.col("a.code") == F.col("b.code")) & _close("a", "b", threshold))
         return met.select(F.col("a.line").alias("first"), F.col("b.line").alias("then")).distinct()
 
-    rank = F.row_number().over(Window.partitionBy("code").orderBy("d", "l", "line"))
-    found = _verified(probe(entries.withColumn("rank", rank).where(F.col("rank") <= FIRST_REACH), entries), lines, threshold)
-    longer = cut(entries.groupBy("code").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > FIRST_REACH))
-    last, reach = longer.agg(F.max("size")).first()[0] or 0, FIRST_REACH
-    while last > reach:
-        low, reach = reach, reach * REACH
-        large = entries.join(longer.where(F.col("size") > low).select("code"), "code", "left_semi")
+    pairs = probe(usual.withColumn("rank", rank).where(F.col("rank") <= FIRST_REACH), usual)
+    large = usual.withColumn("size", F.count(F.lit(1)).over(by_word)).where(F.col("size") > FIRST_REACH).withColumn("met", F.lit(FIRST_REACH))
+    large = large.drop("size").unionAll(entries.where(F.col("code") >= least).select(*usual.columns, F.lit(0).alias("met")))
+    # one job, so that the entries are made and dealt once
+    kept = [F.lit(None).cast(f.dataType).alias(f.name) for f in large.schema]
+    made = written(pairs.select("first", "then", *kept).unionAll(large.select(F.lit(None).cast("long"), F.lit(None).cast("long"), "*")), "line-pairs")
+    found = _verified(made.where("met is null").select("first", "then"), lines, threshold)
+    large = made.where("met is not null").drop("first", "then")
+    last = large.groupBy("code").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    low, reach = 0, FIRST_REACH
+    while last > low:
         left = large.join(found, "line", "left_anti")
-        chunk = large.withColumn("rank", rank).where(F.col("rank") <= reach).where(F.col("rank") > low)
+        chunk = large.withColumn("rank", rank).where(F.col("rank") <= reach).where((F.col("rank") > low) & (F.col("met") <= low))
         found = cut(found.unionAll(_verified(probe(chunk, left), lines, threshold)))
+        low, reach = reach, reach * REACH
     return found
 
 
