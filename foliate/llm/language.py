@@ -12,10 +12,8 @@ from foliate.llm.common import append
 WINDOW = 256
 #: Filter widths, filters of each width, size of a byte's embedding.
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 4
-#: Documents of each language that the network learns from at most, and windows of each.
-SAMPLE, SAMPLE_WINDOWS = 1500, 3
-#: Languages that are learned at most, those of most documents.
-LANGUAGES = 64
+#: Documents of each language, and of all, that the network learns from at most, and windows of each document. Every language has one at least.
+SAMPLE, SAMPLE_ROWS, SAMPLE_WINDOWS = 1500, 60_000, 3
 EPOCHS, RATE, BATCH, SEED = 6, 0.01, 64, 7
 #: The prediction for texts without a letter.
 UNDETERMINED = "und"
@@ -115,22 +113,27 @@ class ByteNetwork:
 def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", seed: int = SEED) -> ByteNetwork | None:
     """A network from a bounded sample: SAMPLE documents of each language at most, spread by a seeded hash.
 
-    The sample is SAMPLE_WINDOWS windows of a document, cut at seeded places of
-    the whole text, so the driver holds under LANGUAGES * SAMPLE *
-    SAMPLE_WINDOWS * WINDOW bytes. None without labelled text.
+    Every language with labelled text is learned; the more there are, the fewer
+    documents of each, SAMPLE_ROWS in all or one of each language. The sample
+    is SAMPLE_WINDOWS windows of a document, cut at seeded places of the whole
+    text, so the driver holds about SAMPLE_ROWS * SAMPLE_WINDOWS * WINDOW bytes
+    beside the network's row for each language. None without labelled text.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
+    counts = rows.groupBy(lang).count().collect()
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r[lang], min(1.0, 1.15 * SAMPLE / r["count"]))))
+    most = max(1, min(SAMPLE, SAMPLE_ROWS // len(counts)))
+    # rows drawn by chance, with room that even a small number of a language is met but once in ten million times
+    room = most + 6 * most**0.5 + 20
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r[lang], min(1.0, room / r["count"]))))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 1) / float(1 << 63)
-    room = F.greatest(F.length(text) - WINDOW, F.lit(0)) + 1
-    cuts = [F.substring(F.col(text), (F.pmod(F.xxhash64(F.lit(seed + i), doc_id), room) + 1).cast("int"), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)]
+    places = F.greatest(F.length(text) - WINDOW, F.lit(0)) + 1
+    cuts = [F.substring(F.col(text), (F.pmod(F.xxhash64(F.lit(seed + i), doc_id), places) + 1).cast("int"), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)]
     picked = rows.withColumn("_draw", draw).where(F.col("_draw") < share[F.col(lang)]).select(lang, "_draw", F.array(*cuts).alias("cuts")).toArrow()
     per: dict[str, list] = {r[lang]: [] for r in counts}
     for label, at, parts in sorted(zip(*(c.to_pylist() for c in picked.columns), strict=True), key=lambda r: (r[0], r[1], r[2])):
-        if len(per[label]) < SAMPLE:
+        if len(per[label]) < most:
             per[label].append(parts)
     labels = sorted(k for k, v in per.items() if v)
     x, y = [], []

@@ -50,7 +50,8 @@ def op5_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans: str):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    return found.select("doc_id", *map(count, personal.KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    hashed, added = F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *map(count, personal.KINDS), hashed, joined("spans").alias("spans"), added)
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

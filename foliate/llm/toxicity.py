@@ -34,24 +34,28 @@ CACHE = 500_000
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments as (start, end, sum), in one pass (Ruzzo and Tompa 1999)."""
-    out: list[list] = []  # start, end, sum before, sum after
+    """All maximal scoring segments as (start, end, sum), in linear time (Ruzzo and Tompa 1999).
+
+    Each segment links to the nearest one before it with a smaller sum on its
+    left, so that a search passes over no segment twice.
+    """
+    out: list[tuple] = []  # start, end, sum before, sum after, link
     total = 0.0
     for i, score in enumerate(scores):
         before, total = total, total + score
         if score <= 0:
             continue
-        new = [i, i + 1, before, total]
+        start, k = i, len(out) - 1
         while True:
-            k = len(out) - 1
-            while k >= 0 and out[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or out[k][3] >= new[3]:
-                out.append(new)
+            while k >= 0 and out[k][2] >= before:
+                k = out[k][4]
+            if k < 0 or out[k][3] >= total:
+                out.append((start, i + 1, before, total, k))
                 break
-            new = [out[k][0], new[1], out[k][2], new[3]]
+            start, _, before, _, link = out[k]
             del out[k:]
-    return [(a, b, after - before) for a, b, before, after in out]
+            k = link
+    return [(a, b, after - before) for a, b, before, after, _ in out]
 
 
 class _Scores(dict):

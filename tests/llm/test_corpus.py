@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -215,7 +217,7 @@ def test_personal_added_spans(spark):
     rows = {r.doc_id: r for r in personal.find(frame, personal.train(frame)).collect()}
     spans = {texts[i][s.start : s.end]: s.kind for i, r in rows.items() for s in r.spans}
     assert spans.get("624-555-2408") == "phone" and spans.get("10.0.0.7") == "ip"
-    assert not rows[len(texts) - 1].spans and not any(rows[i].spans for i in range(7))
+    assert spans.get("7602ad27cf5550de1c") == "secret" and not any(rows[i].spans for i in range(7))
     for r in rows.values():
         assert {tuple(s) for s in r.base} <= {tuple(s) for s in r.spans}
 
@@ -242,6 +244,35 @@ def test_personal_spans_at_every_offset(size):
     assert [[t[a:b] for a, _, b in row] for t, row in zip(texts, spans, strict=True)] == [[item]] * len(texts)
 
 
+def spelled_base(t):
+    """The base patterns as they are worded, by the plain expressions."""
+    plain = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    out = []
+    for k, pattern in enumerate(plain):
+        for m in re.finditer(pattern, t):
+            digits = re.sub("[^0-9]", "", m[0])
+            fits = [True, all(int(p) <= 255 for p in m[0].split(".")), 14 <= len(digits) <= 19 and personal.luhn(digits), 10 <= len(digits) <= 15]
+            out += [(m.start(), k, m.end())] if (fits[k] if k != 1 or max(map(len, m[0].split("."))) < 100 else False) else []
+    return sorted(out)
+
+
+def test_base_spans_are_those_of_the_plain_patterns():
+    draw = random.Random(11)
+    for _ in range(4000):
+        t = "".join(draw.choice(["a", "@", ".", "1", "25", "+1", " ", "-", "(", ")", "b.c", "4242", "255", "_", "é", "@x.y"]) for _ in range(draw.randrange(40)))
+        assert personal.base_spans(t) == spelled_base(t), t
+
+
+def test_long_runs_take_linear_time():
+    began = time.time()
+    for t in ("a" * 1_000_000, "1" * 1_000_000, "a@" * 300_000, "1.1.1x" * 150_000, "+" * 1_000_000, "x" * 500_000 + "@b.c", "1.2.3.4 " * 20_000):
+        personal.base_spans(t)
+    found = [(i, i + 6, i % 5, -0.1) for i in range(0, 80_000, 3)]
+    assert personal.reconcile(found, [(i, 0, i + 2) for i in range(0, 80_000, 40)])
+    toxicity.segments([1.0, -2.0] * 200_000)
+    assert time.time() - began < 30
+
+
 def test_reconcile_is_the_best_choice():
     found = [(0, 10, 0, -0.1), (0, 10, 0, -0.3), (8, 20, 1, -0.05), (20, 25, 2, -0.01), (30, 31, 3, -1.9)]
     assert personal.reconcile(found, []) == [(8, 1, 20), (20, 2, 25)]
