@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliate.functions.text import strip
+from foliate.functions.text import squash, strip
 
 # The vocabulary, the types whose labels must stand in the text, and the keywords of the domains in their order.
 NODE_TYPES = ("method", "dataset", "claim", "result", "metric", "concept", "task")
@@ -96,16 +96,29 @@ def briefing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def seed(papers: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A node for each paper's title and for each titled section, the sections being part of the paper."""
-    def node(ident: Column, label: Column, text: str, path: Column) -> list[Column]:
-        return [ident.alias("id"), strip(label).alias("label"), F.lit("concept").alias("type"), F.lit(text).alias("description"), path.alias("section_path")]
+    """A node for each paper's title and for each different title of its sections, the sections being part of the paper.
+
+    A section whose title, blanks and case aside, came before joins that node:
+    it gives its path where the node has none, and its spelling as an alias;
+    it has no edge of its own.
+    """
+    def node(ident: Column, text: str, path: Column) -> list[Column]:
+        return [ident.alias("id"), strip(F.col("title")).alias("label"), F.lit("concept").alias("type"), F.lit(text).alias("description"), path.alias("section_path")]
 
     titled = papers.where(strip(F.coalesce("title", F.lit(""))) != "")
-    tops = titled.select("paper_id", F.lit(0).cast("long").alias("ord"), *node(F.lit("paper"), F.col("title"), "paper title", F.lit(None).cast("string")))
+    tops = titled.select("paper_id", F.lit(0).cast("long").alias("ord"), *node(F.lit("paper"), "paper title", F.lit(None).cast("string")))
     parts = sections.where(strip(F.coalesce("title", F.lit(""))) != "")
-    parts = parts.select("paper_id", F.col("ord").cast("long").alias("ord"), *node(F.concat(F.lit("sec"), F.col("ord") - 1), F.col("title"), "section", F.col("section_path")))
-    edges = parts.join(titled.select("paper_id"), "paper_id", "left_semi").select("paper_id", "ord", F.col("id").alias("source"), F.lit("paper").alias("target"), F.lit("part_of").alias("relation"))
-    return tops.unionAll(parts), edges
+    parts = parts.select("paper_id", F.col("ord").cast("long").alias("ord"), *node(F.concat(F.lit("sec"), F.col("ord") - 1), "section", F.col("section_path")))
+    everything = tops.unionAll(parts).withColumn("_same", F.lower(squash(F.col("label"))))
+    first = F.min(F.struct("ord", "id", "label", "type", "description", "section_path"))
+    path = F.min(F.when(F.col("section_path") != "", F.struct("ord", "section_path")))
+    spellings = F.array_sort(F.collect_list(F.struct("ord", "label")))
+    merged = everything.groupBy("paper_id", "_same").agg(first.alias("n"), path.alias("p"), spellings.alias("_l"))
+    aliases = F.array_except(F.array_distinct(F.transform("_l", lambda x: x["label"])), F.array("n.label"))
+    section_path = F.when(F.col("n.section_path") != "", F.col("n.section_path")).otherwise(F.col("p.section_path"))
+    nodes = merged.select("paper_id", "n.ord", "n.id", "n.label", "n.type", "n.description", section_path.alias("section_path"), aliases.alias("aliases"))
+    linked = nodes.where("id != 'paper'").join(titled.select("paper_id").distinct(), "paper_id", "left_semi")
+    return nodes, linked.select("paper_id", "ord", F.col("id").alias("source"), F.lit("paper").alias("target"), F.lit("part_of").alias("relation"))
 
 
 def detect_domain(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -117,7 +130,7 @@ def detect_domain(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _norm(label: str) -> str:
-    return " ".join(str(label).lower().split())
+    return " ".join((label or "").lower().split())
 
 
 def _fold(nodes: pd.DataFrame) -> pd.DataFrame:
@@ -127,7 +140,6 @@ def _fold(nodes: pd.DataFrame) -> pd.DataFrame:
         node["aliases"] = list(node["aliases"]) if node["aliases"] is not None else []
         key = (node["type"], _norm(node["label"]))
         places = [d[k] for d, k in ((by_id, node["id"]), (by_label, key)) if k in d]
-        node["canonical"] = node["id"]
         if not places:
             by_id[node["id"]], by_label[key] = len(kept), len(kept)
             kept.append(node)
@@ -177,12 +189,12 @@ def _corefer(nodes: pd.DataFrame) -> pd.DataFrame:
     while i < len(live):
         a, merged = live[i], False
         for b in live[i + 1 :]:
-            x, y = (r["label"].strip().lower() for r in (a, b))
+            x, y = ((r["label"] or "").strip().lower() for r in (a, b))
             if a["type"] != b["type"] or not x or not y or x == y:
                 continue
             one, two = ({w.lower() for w in words[r["id"]]} for r in (a, b))
             if x in y or y in x or (one and two and len(one & two) >= 0.8 * min(len(one), len(two))):
-                keep, drop = (a, b) if len(a["label"]) >= len(b["label"]) else (b, a)
+                keep, drop = (a, b) if len(a["label"] or "") >= len(b["label"] or "") else (b, a)
                 goes[drop["id"]] = keep["id"]
                 live, merged = [r for r in live if r["id"] != drop["id"]], True
                 break

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliate.functions.text import cite_keys, strip, word_count
@@ -10,7 +10,7 @@ from foliate.functions.text import cite_keys, strip, word_count
 #: A draft below this share of its budget is short; a plan's budgets may be off by this share of the target.
 SHORT_OF_BUDGET, BUDGET_TOLERANCE = 0.8, 0.15
 # Open places in a draft.
-TODO, CITE_MARKER, EMPTY_CITE = r"\[TODO[^\]]*\]", r"\[CITE:[^\]]*\]", r"\\cite[a-zA-Z]*\s*(?:\[[^\]]*\])*\s*\{\s*\}"
+TODO, CITE_MARKER, EMPTY_CITE = r"(?i)\[TODO[^\]]*\]", r"(?i)\[CITE:[^\]]*\]", r"\\cite[a-zA-Z]*\s*(?:\[[^\]]*\])*\s*\{\s*\}"
 
 
 def cross_check(cited: DataFrame, bibliography: DataFrame, by: list[str]) -> DataFrame:
@@ -37,7 +37,9 @@ def malformed(entries: DataFrame) -> DataFrame:
 
 def lint_counts(cited: DataFrame, entries: DataFrame, by: list[str]) -> DataFrame:
     """Entries, cited keys, malformed entries, duplicate, missing and uncited keys of each group."""
-    checked = cross_check(cited, entries, by).select(*by, F.size("missing_in_bib").cast("long").alias("missing"), F.size("uncited_in_bib").cast("long").alias("uncited"))
+    c = cited.select(*by, "key").where("key != ''").distinct().withColumn("_c", F.lit(True))
+    b = entries.select(*by, "key").where("key != ''").distinct().withColumn("_b", F.lit(True))
+    checked = c.join(b, [*by, "key"], "full_outer").groupBy(*by).agg(F.count_if(F.col("_b").isNull()).alias("missing"), F.count_if(F.col("_c").isNull()).alias("uncited"))
     listed = entries.groupBy(*by).agg(F.count(F.lit(1)).alias("entries"))
     keys = cited.where("key != ''").groupBy(*by).agg(F.count_distinct("key").alias("cited"))
     bad = malformed(entries).groupBy(*by).agg(F.count(F.lit(1)).alias("malformed"))
@@ -120,6 +122,3 @@ def plan_check(plans: DataFrame, outline: DataFrame, targets: DataFrame) -> Data
     near = F.abs(F.col("budget_total") - F.col("word_target")) <= F.lit(BUDGET_TOLERANCE) * F.col("word_target")
     return out.withColumn("budget_ok", F.when(F.col("word_target") > 0, near).otherwise(True))
 
-
-def number_rows(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

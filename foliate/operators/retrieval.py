@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions.text import tokens
@@ -53,9 +53,12 @@ def _equals(word: str):
     return lambda x: x == word
 
 
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors as doubles; 0 if one has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
@@ -72,8 +75,32 @@ def render_scored(ranked: DataFrame, by: list[str], text: str = "context") -> Da
     return ranked.groupBy(*by).agg(rows.alias("_r")).select(*by, F.array_join(F.transform("_r", lambda r: r["t"]), "\n\n").alias("context"), F.transform("_r", lambda r: r["block_id"]).alias("block_ids"))
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k vectors nearest to each of a small stated set of query vectors."""
-    q = queries.select(F.col(ident).alias("query_id"), F.col(vector).alias("_q"))
-    scored = vectors.join(F.broadcast(q), F.lit(True)).select("query_id", ident, F.round(cosine(F.col(vector), F.col("_q")), 6).alias("score"))
-    return top_k(scored, k, ["query_id"], tie=ident)
+#: Query vectors that are scored at a time, against vectors as they stand.
+QUERY_BLOCK = 256
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The k vectors nearest to each query vector by cosine, ties by id, scores rounded to six places.
+
+    Query vectors are packed into blocks of QUERY_BLOCK; each meets every
+    vector where it stands, and a partition passes on its k best of each query
+    only, so what is ranked at the end is k rows a query and partition.
+    """
+    def unit(c: Column) -> Column:
+        return F.sqrt(dot(c, c))
+
+    q = queries.select(F.col(ident).alias("query_id"), F.col(vector).cast("array<double>").alias("q"))
+    q = q.withColumn("norm", unit(F.col("q")))
+    size = max(1, -(-q.count() // QUERY_BLOCK))
+    blocks = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(size))).groupBy("_b").agg(F.collect_list(F.struct("query_id", "q", "norm")).alias("_qs"))
+    v = vectors.select(ident, F.col(vector).cast("array<double>").alias("_v")).withColumn("_n", unit(F.col("_v")))
+    out = None
+    for b in range(size):
+        # one row of QUERY_BLOCK vectors on average
+        packed = blocks.where(F.col("_b") == b).select("_qs")
+        met = v.withColumn("_qs", packed.scalar()).select(ident, "_v", "_n", F.explode("_qs").alias("_q"))
+        norms = F.col("_n") * F.col("_q.norm")
+        scored = met.select(F.col("_q.query_id").alias("query_id"), ident, F.round(F.when(norms > 0, dot(F.col("_v"), F.col("_q.q")) / norms).otherwise(0.0), 6).alias("score"))
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), ident))).where(F.col("rank") <= k)
+        out = ranked if out is None else out.unionAll(ranked)
+    return out

@@ -25,9 +25,9 @@ def query(name: str, sql: str | None = None):
 
 
 KG = f"""
-WITH raw_nodes AS (SELECT s_nationkey % 3 AS paper_id, s_suppkey AS ord, 'n' || s_suppkey AS id, s_name AS label, [{TYPES}][1 + s_suppkey % 8] AS type, CAST((s_suppkey % 10) / 10.0 AS DOUBLE) AS confidence FROM supplier),
+WITH raw_nodes AS (SELECT s_suppkey // 50 AS paper_id, s_suppkey AS ord, 'n' || s_suppkey AS id, s_name AS label, [{TYPES}][1 + s_suppkey % 8] AS type, CAST((s_suppkey % 10) / 10.0 AS DOUBLE) AS confidence FROM supplier),
 nodes AS (SELECT paper_id, ord, id, label, CASE WHEN lower(trim(type)) IN ('method', 'dataset', 'claim', 'result', 'metric', 'concept', 'task') THEN lower(trim(type)) ELSE 'concept' END AS type, confidence FROM raw_nodes),
-raw_edges AS (SELECT s_nationkey % 3 AS paper_id, s_suppkey * 8 + k AS ord, 'n' || s_suppkey AS source, 'n' || (1 + (s_suppkey * k) % 97) AS target, CASE WHEN k % 2 = 0 THEN 'uses' ELSE 'likes' END AS relation FROM supplier, (VALUES (1), (2), (3), (5), (6), (6)) v(k)),
+raw_edges AS (SELECT s_suppkey // 50 AS paper_id, s_suppkey * 8 + k AS ord, 'n' || s_suppkey AS source, 'n' || (s_suppkey // 50 * 50 + (s_suppkey * k) % 50) AS target, CASE WHEN k % 2 = 0 THEN 'uses' ELSE 'likes' END AS relation FROM supplier, (VALUES (1), (2), (3), (5), (6), (6)) v(k)),
 edges AS (SELECT e.paper_id, min(e.ord) AS ord, e.source, e.target, CASE WHEN relation = 'uses' THEN 'uses' ELSE 'related_to' END AS relation FROM raw_edges e
   JOIN nodes a ON a.paper_id = e.paper_id AND a.id = e.source JOIN nodes b ON b.paper_id = e.paper_id AND b.id = e.target WHERE source != target GROUP BY ALL)
 """
@@ -35,14 +35,14 @@ edges AS (SELECT e.paper_id, min(e.ord) AS ord, e.source, e.target, CASE WHEN re
 
 def raw_nodes(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "supplier").selectExpr(
-        "s_nationkey % 3 as paper_id", "s_suppkey as ord", "concat('n', s_suppkey) as id", "s_name as label", f"element_at(array({TYPES}), cast(1 + s_suppkey % 8 as int)) as type",
+        "s_suppkey div 50 as paper_id", "s_suppkey as ord", "concat('n', s_suppkey) as id", "s_name as label", f"element_at(array({TYPES}), cast(1 + s_suppkey % 8 as int)) as type",
         "'' as description", "'' as section_path", "cast(array() as array<string>) as aliases", "'' as evidence", "s_suppkey % 10 / 10.0D as confidence",
     )
 
 
 def raw_edges(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").selectExpr("s_nationkey % 3 as paper_id", "s_suppkey", "explode(array(1, 2, 3, 5, 6, 6)) as k")
-    return rows.selectExpr("paper_id", "s_suppkey * 8 + k as ord", "concat('n', s_suppkey) as source", "concat('n', 1 + (s_suppkey * k) % 97) as target", "case when k % 2 = 0 then 'uses' else 'likes' end as relation")
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey div 50 as paper_id", "s_suppkey", "explode(array(1, 2, 3, 5, 6, 6)) as k")
+    return rows.selectExpr("paper_id", "s_suppkey * 8 + k as ord", "concat('n', s_suppkey) as source", "concat('n', s_suppkey div 50 * 50 + (s_suppkey * k) % 50) as target", "case when k % 2 = 0 then 'uses' else 'likes' end as relation")
 
 
 def valid(spark, sf_dir):
@@ -72,12 +72,12 @@ def kg_orphans(spark, sf_dir):
     return graph.prune_orphans(nodes, edges).select("paper_id", "id", "label", "type")
 
 
-@query("kg_verify", KG.replace("nodes AS (SELECT paper_id", "texts AS (SELECT s_nationkey % 3 AS paper_id, lower(string_agg(s_name, ' ') FILTER (WHERE s_suppkey % 3 > 0)) AS t FROM supplier GROUP BY 1), nodes AS (SELECT paper_id").replace(", confidence FROM raw_nodes)", """, confidence AS c0 FROM raw_nodes),
+@query("kg_verify", KG.replace("nodes AS (SELECT paper_id", "texts AS (SELECT s_suppkey // 50 AS paper_id, lower(string_agg(s_name, ' ') FILTER (WHERE s_suppkey % 3 > 0)) AS t FROM supplier GROUP BY 1), nodes AS (SELECT paper_id").replace(", confidence FROM raw_nodes)", """, confidence AS c0 FROM raw_nodes),
 g AS (SELECT nodes.*, CASE WHEN type IN ('method', 'dataset', 'metric', 'task') AND NOT contains(t, lower(label)) THEN c0 * 0.4 ELSE c0 END AS confidence FROM nodes JOIN texts USING (paper_id))""") + """,
 pn AS (SELECT * FROM g WHERE confidence >= 0.3), pe AS (SELECT * FROM edges SEMI JOIN pn a ON a.paper_id = edges.paper_id AND a.id = edges.source SEMI JOIN pn b ON b.paper_id = edges.paper_id AND b.id = edges.target)""" + ORPHANS + "SELECT paper_id, id, type, round(confidence, 6) AS confidence FROM po")
 def kg_verify(spark, sf_dir):
     nodes, edges = valid(spark, sf_dir)
-    texts = table(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey") % 3).alias("paper_id")).agg(F.array_join(F.collect_list(F.when(F.col("s_suppkey") % 3 > 0, F.col("s_name"))), " ").alias("text"))
+    texts = table(spark, sf_dir, "supplier").groupBy(F.floor(F.col("s_suppkey") / 50).cast("long").alias("paper_id")).agg(F.array_join(F.collect_list(F.when(F.col("s_suppkey") % 3 > 0, F.col("s_name"))), " ").alias("text"))
     return graph.verify(nodes, edges, texts, 0.3)[0].select("paper_id", "id", "type", F.round("confidence", 6).alias("confidence"))
 
 
@@ -88,30 +88,34 @@ def kg_briefing(spark, sf_dir):
     return graph.briefing(*valid(spark, sf_dir))
 
 
-@query("kg_seed", SECTIONS + ", tops AS (SELECT doc_id AS paper_id, source || ' ' || doc_id AS title FROM documents WHERE doc_id % 3 > 0), n AS (SELECT paper_id, 'paper' AS id, title AS label FROM tops UNION ALL SELECT paper_id, 'sec' || (ord - 1), title FROM sections) SELECT n.*, (id != 'paper' AND paper_id % 3 > 0) AS linked FROM n")
+@query("kg_seed", SECTIONS + """, n AS (SELECT doc_id AS paper_id, 0 AS ord, 'paper' AS id, CASE WHEN doc_id % 2 = 0 THEN 'part  3' ELSE source || ' ' || doc_id END AS label, NULL AS path FROM documents WHERE doc_id % 3 > 0
+  UNION ALL SELECT paper_id, ord, 'sec' || (ord - 1), title, section_path FROM sections WHERE trim(title) != ''),
+m AS (SELECT *, first_value(id) OVER (PARTITION BY paper_id, lower(regexp_replace(trim(label), '\\s+', ' ', 'g')) ORDER BY ord) AS kept,
+  first_value(label) OVER (PARTITION BY paper_id, lower(regexp_replace(trim(label), '\\s+', ' ', 'g')) ORDER BY ord) AS kept_label FROM n)
+SELECT paper_id, kept AS id, kept_label AS label, arg_min(path, ord) FILTER (WHERE path != '') AS section_path, CAST(count(DISTINCT label) - 1 AS INTEGER) AS n_aliases, (kept != 'paper' AND paper_id % 3 > 0) AS linked FROM m GROUP BY paper_id, kept, kept_label""")
 def kg_seed(spark, sf_dir):
-    papers = table(spark, sf_dir, "documents").selectExpr("doc_id as paper_id", "case when doc_id % 3 > 0 then concat(source, ' ', doc_id) end as title")
+    papers = table(spark, sf_dir, "documents").selectExpr("doc_id as paper_id", "case when doc_id % 3 > 0 then if(doc_id % 2 = 0, 'part  3', concat(source, ' ', doc_id)) end as title")
     nodes, edges = graph.seed(papers, sections(spark, sf_dir))
     linked = edges.select("paper_id", F.col("source").alias("id"), F.lit(True).alias("_l"))
-    return nodes.join(linked, ["paper_id", "id"], "left").select("paper_id", "id", "label", F.coalesce("_l", F.lit(False)).alias("linked"))
+    return nodes.join(linked, ["paper_id", "id"], "left").select("paper_id", "id", "label", "section_path", F.size("aliases").alias("n_aliases"), F.coalesce("_l", F.lit(False)).alias("linked"))
 
 
 WORDS = [w for words in graph.DOMAINS.values() for w in words]
 
 
-@query("domain_detect", f"""WITH t AS (SELECT doc_id, 'on ' || [{", ".join(f"'{w}'" for w in WORDS)}][1 + doc_id % {len(WORDS)}] || CASE WHEN doc_id % 2 = 0 THEN ' and LATENCY, cache' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ' nothing' ELSE '' END AS text FROM documents),
+@query("domain_detect", f"""WITH t AS (SELECT doc_id, coalesce(text, '') || ' on ' || [{", ".join(f"'{w}'" for w in WORDS)}][1 + doc_id % {len(WORDS)}] || CASE WHEN doc_id % 2 = 0 THEN ' and LATENCY, cache' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ' nothing' ELSE '' END AS text FROM documents),
 h AS (SELECT doc_id, unnest([{", ".join("{'hits': " + " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in words) + f", 'o': -{i}, 'd': '{name}'" + "}" for i, (name, words) in enumerate(graph.DOMAINS.items()))}]) AS s FROM t),
 b AS (SELECT doc_id, max(s) AS s FROM h GROUP BY 1) SELECT doc_id, CASE WHEN s.hits > 0 THEN s.d ELSE 'general' END AS domain, s.hits AS hits FROM b""")
 def domain_detect(spark, sf_dir):
     words = ", ".join(f"'{w}'" for w in WORDS)
-    texts = table(spark, sf_dir, "documents").selectExpr("doc_id", f"concat('on ', element_at(array({words}), cast(1 + doc_id % {len(WORDS)} as int)), case when doc_id % 2 = 0 then ' and LATENCY, cache' else '' end, case when doc_id % 7 = 0 then ' nothing' else '' end) as text")
+    texts = table(spark, sf_dir, "documents").selectExpr("doc_id", f"concat(coalesce(text, ''), ' on ', element_at(array({words}), cast(1 + doc_id % {len(WORDS)} as int)), case when doc_id % 2 = 0 then ' and LATENCY, cache' else '' end, case when doc_id % 7 = 0 then ' nothing' else '' end) as text")
     return graph.detect_domain(texts).select("doc_id", "domain", "hits")
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
     """Parts as entities: names of two words, some as acronyms, ids and labels that come back."""
     return table(spark, sf_dir, "part").selectExpr(
-        "p_size % 10 as paper_id", "p_partkey as ord", "concat('e', p_partkey % 60) as id",
+        "p_partkey div 100 as paper_id", "p_partkey as ord", "concat('e', p_partkey % 60) as id",
         "case p_partkey % 4 when 0 then concat(upper(left(p_brand, 1)), 'N') when 1 then concat(p_brand, ' net') when 2 then p_brand else concat(p_brand, ' net ', p_size) end as label",
         "case when p_partkey % 3 = 0 then 'method' else 'concept' end as type", "repeat('d', cast(p_partkey % 9 as int)) as description", "case when p_partkey % 2 = 0 then 'A > B' else '' end as section_path",
         "cast(array() as array<string>) as aliases", "'' as evidence", "p_partkey % 10 / 10.0D as confidence",
@@ -146,13 +150,37 @@ def gather_union_budget(spark, sf_dir):
     return readers.gather(rows, 120)[0].select("label", "file_ord", "section_path")
 
 
-@query("openalex_records", """SELECT p_partkey, 'https://openalex.org/W' || p_partkey AS record_id, p_name AS title, p_brand AS author, 2000 + p_size AS year, 'alpha beta alpha' AS abstract FROM part""")
+@query("openalex_records", """SELECT p_partkey, 'openalex:https://openalex.org/W' || p_partkey AS record_id, p_name AS title,
+  CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN p_brand ELSE p_brand || '|' || p_type END AS authors, CASE WHEN p_partkey % 4 > 0 THEN 2000 + p_size END AS year,
+  CASE WHEN p_partkey % 5 > 0 THEN 'Source ' || p_size END AS venue, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 2 = 0 THEN 'Source ' || p_size END AS journal,
+  CASE WHEN p_partkey % 7 > 0 THEN array_to_string(list_transform(range(0, 1 + p_size % 6), lambda i: ['alpha', 'beta', 'gamma'][1 + (i * p_size) % 3]), ' ') END AS abstract FROM part""")
 def openalex_records(spark, sf_dir):
-    raw = table(spark, sf_dir, "part").selectExpr("p_partkey", "to_json(named_struct('id', concat('https://openalex.org/W', p_partkey), 'display_name', p_name, 'publication_year', 2000 + p_size, 'authorships', array(named_struct('author', named_struct('display_name', p_brand))), 'abstract_inverted_index', map('beta', array(1), 'alpha', array(0, 2)))) as raw")
-    return readers.openalex_records(raw).select("p_partkey", "record_id", "title", F.get("authors", F.lit(0)).alias("author"), "year", "abstract")
-
-
-@query("crossref_records", """SELECT p_partkey, '10.1/' || p_partkey AS record_id, p_name AS title, 'Ann ' || p_brand AS author, 2000 + p_size AS year, (2000 + p_size) || '-05-01' AS publication_date, 'some text' AS abstract FROM part""")
+    words = "transform(sequence(0, p_size % 6), i -> element_at(array('alpha', 'beta', 'gamma'), cast(1 + (i * p_size) % 3 as int)))"
+    index = f"map_from_arrays(array_distinct({words}), transform(array_distinct({words}), w -> filter(sequence(0, p_size % 6), i -> element_at({words}, cast(i + 1 as int)) = w)))"
+    raw = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey",
+        f"""to_json(named_struct('id', concat('https://openalex.org/W', p_partkey), 'display_name', p_name, 'publication_year', if(p_partkey % 4 > 0, 2000 + p_size, null),
+        'authorships', case p_partkey % 3 when 0 then null when 1 then array(named_struct('author', named_struct('display_name', p_brand)), named_struct('author', named_struct('display_name', '')))
+          else array(named_struct('author', named_struct('display_name', p_brand)), named_struct('author', named_struct('display_name', p_type))) end,
+        'primary_location', if(p_partkey % 5 > 0, named_struct('source', named_struct('display_name', concat('Source ', p_size), 'type', if(p_partkey % 2 = 0, 'journal', 'repository'))), null),
+        'abstract_inverted_index', if(p_partkey % 7 > 0, {index}, null))) as raw""",
+    )
+    return readers.openalex_records(raw).select("p_partkey", "record_id", "title", F.array_join("authors", "|").alias("authors"), "year", "venue", "journal", "abstract")
+
+
+@query("crossref_records", """SELECT p_partkey, 'crossref:' || CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'http://x/' || p_partkey ELSE '10.1/' || p_partkey END AS record_id, p_name AS title,
+  CASE WHEN p_partkey % 2 = 0 THEN 'Ann ' || p_brand ELSE p_brand END AS author, CASE WHEN p_partkey % 7 > 0 THEN 2000 + p_size END AS year,
+  CASE WHEN p_partkey % 7 > 0 THEN (2000 + p_size) || CASE WHEN p_partkey % 2 = 0 THEN '-05-09' ELSE '-01-01' END END AS publication_date,
+  'Journal ' || p_size AS venue, CASE WHEN p_partkey % 2 = 0 THEN 'Journal ' || p_size END AS journal, CAST(CASE WHEN p_partkey % 5 > 0 THEN p_size END AS BIGINT) AS citation_count, 'a < b & "c" ' || p_size AS abstract FROM part""")
 def crossref_records(spark, sf_dir):
-    raw = table(spark, sf_dir, "part").selectExpr("p_partkey", "to_json(named_struct('DOI', concat('10.1/', p_partkey), 'title', array(p_name), 'author', array(named_struct('given', 'Ann', 'family', p_brand)), 'issued', named_struct('date-parts', array(array(2000 + p_size, 5))), 'abstract', '<jats:p>some  text</jats:p>')) as raw")
-    return readers.crossref_records(raw).select("p_partkey", "record_id", "title", F.get("authors", F.lit(0)).alias("author"), "year", "publication_date", "abstract")
+    date = "named_struct('date-parts', array(if(p_partkey % 2 = 0, array(2000 + p_size, 5, 9), array(2000 + p_size))))"
+    raw = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey",
+        f"""to_json(named_struct('DOI', if(p_partkey % 3 = 2, concat('10.1/', p_partkey), null), 'URL', if(p_partkey % 3 = 0, null, concat('http://x/', p_partkey)), 'title', array('', p_name),
+        'container-title', array(concat('Journal ', p_size)), 'type', if(p_partkey % 2 = 0, 'Journal-Article', 'posted'), 'is-referenced-by-count', if(p_partkey % 5 > 0, p_size, null),
+        'author', array(named_struct('given', if(p_partkey % 2 = 0, ' Ann ', null), 'family', p_brand)),
+        'published-print', named_struct('date-parts', array(array(cast(null as int)))), 'issued', if(p_partkey % 7 > 0, {date}, null),
+        'abstract', concat('<jats:p>a &lt; b &amp;  &quot;c&quot;</jats:p> ', p_size)), map('ignoreNullFields', 'false')) as raw""",
+    )
+    rows = readers.crossref_records(raw)
+    return rows.select("p_partkey", "record_id", "title", F.get("authors", F.lit(0)).alias("author"), "year", "publication_date", "venue", "journal", "citation_count", "abstract")

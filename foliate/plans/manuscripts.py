@@ -78,7 +78,7 @@ def lint_counts(spark, sf_dir):
 
 
 # prose: a line as a sentence with citations in several forms
-PROSE = "concat('Line ', l_linenumber, ' holds. See \\\\citep[p 2]{p', l_partkey, ', s', l_suppkey % 7, '}', case when l_linenumber % 3 = 0 then '; also \\\\cite{}' else '' end, '. ', case when l_linenumber % 4 = 0 then '[TODO check] ' else '' end, repeat('word ', cast(l_quantity as int)))"
+PROSE = "concat('Line ', l_linenumber, ' holds. See \\\\citep[p 2]{p', l_partkey, ', s', l_suppkey % 7, '}', case when l_linenumber % 3 = 0 then '; also \\\\cite{}' else '' end, '. ', case l_linenumber % 4 when 0 then '[Todo check] ' when 1 then '[cite: x] [CITE: y] ' else '' end, repeat('word ', cast(l_quantity as int)))"
 
 
 def prose(spark, sf_dir) -> DataFrame:
@@ -88,7 +88,7 @@ def prose(spark, sf_dir) -> DataFrame:
 
 PROSE_SQL = """prose AS (SELECT l_orderkey AS paper_id, l_linenumber AS ord, 'Part ' || l_linenumber AS title,
   'Line ' || l_linenumber || ' holds. See \\citep[p 2]{p' || l_partkey || ', s' || (l_suppkey % 7) || '}' || CASE WHEN l_linenumber % 3 = 0 THEN '; also \\cite{}' ELSE '' END || '. ' ||
-  CASE WHEN l_linenumber % 4 = 0 THEN '[TODO check] ' ELSE '' END || repeat('word ', CAST(l_quantity AS INTEGER)) AS draft,
+  CASE l_linenumber % 4 WHEN 0 THEN '[Todo check] ' WHEN 1 THEN '[cite: x] [CITE: y] ' ELSE '' END || repeat('word ', CAST(l_quantity AS INTEGER)) AS draft,
   CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE 20 + l_linenumber * 5 END AS word_budget, 'p' || l_partkey AS k1, 's' || (l_suppkey % 7) AS k2 FROM lineitem)"""
 
 
@@ -111,7 +111,7 @@ def audit_words(spark, sf_dir):
     return lint.word_budgets(prose(spark, sf_dir))
 
 
-@query("audit_placeholders", f"""WITH {PROSE_SQL}, c AS (SELECT paper_id, count(*) FILTER (WHERE ord % 4 = 0) AS todo, CAST(0 AS BIGINT) AS cite_markers, count(*) FILTER (WHERE ord % 3 = 0) AS empty_cite, CAST(0 AS BIGINT) AS empty_sections FROM prose GROUP BY 1)
+@query("audit_placeholders", f"""WITH {PROSE_SQL}, c AS (SELECT paper_id, CAST(sum(len(regexp_extract_all(draft, '(?i)\\[todo[^\\]]*\\]'))) AS BIGINT) AS todo, CAST(sum(len(regexp_extract_all(draft, '(?i)\\[cite:[^\\]]*\\]'))) AS BIGINT) AS cite_markers, CAST(sum(len(regexp_extract_all(draft, '\\\\cite[a-z]*\\{{\\s*\\}}'))) AS BIGINT) AS empty_cite, count(*) FILTER (WHERE trim(draft) = '') AS empty_sections FROM prose GROUP BY 1)
 SELECT *, todo + cite_markers + empty_cite + empty_sections AS total FROM c""")
 def audit_placeholders(spark, sf_dir):
     return lint.placeholders(prose(spark, sf_dir))
@@ -129,7 +129,7 @@ def _audit_inputs(spark, sf_dir):
 r AS (SELECT o_orderkey AS paper_id, unnest([1, 2, 9]) AS n FROM orders), req AS (SELECT * FROM r WHERE NOT (n = 9 AND paper_id % 2 = 0)),
 m AS (SELECT req.paper_id, count(*) AS missing_sections FROM req ANTI JOIN prose ON prose.paper_id = req.paper_id AND prose.ord = req.n GROUP BY 1),
 u AS (SELECT paper_id, count(*) FILTER (WHERE word_budget > 0 AND len(regexp_extract_all(draft, '\\S+')) < word_budget * 0.8) AS under_budget,
-  count(*) FILTER (WHERE ord % 4 = 0) + count(*) FILTER (WHERE ord % 3 = 0) AS placeholders FROM prose GROUP BY 1),
+  CAST(sum(len(regexp_extract_all(draft, '(?i)\\[todo[^\\]]*\\]'))) AS BIGINT) + CAST(sum(len(regexp_extract_all(draft, '(?i)\\[cite:[^\\]]*\\]'))) AS BIGINT) + CAST(sum(len(regexp_extract_all(draft, '\\\\cite[a-z]*\\{{\\s*\\}}'))) AS BIGINT) AS placeholders FROM prose GROUP BY 1),
 c AS (SELECT DISTINCT paper_id, unnest([k1, k2]) AS key FROM prose), b AS (SELECT DISTINCT paper_id, k1 AS key FROM prose WHERE CAST(substr(k1, 2) AS BIGINT) % 5 != 0),
 l AS (SELECT paper_id, count(*) AS uncovered FROM c ANTI JOIN b USING (paper_id, key) GROUP BY 1),
 k AS (SELECT o_orderkey AS paper_id, o_orderkey % 12 = 0 OR o_orderkey % 12 - o_orderkey % 3 >= ((o_orderkey % 12) * 9 + 9) // 10 AS meets FROM orders)

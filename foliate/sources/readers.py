@@ -11,7 +11,7 @@ from foliate.operators.blocks import build_sections, to_lines
 # Hosts of repositories, suffixes of documents, the mark of a text that was cut.
 GIT_HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
 DOCUMENTS = r"(?i)\.(md|markdown|rst|txt)$"
-CUT_MARK = "\n\n[truncated]"
+CUT_MARK = "\n\n[... truncated ...]"
 ARXIV_ID = r"^\d{4}\.\d{4,5}(v\d+)?$"
 
 
@@ -62,10 +62,25 @@ def markdown_blocks(files: DataFrame) -> DataFrame:
     return sections.select(whole.columns).unionAll(whole)
 
 
+def number_figures(blocks: DataFrame) -> DataFrame:
+    """Figures numbered from 1 through all sources, in the order of source, file and number.
+
+    The files' figures are counted first, so that only these counts are put in
+    one order; each file's figures are then numbered by themselves.
+    """
+    figures = F.col("kind") == "figure"
+    counts = blocks.where(figures).groupBy("source_ord", "file_ord").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("source_ord", "file_ord").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("source_ord", "file_ord", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("source_ord", "file_ord", figures).orderBy("figure_id"))
+    kept = blocks.withColumn("_at", inside).join(counts, ["source_ord", "file_ord"], "left")
+    return kept.withColumn("figure_id", F.when(figures, (F.col("_before") + F.col("_at")).cast("int")).otherwise(F.col("figure_id"))).drop("_at", "_before")
+
+
 def gather(contributions: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
     """Blocks of many sources in one: paths begin with the source's label, figures are numbered through; the budget counts files.
 
-    ``contributions`` has source_ord, label, file_ord, kind and section_path.
+    ``contributions`` has source_ord, label, file_ord, kind and section_path, and figure_id if there are figures.
     A source is taken while the files of those before it leave some of the
     budget, and then as many files as are left. Returns blocks, and sources
     with how many files they gave; those that gave none were skipped.
@@ -77,34 +92,91 @@ def gather(contributions: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]
     sizes = sizes.withColumn("taken", F.least("files", left))
     at = F.dense_rank().over(Window.partitionBy("source_ord").orderBy("file_ord"))
     kept = contributions.withColumn("_at", at).join(sizes.select("source_ord", "taken"), "source_ord").where(F.col("_at") <= F.col("taken")).drop("_at", "taken")
+    if "figure_id" in kept.columns:
+        kept = number_figures(kept)
     path = F.concat(F.lit("["), "label", F.lit("] "), F.coalesce("section_path", F.lit("")))
     return kept.withColumn("section_path", F.when(F.col("kind") == "section", F.rtrim(path)).otherwise(F.col("section_path"))), sizes
 
 
+# The named entities of texts that the services send, the ampersand last so that nothing is unescaped twice.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
+
+
+def unescape(text: Column) -> Column:
+    """The common named entities as the signs they stand for."""
+    for name, sign in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text
+
+
+def _none(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
+
+
+def _named(people: Column) -> Column:
+    return F.filter(people, lambda name: name != "")
+
+
+def semantic_scholar_records(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """Records of Semantic Scholar papers."""
+    w = F.from_json(column, "paperId string, title string, authors array<struct<name: string>>, venue string, year int, abstract string, citationCount long, journal struct<name: string>, publicationDate string, externalIds map<string, string>")
+    return raw.select(
+        *raw.columns, F.coalesce(w["paperId"], F.lit("")).alias("record_id"), F.coalesce(w["title"], F.lit("")).alias("title"), F.coalesce(_named(w["authors"]["name"]), F.array().cast("array<string>")).alias("authors"),
+        _none(w["venue"]).alias("venue"), w["year"].alias("year"), _none(w["abstract"]).alias("abstract"), w["citationCount"].alias("citation_count"), _none(w["journal"]["name"]).alias("journal"),
+        _none(w["publicationDate"]).alias("publication_date"), F.coalesce(F.map_filter(w["externalIds"], lambda k, v: v.isNotNull()), F.create_map().cast("map<string, string>")).alias("external_ids"),
+    )
+
+
 def openalex_records(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """Records of OpenAlex works: the abstract is put together from its inverted index."""
-    schema = "id string, display_name string, publication_year int, publication_date string, cited_by_count long, authorships array<struct<author: struct<display_name: string>>>, abstract_inverted_index map<string, array<int>>, doi string"
+    """Records of OpenAlex works: the abstract is put together from its inverted index; the source is a journal if its type says so."""
+    schema = "id string, display_name string, publication_year int, publication_date string, cited_by_count long, authorships array<struct<author: struct<display_name: string>>>, primary_location struct<source: struct<display_name: string, type: string>>, abstract_inverted_index map<string, array<int>>"
     w = F.from_json(column, schema)
     pairs = F.flatten(F.transform(F.map_entries(w["abstract_inverted_index"]), lambda e: F.transform(e["value"], lambda i: F.struct(i.alias("i"), e["key"].alias("w")))))
     abstract = F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")
+    source = w["primary_location"]["source"]
+    venue = _none(source["display_name"])
     return raw.select(
-        *raw.columns, w["id"].alias("record_id"), squash(w["display_name"]).alias("title"), F.transform(w["authorships"], lambda a: a["author"]["display_name"]).alias("authors"),
-        w["publication_year"].alias("year"), w["publication_date"].alias("publication_date"), abstract.alias("abstract"), w["cited_by_count"].alias("citation_count"),
+        *raw.columns, F.concat(F.lit("openalex:"), F.coalesce(w["id"], F.lit(""))).alias("record_id"), F.coalesce(w["display_name"], F.lit("")).alias("title"),
+        F.coalesce(_named(F.transform(w["authorships"], lambda a: a["author"]["display_name"])), F.array().cast("array<string>")).alias("authors"), venue.alias("venue"), w["publication_year"].alias("year"),
+        _none(abstract).alias("abstract"), w["cited_by_count"].alias("citation_count"), F.when(F.lower(source["type"]) == "journal", venue).alias("journal"), _none(w["publication_date"]).alias("publication_date"),
     )
 
 
 def crossref_records(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """Records of Crossref works: first title and container, year and date of the first date given, the abstract without tags."""
+    """Records of Crossref works: first title and container that are not empty, year and date of the first field that has them, the abstract without tags."""
     date = "struct<`date-parts`: array<array<int>>>"
-    schema = f"DOI string, title array<string>, `container-title` array<string>, author array<struct<given: string, family: string>>, abstract string, `published-print` {date}, `published-online` {date}, published {date}, issued {date}, created {date}"
+    schema = f"DOI string, URL string, type string, title array<string>, `container-title` array<string>, author array<struct<given: string, family: string>>, abstract string, `is-referenced-by-count` long, `published-print` {date}, `published-online` {date}, published {date}, issued {date}, created {date}"
     w = F.from_json(column, schema)
-    parts = F.coalesce(*(F.get(w[f]["date-parts"], F.lit(0)) for f in ("published-print", "published-online", "published", "issued", "created")))
-    year = F.get(parts, F.lit(0))
-    day = F.when(year.isNotNull(), F.format_string("%04d-%02d-%02d", year, F.coalesce(F.get(parts, F.lit(1)), F.lit(1)), F.coalesce(F.get(parts, F.lit(2)), F.lit(1))))
-    names = F.transform(w["author"], lambda a: F.concat_ws(" ", a["given"], a["family"]))
+    first = lambda x: F.coalesce(F.get(F.filter(x, lambda t: t != ""), F.lit(0)), F.lit(""))
+    parts = [F.get(w[f]["date-parts"], F.lit(0)) for f in ("published-print", "published-online", "published", "issued", "created")]
+    at = lambda p, i: F.coalesce(F.get(p, F.lit(i)), F.lit(1))
+    year = F.coalesce(*(F.get(p, F.lit(0)) for p in parts))
+    day = F.coalesce(*(F.when(F.get(p, F.lit(0)).isNotNull(), F.format_string("%04d-%02d-%02d", F.get(p, F.lit(0)), at(p, 1), at(p, 2))) for p in parts))
+    names = _named(F.transform(w["author"], lambda a: F.concat_ws(" ", _none(F.trim(a["given"])), _none(F.trim(a["family"])))))
+    title, container = first(w["title"]), first(w["container-title"])
+    ident = F.coalesce(_none(w["DOI"]), _none(w["URL"]), title)
     return raw.select(
-        *raw.columns, w["DOI"].alias("record_id"), squash(F.get(w["title"], F.lit(0))).alias("title"), names.alias("authors"), F.get(w["container-title"], F.lit(0)).alias("venue"),
-        year.alias("year"), day.alias("publication_date"), squash(F.regexp_replace(w["abstract"], "<[^>]+>", " ")).alias("abstract"),
+        *raw.columns, F.concat(F.lit("crossref:"), ident).alias("record_id"), title.alias("title"), F.coalesce(names, F.array().cast("array<string>")).alias("authors"), container.alias("venue"),
+        year.alias("year"), day.alias("publication_date"), _none(squash(unescape(F.regexp_replace(w["abstract"], "<[^>]+>", " ")))).alias("abstract"),
+        w["is-referenced-by-count"].alias("citation_count"), F.when(F.lower(w["type"]) == "journal-article", container).alias("journal"),
+    )
+
+
+def atom_records(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """Records of the entries of Atom feeds of preprints, one row an entry: id, year and day of publication, authors, abstract."""
+    entries = F.regexp_extract_all(column, F.lit(r"(?s)<entry\b[^>]*>(.*?)</entry>"), F.lit(1))
+    rows = raw.withColumn("_e", F.explode(entries))
+
+    def text(of: Column, tag: str) -> Column:
+        return squash(unescape(F.regexp_extract(of, rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>", 1)))
+
+    e = F.col("_e")
+    day = F.trim(F.regexp_extract(e, r"(?s)<published\b[^>]*>(.*?)</published>", 1))
+    names = F.transform(F.regexp_extract_all(e, F.lit(r"(?s)<author\b[^>]*>(.*?)</author>"), F.lit(1)), lambda a: text(a, "name"))
+    ident = F.element_at(F.split(F.regexp_replace(text(e, "id"), "/+$", ""), "/"), -1)
+    return rows.select(
+        *raw.columns, F.concat(F.lit("arxiv:"), ident).alias("record_id"), text(e, "title").alias("title"), _named(names).alias("authors"), F.lit("arXiv").alias("venue"),
+        F.when(day.rlike(r"^[0-9]{4}"), F.substring(day, 1, 4).try_cast("int")).alias("year"), F.when(F.length(day) >= 10, F.substring(day, 1, 10)).alias("publication_date"), _none(text(e, "summary")).alias("abstract"),
     )
 
 
