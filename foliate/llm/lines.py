@@ -12,13 +12,13 @@ from foliate.llm.common import cut, written
 #: Jaccard similarity at which the later of two lines goes.
 THRESHOLD = 0.8
 #: Counters of word frequency, and bits that tell which lines are candidates: fixed sizes, whatever the data.
-COUNTERS, BITS = 1 << 20, 1 << 22
+COUNTERS, BITS = 1 << 22, 1 << 22
 #: Frequencies are kept as logarithms, STEPS to a doubling, above the bits of a word's hash.
 STEPS, HASH_BITS = 4096, 33
 #: Lines of more words have a signature of 128 bits, others of 64.
 LONG = 80
 #: Earliest lines of a word's group that the first round probes, and by how much each further round reaches on.
-FIRST_REACH, REACH = 64, 8
+FIRST_REACH, REACH = 256, 8
 #: Words that occur in so many lines have groups that are not gathered in one task.
 FREQUENT = 100_000
 

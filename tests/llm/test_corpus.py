@@ -251,8 +251,11 @@ def spelled_base(t):
     for k, pattern in enumerate(plain):
         for m in re.finditer(pattern, t):
             digits = re.sub("[^0-9]", "", m[0])
-            fits = [True, all(int(p) <= 255 for p in m[0].split(".")), 14 <= len(digits) <= 19 and personal.luhn(digits), 10 <= len(digits) <= 15]
-            out += [(m.start(), k, m.end())] if (fits[k] if k != 1 or max(map(len, m[0].split("."))) < 100 else False) else []
+            if k == 1:
+                fits = all(int(p) <= 255 for p in m[0].split("."))
+            else:
+                fits = k == 0 or (14 <= len(digits) <= 19 and personal.luhn(digits) if k == 2 else 10 <= len(digits) <= 15)
+            out += [(m.start(), k, m.end())] if fits else []
     return sorted(out)
 
 
