@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import sys
 import time
 import zlib
 
@@ -97,6 +98,17 @@ def test_decontaminate(spark, limit):
         assert r.n_items == len(r["items"])
 
 
+def test_decontamination_tables_keep_to_their_bound():
+    """The bytes of arrays and vocabulary, against what a block of that many words is counted for."""
+    draw = random.Random(3)
+    seen = [bytes(draw.randrange(97, 123) for _ in range(5)) for _ in range(40_000)]
+    made = contamination.build([("a", seen[:20_000]), ("b", seen[20_000:])])
+    arrays = sum(x.nbytes for one in made.searches for x in vars(one).values() if isinstance(x, np.ndarray)) + sum(len(one.shift) for one in made.searches)
+    names = sys.getsizeof(made.vocabulary) + sum(sys.getsizeof(w) + 32 for w in made.vocabulary)
+    assert arrays + names < contamination.WORD_COST * len(seen)
+    assert [(at, n, [made.names[i] for i in who]) for at, n, who in made.search([b"x", *seen[500:511], b"y", *seen[20_000:20_010]])] == [(1, 10, ["a"]), (2, 10, ["a"]), (13, 10, ["b"])]
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     out = contamination.decontaminate(docs(spark, ["a b", None]), none).orderBy("doc_id").collect()
