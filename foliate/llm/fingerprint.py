@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 from bisect import bisect_left
+from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.llm.common import append
@@ -22,8 +24,8 @@ SKETCH = 32
 SPAN, NEIGHBOURS = 16, 32
 #: UTF-8 bytes of text that a range of ids holds on average.
 RANGE_BYTES = 32 << 20
-#: So many ranges' ids are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_RANGES = 100_000
+#: Ranges at most; beyond, they hold more. Their bounds, and a few numbers of each, are all that the driver and every task see of all ids.
+MOST_RANGES = 50_000
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -192,37 +194,70 @@ def _measure(texts: list, nexts: list) -> list[list]:
     return [list(x) for x in zip(*rows, strict=True)] or [[]] * 6
 
 
+def _ranges(documents: DataFrame, doc_id: str, text: str, range_bytes: int) -> tuple[Column, Column, int]:
+    """The bounds as a column, the range that each row is in by ``_bounds`` and ``_tie``, and how many ranges there are.
+
+    Ranges are numbered from the last to the first row in the order of falling
+    ids, rows of one id by their text's hash, null ids at the end. Ids that
+    several quantiles fall on, and null ids, have ranges by their hash. The
+    bounds are an array in the plan, searched in two steps.
+    """
+    sized = documents.agg(F.sum(F.octet_length(text)), F.sum(F.when(F.col(doc_id).isNull(), F.octet_length(text)))).first()
+    total, unnamed = sized[0] or 0, sized[1] or 0
+    range_bytes = max(range_bytes, total // MOST_RANGES)
+    ranges = max(1, math.ceil(total / range_bytes))
+    found = [int(x) for x in documents.approxQuantile(doc_id, [i / ranges for i in range(1, ranges)], 0.1 / ranges)] if ranges > 1 else []
+    # an id that is met again and again has a range of its own, in as many parts
+    often = {x: n for x, n in Counter(found).items() if n > 1}
+    cuts = sorted({*found, *(x + 1 for x in often if x < (1 << 63) - 1)})
+    parts = [1, *(often.get(c, 1) for c in cuts)]
+    nulls = max(1, math.ceil(unnamed / range_bytes))
+    before = [nulls, *(nulls + n for n in accumulate(parts))]
+    step = max(1, math.isqrt(len(cuts)))
+    rows = list(zip([-(1 << 63), *cuts], before, parts, strict=False))
+    table = documents.sparkSession.createDataFrame([([rows[i : i + step] for i in range(0, len(rows), step)],)], "b array<array<struct<least: long, first: int, parts: int>>>")
+    ident = F.col(doc_id).cast("long")
+    at_most = lambda x: x["least"] <= ident
+    last = lambda found: F.get(found, F.size(found) - 1)
+    mine = last(F.filter(last(F.filter("_bounds", lambda block: at_most(block[0]))), at_most))
+    place = F.pmod(F.shiftrightunsigned("_tie", 1) / float(1 << 63) + 0.5, F.lit(1.0))
+    among = lambda n: n - 1 - F.least(F.floor(place * n), n - 1)
+    # of the parts of one id those of greater hashes come later, and later rows have lesser numbers
+    part = F.when(ident.isNull(), among(F.lit(nulls))).otherwise(mine["first"] + among(mine["parts"]))
+    return table.scalar(), part.cast("int"), before[-1]
+
+
 def fingerprint(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The documents, without their text, with ``n_chars``, ``fingerprint`` and what an edit does to it.
 
     The edited text ends in the beginning of the next document by descending
-    id; after the last comes the first. The ids are cut into ranges at
-    quantiles, known to the plan, and each range is sorted; texts go there
-    packed, once. Only the first document of each range goes to its neighbour.
-
-    Null texts count as empty. Rows with a null id come last, in one range;
-    rows that share an id follow each other by their text's hash. An empty
-    table gives an empty result. Clashing columns are replaced.
+    id; after the last comes the first. The rows are dealt to ranges of that
+    order of about ``range_bytes``, MOST_RANGES at most, and each range is
+    sorted; texts go there packed, once. Only the first document of each range
+    goes to its neighbour, by a join; what is put in one order is a number a
+    range.
+
+    Null texts count as empty. Rows with a null id come last; rows that share
+    an id, and those without one, follow each other by their text's hash, in
+    several ranges if they are many. An empty table gives an empty result.
+    Clashing columns are replaced.
     """
     made = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     keep = [c for c in documents.columns if c not in made and c != text]
-    total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    ranges = max(1, math.ceil(total / range_bytes))
-    cuts = sorted(set(documents.approxQuantile(doc_id, [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
-    bounds = F.array(*(F.lit(int(c)) for c in cuts)).cast("array<long>")
-    part = F.when(F.col(doc_id).isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(doc_id))))
-    rows = documents.select(*keep, text, part.alias("_part"), F.xxhash64(text).alias("_tie"))
-    heads = rows.groupBy("_part").agg(F.max(F.struct(F.col(doc_id).alias("_id"), (-F.col("_tie")).alias("_less"))).alias("h"))
-    heads = heads.select("_part", F.col("h._id").alias("_id"), (-F.col("h._less")).alias("_tie"))
-    # a row of three numbers for each range, of which there are as many as the data have times range_bytes
-    heads = F.broadcast(heads) if ranges <= BROADCAST_RANGES else heads
-    first = rows.join(heads, ["_part", "_tie"], "left_semi").join(heads.select("_part", "_id"), "_part").where(F.col(doc_id).eqNullSafe(F.col("_id")))
-    first = append(first, [text], "_head binary", _pack, ["_part"]).groupBy("_part").agg(F.first("_head").alias("_head"))
+    bounds, part, ranges = _ranges(documents, doc_id, text, range_bytes)
+    rows = documents.select(*keep, text, F.xxhash64(text).alias("_tie")).withColumn("_bounds", bounds)
+    rows = rows.select(*keep, text, part.alias("_part"), "_tie")
+    heads = rows.groupBy("_part").agg(F.max(F.struct(F.col(doc_id).alias("_id"), F.bitwise_not("_tie").alias("_less"))).alias("h"))
     ring = Window.orderBy(F.col("_part").desc())
     everything = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = first.select("_part", F.coalesce(F.lead("_head").over(ring), F.first("_head").over(everything)).alias("_head"))
+    before = F.coalesce(F.lag("_part").over(ring), F.last("_part").over(everything))
+    heads = heads.select("_part", F.col("h._id").alias("_id"), F.bitwise_not("h._less").alias("_tie"), before.alias("_before"))
+    # a row of four numbers for each range, MOST_RANGES at most
+    heads = F.broadcast(heads)
+    first = rows.join(heads.select("_part", "_tie", "_id", "_before"), ["_part", "_tie"]).where(F.col(doc_id).eqNullSafe(F.col("_id")))
+    first = append(first, [text], "_head binary", _pack, ["_before"]).groupBy("_before").agg(F.first("_head").alias("_head")).withColumnRenamed("_before", "_part")
     packed = append(rows, [text], "_text binary", _pack, [*keep, "_part", "_tie"])
-    packed = packed.repartitionById(ranges + 1, F.col("_part") + 1)
+    packed = packed.repartitionById(ranges, F.col("_part"))
     inside = Window.partitionBy("_part").orderBy(F.col(doc_id).desc_nulls_last(), "_tie")
     packed = packed.withColumn("_next", F.lead("_text").over(inside))
     # the ranges stand where they are for this join; only the first documents' texts move

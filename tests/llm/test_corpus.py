@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foliate.llm import components, contamination, fingerprint, language, lines, mixing, personal, sharding, similarity, toxicity, warc
@@ -511,6 +512,21 @@ def test_fingerprints(spark, size):
     assert fingerprint.fingerprint(twice).count() == 4
 
 
+def test_fingerprints_of_ids_that_repeat(spark):
+    """A third of the rows without an id, a third with one id: the next document is still the next, in many ranges."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, text(i, 20 + i % 50), "x") for i in range(240)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars string").repartition(5)
+    tie = {r["text"]: r["t"] for r in frame.select("text", F.xxhash64("text").alias("t")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    want = []
+    for (ident, t, _), (_, following, _) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        want.append((ident is None, ident or 0, len(t), hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()))
+    for size in (300, 5000, 1 << 20):
+        got = [(r.doc_id is None, r.doc_id or 0, r.n_chars, r.edited_sha256) for r in fingerprint.fingerprint(frame, range_bytes=size).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_near_next_finds_shifted_spans(spark):
     t = text(21, 400)
     w = t.split()
