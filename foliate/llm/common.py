@@ -59,6 +59,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_apart(df: DataFrame, used: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows with all columns but the ``used`` ones under names that no operator makes, and what gives a result the columns back."""
+    columns, names = df.columns, {c: f"_column_{i}" for i, c in enumerate(df.columns) if c not in used}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*(F.col(names.get(c, c)).alias(c) for c in columns))
+
+    return df.withColumnsRenamed(names), back
+
+
 def bucket_of_id(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

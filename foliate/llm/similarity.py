@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import append, cut, words
+from foliate.llm.common import append, cut, set_apart, words
 from foliate.llm.components import components
 
 #: Words in a shingle, and the Jaccard similarity of a link.
@@ -262,13 +262,12 @@ def one_of_each(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     Among texts with that id it is the one with the least hash of its words,
     so that rows that repeat an id, or have none, leave one as well. Texts
-    without words are alone and stay.
+    without words are alone and stay. All columns stay, whatever their names.
     """
-    columns = documents.columns
-    documents = documents.drop("node", "_node", "rep", "copies", "label")
+    documents, back = set_apart(documents, [doc_id, text])
     rows = _classes(documents, doc_id, text, threshold, block)
     first = F.min(F.struct(F.col("rep").isNull().alias("_null"), "rep", "node", "copies")).alias("_first")
     chosen = rows.groupBy("label").agg(first).select("_first.node", "_first.rep", "_first.copies")
     kept = _one_row(_texts(documents, text, documents.columns), chosen, doc_id).select(documents.columns)
     alone = documents.where(~F.coalesce(F.col(text).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False)))
-    return kept.unionAll(alone).select([c for c in columns if c in documents.columns])
+    return back(kept.unionAll(alone))
