@@ -132,14 +132,22 @@ def kg_coref(spark, sf_dir):
     return graph.coreference(graph.merge_nodes(_labelled(spark, sf_dir)))
 
 
-KINDS = ["https://github.com/a/b", "git@host:x.git", "2101.00001", "https://arxiv.org/abs/2101.00001", "notes/*.md", "a.md", "b.txt", "https://example.org/x", "nothing", "https://x.org/p.pdf"]
-ANSWERS = ["git", "git", "pdf", "pdf", "glob", "markdown", "text", "url", "unknown", "pdf"]
+# Sources made of parts that vary on their own, so that both engines must decide for each mix.
+SOURCE = """CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'https://' WHEN 2 THEN ' http://www.' ELSE 'docs/' END || ['github.com', 'arxiv.org', 'example.org', 'notarxiv.org', 'export.arxiv.org', 'gitlab.com'][1 + p_size % 6] || CASE p_partkey % 5 WHEN 0 THEN '/a/b' WHEN 1 THEN '/a' WHEN 2 THEN '/abs/2101.0' || (1000 + p_size) || 'v2' WHEN 3 THEN '/x/*' ELSE '/c/d' END || ['', '.pdf', '.md', '.txt', '.git', ' '][1 + (p_partkey + p_size) % 6]"""
+SOURCE_SQL = f"""WITH r AS (SELECT p_partkey, CASE WHEN p_size = 7 THEN 'arXiv:2101.0' || (1000 + p_partkey % 9000) WHEN p_size = 8 THEN '2101.0' || (1000 + p_partkey % 9000) WHEN p_size = 9 THEN 'plain' ELSE {SOURCE} END AS source FROM part),
+u AS (SELECT *, trim(source) AS s, regexp_matches(trim(source), '(?i)^https?://') AS url FROM r), h AS (SELECT *, CASE WHEN url THEN lower(regexp_extract(s, '^https?://([^/]+)', 1)) ELSE '' END AS host, CASE WHEN url THEN regexp_extract(s, '^https?://[^/]+(.*)$', 1) ELSE '' END AS path FROM u),
+k AS (SELECT *, host = 'arxiv.org' OR ends_with(host, '.arxiv.org') AS arxiv, regexp_matches(s, '^\\d{{4}}\\.\\d{{4,5}}(v\\d+)?$') AS bare, regexp_matches(s, '^(?i:arxiv:)?\\d{{4}}\\.\\d{{4,5}}(v\\d+)?$') AS named, len(list_filter(string_split(path, '/'), lambda x: x != '')) AS parts FROM h)
+SELECT p_partkey, CASE WHEN ends_with(s, '.git') OR starts_with(s, 'git@') OR (regexp_matches(host, '(^|\\.)(github\\.com|gitlab\\.com|bitbucket\\.org)$') AND parts >= 2 AND NOT ends_with(path, '.pdf')) THEN 'git'
+  WHEN bare OR ends_with(lower(s), '.pdf') OR arxiv THEN 'pdf' WHEN NOT url AND regexp_matches(s, '[*?\\[]') THEN 'glob' WHEN NOT url AND ends_with(s, '.md') THEN 'markdown' WHEN url THEN 'url' WHEN regexp_matches(s, '\\.[A-Za-z0-9]+$') THEN 'text' ELSE 'unknown' END AS kind,
+  CASE WHEN named THEN 'https://arxiv.org/pdf/' || regexp_replace(s, '(?i)^arxiv:', '') || '.pdf' WHEN arxiv AND regexp_matches(s, '\\d{{4}}\\.\\d{{4,5}}') THEN 'https://arxiv.org/pdf/' || regexp_extract(s, '(\\d{{4}}\\.\\d{{4,5}}(?:v\\d+)?)', 1) || '.pdf' WHEN url THEN s ELSE source END AS address FROM k"""
 
 
-@query("source_router", f"SELECT doc_id, [{', '.join(repr(a) for a in ANSWERS)}][1 + doc_id % 10] AS kind, CASE WHEN doc_id % 10 IN (2, 3) THEN 'https://arxiv.org/pdf/2101.00001.pdf' ELSE [{', '.join(repr(k) for k in KINDS)}][1 + doc_id % 10] END AS address FROM documents")
+@query("source_router", SOURCE_SQL)
 def source_router(spark, sf_dir):
-    source = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 10 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", readers.source_kind(source).alias("kind"), readers.arxiv_pdf(source).alias("address"))
+    made = SOURCE.replace("['github.com', 'arxiv.org', 'example.org', 'notarxiv.org', 'export.arxiv.org', 'gitlab.com'][1 + p_size % 6]", "element_at(array('github.com', 'arxiv.org', 'example.org', 'notarxiv.org', 'export.arxiv.org', 'gitlab.com'), 1 + p_size % 6)")
+    made = made.replace("['', '.pdf', '.md', '.txt', '.git', ' '][1 + (p_partkey + p_size) % 6]", "element_at(array('', '.pdf', '.md', '.txt', '.git', ' '), cast(1 + (p_partkey + p_size) % 6 as int))")
+    source = F.expr(f"case when p_size = 7 then concat('arXiv:2101.0', 1000 + p_partkey % 9000) when p_size = 8 then concat('2101.0', 1000 + p_partkey % 9000) when p_size = 9 then 'plain' else {made} end")
+    return table(spark, sf_dir, "part").select("p_partkey", readers.source_kind(source).alias("kind"), readers.arxiv_pdf(source).alias("address"))
 
 
 @query("gather_union_budget", f"""WITH {MD}, f AS (SELECT CAST(substr(source, 4) AS INTEGER) AS source_ord, source AS label, doc_id AS file_ord FROM documents),

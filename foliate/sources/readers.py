@@ -5,35 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliate.functions.text import squash
+from foliate.functions.text import squash, strip
 from foliate.operators.blocks import build_sections, to_lines
 
 # Hosts of repositories, suffixes of documents, the mark of a text that was cut.
 GIT_HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
-DOCUMENTS = r"(?i)\.(md|markdown|rst|txt)$"
+DOCUMENTS = r"(?i)\.(md|markdown|rst|txt|tex)$"
 CUT_MARK = "\n\n[... truncated ...]"
-ARXIV_ID = r"^\d{4}\.\d{4,5}(v\d+)?$"
+ARXIV_ID, ARXIV_NAME = r"^\d{4}\.\d{4,5}(v\d+)?$", r"^(?i:arxiv:)?\d{4}\.\d{4,5}(v\d+)?$"
 
 
-def source_kind(source: Column) -> Column:
-    """git, pdf, glob, markdown, text, url or unknown, the first that fits. Folders are told apart by whoever can list them."""
+def _host(source: Column) -> Column:
+    return F.lower(F.try_parse_url(F.when(source.rlike(r"(?i)^https?://"), source), F.lit("HOST")))
+
+
+def _of_arxiv(host: Column) -> Column:
+    return F.coalesce((host == "arxiv.org") | host.endswith(".arxiv.org"), F.lit(False))
+
+
+def source_kind(source: Column, folders: list[str] | None = None) -> Column:
+    """git, pdf, glob, dir, markdown, text, url or unknown, the first that fits. Folders are told by whoever can list them."""
+    source = F.trim(source)
     url = source.rlike(r"(?i)^https?://")
-    host, path = F.lower(F.parse_url(F.when(url, source), F.lit("HOST"))), F.coalesce(F.parse_url(F.when(url, source), F.lit("PATH")), F.lit(""))
+    host, path = _host(source), F.coalesce(F.try_parse_url(F.when(url, source), F.lit("PATH")), F.lit(""))
     parts = F.size(F.filter(F.split(path, "/"), lambda p: p != ""))
     pdf_path = F.lower(path).endswith(".pdf")
-    git = source.endswith(".git") | source.startswith("git@") | F.coalesce(host.isin(*GIT_HOSTS) & (parts >= 2) & ~pdf_path, F.lit(False))
-    pdf = source.rlike(ARXIV_ID) | F.lower(source).endswith(".pdf") | F.coalesce(host.endswith("arxiv.org") | pdf_path, F.lit(False))
+    hosted = F.lit(False)
+    for known in GIT_HOSTS:
+        hosted = hosted | F.coalesce((host == known) | host.endswith(f".{known}"), F.lit(False))
+    git = source.endswith(".git") | source.startswith("git@") | (hosted & (parts >= 2) & ~pdf_path)
+    pdf = source.rlike(ARXIV_ID) | F.lower(source).endswith(".pdf") | _of_arxiv(host) | pdf_path
+    folder = source.isin(*folders) if folders else F.lit(False)
     return (
-        F.when(git, "git").when(pdf, "pdf").when(source.rlike(r"[*?\[]") & ~url, "glob")
+        F.when(git, "git").when(pdf, "pdf").when(source.rlike(r"[*?\[]") & ~url, "glob").when(folder, "dir")
         .when(source.rlike(r"(?i)\.(md|markdown)$") & ~url, "markdown").when(url, "url")
         .when(source.rlike(r"\.[A-Za-z0-9]+$"), "text").otherwise("unknown")
     )
 
 
 def arxiv_pdf(source: Column) -> Column:
-    """The address of the PDF of an arXiv id or page; anything else as it is."""
-    ident = F.coalesce(F.nullif(F.regexp_extract(source, r"(?i)arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5}(?:v\d+)?)", 1), F.lit("")), F.when(source.rlike(ARXIV_ID), source))
-    return F.coalesce(F.concat(F.lit("https://arxiv.org/pdf/"), ident, F.lit(".pdf")), source)
+    """The address of the PDF of an arXiv id or page; other addresses without blanks around, anything else as it is."""
+    bare = F.trim(source)
+    own = F.when(bare.rlike(ARXIV_NAME), F.regexp_replace(bare, "(?i)^arxiv:", ""))
+    page = F.when(_of_arxiv(_host(bare)), F.nullif(F.regexp_extract(bare, r"(\d{4}\.\d{4,5}(?:v\d+)?)", 1), F.lit("")))
+    pdf = F.concat(F.lit("https://arxiv.org/pdf/"), F.coalesce(own, page), F.lit(".pdf"))
+    return F.coalesce(pdf, F.when(bare.rlike("(?i)^https?://"), bare), source)
 
 
 def cap_text(text: Column, most: int) -> Column:
@@ -48,11 +64,36 @@ def read_folder(spark: SparkSession, path: str, most_files: int = 50, most_chars
     root = path.rstrip("/")
     inside = F.substring(F.col("file"), F.instr("file", root) + F.lit(len(root) + 1), F.length("file"))
     readme = F.upper(name).startswith("README")
-    wanted = (name.rlike(DOCUMENTS) | readme) & ~inside.rlike(r"(^|/)(\.[^/]*|node_modules|vendor|venv|__pycache__|build|dist)/")
+    wanted = (name.rlike(DOCUMENTS) | readme) & ~inside.rlike(r"(^|/)(\.[^/]*|node_modules|site-packages|venv|__pycache__|build|dist)/")
     rows = files.where(wanted).select(inside.alias("label"), (~readme).alias("_later"), cap_text(F.col("value"), most_chars).alias("text"))
     return rows.orderBy("_later", "label").limit(most_files).drop("_later")
 
 
+def read_glob(spark: SparkSession, pattern: str, most_files: int = 50, most_chars: int = 200_000) -> DataFrame:
+    """The files of a pattern as label (the path) and text, the first ones by path."""
+    files = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("label"), cap_text(F.col("value"), most_chars).alias("text"))
+    return files.orderBy("label").limit(most_files)
+
+
+def text_blocks(files: DataFrame) -> DataFrame:
+    """A section for each text or code file (label, text), named by its stem; marks of headers in it are text."""
+    stem = F.regexp_replace(F.element_at(F.split("label", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    return files.select("label", F.lit(1).cast("long").alias("ord"), F.lit(0).alias("level"), stem.alias("title"), F.lit("").alias("section_path"), F.lit(None).cast("int").alias("start_line"), strip(F.col("text")).alias("text"))
+
+
+def read_sources(spark: SparkSession, path: str) -> DataFrame:
+    """The sources that a file lists, with ``ord``: an array in JSON, or lines without blank ones and those that begin with #."""
+    whole = spark.read.text(path, wholetext=True).select("value")
+    listed = F.from_json("value", "array<string>")
+    lines = F.transform(F.filter(F.split("value", r"\r?\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#")), lambda x: F.trim(x))
+    return whole.select(F.posexplode(F.when(F.trim("value").startswith("["), listed).otherwise(lines)).alias("ord", "source"))
+
+
+def append_lines(rows: DataFrame, path: str) -> None:
+    """Appends the rows to a folder of JSON Lines."""
+    rows.write.mode("append").json(path)
+
+
 def markdown_blocks(files: DataFrame) -> DataFrame:
     """Sections of markdown files (label, text); a file without a header is one section of its name and no path."""
     sections = build_sections(to_lines(files, "label", "text")).withColumnRenamed("paper_id", "label")
