@@ -68,20 +68,24 @@ class PrefixHash:
     """prefix[i]: the sum of point * base^position over the first i points, modulo PRIME, for both bases."""
 
     def __init__(self, points: np.ndarray):
-        self.n, self._anchors = len(points), None
+        self.n, self._anchors, self._places = len(points), None, None
         wide = points.astype(np.uint64)
         # a sum of 2^32 terms below 2^31 fits in 64 bits
         self.prefix = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mod((wide + np.uint64(1)) * p.upto(self.n)))]) for p in _POWERS]
 
     def span(self, start: int, end: int) -> tuple[int, ...]:
         """The hash of a span, still shifted by its start."""
-        return tuple((int(p[end]) - int(p[start])) % PRIME for p in self.prefix)
+        return tuple((p.item(end) - p.item(start)) % PRIME for p in self.prefix)
 
     def equal(self, start: int, other: PrefixHash, at: int, size: int) -> bool:
         """Whether two spans hold the same points: the one further left is shifted to the other."""
-        mine, theirs = self.span(start, start + size), other.span(at, at + size)
-        left, right, by = (mine, theirs, at - start) if start <= at else (theirs, mine, start - at)
-        return all(a * pow(base, by, PRIME) % PRIME == b for a, b, base in zip(left, right, BASES, strict=True))
+        one, i, two, j = (self, start, other, at) if start <= at else (other, at, self, start)
+        for base in (0, 1):
+            p, q = one.prefix[base], two.prefix[base]
+            shift = _POWERS[base].upto(j - i + 1).item(j - i)
+            if (p.item(i + size) - p.item(i)) % PRIME * shift % PRIME != (q.item(j + size) - q.item(j)) % PRIME:
+                return False
+        return True
 
     def common_extension(self, start: int, other: PrefixHash, at: int) -> int:
         """How far two texts agree from these positions on, by binary search."""
@@ -117,6 +121,16 @@ class PrefixHash:
             self._anchors = at, self._spans(0, at) << np.uint64(31) | self._spans(1, at)
         return self._anchors
 
+    def places(self) -> tuple[list[int], list[int], dict[int, list[int]]]:
+        """The anchors as plain numbers: places, hashes, and the places of each hash."""
+        if self._places is None:
+            at, hashes = (x.tolist() for x in self.anchors())
+            of: dict[int, list[int]] = {}
+            for i, h in zip(at, hashes, strict=True):
+                of.setdefault(h, []).append(i)
+            self._places = at, hashes, of
+        return self._places
+
     def _spans(self, base: int, at: np.ndarray) -> np.ndarray:
         """Hashes of the SPAN points from each place, shifted back to place 0."""
         p = self.prefix[base]
@@ -131,17 +145,16 @@ class PrefixHash:
         done = self.common_extension(0, other, 0)
         end = self.n - self.common_before(self.n, other, other.n, self.n - done)
         total, follow = done + self.n - end, done
-        (mine, hashes), (theirs, others) = self.anchors(), other.anchors()
-        shared = np.isin(hashes, others)
-        mine, hashes = mine[shared], hashes[shared].tolist()
-        places: dict[int, list[int]] = {}
-        some = np.isin(others, hashes)
-        for j, h in zip(theirs[some].tolist(), others[some].tolist(), strict=True):
-            places.setdefault(h, []).append(j)
-        k = 0
-        while (k := max(k, int(np.searchsorted(mine, done - SPAN, side="right")))) < len(mine) and mine[k] < end:
-            i, at = int(mine[k]), places[hashes[k]]
+        mine, hashes, own = self.places()
+        theirs = other.places()[2]
+        if own.keys().isdisjoint(theirs):
+            return total
+        k = bisect_left(mine, done - SPAN + 1)
+        while k < len(mine) and mine[k] < end:
+            i, at = mine[k], theirs.get(hashes[k])
             k += 1
+            if at is None:
+                continue
             j = at[min(bisect_left(at, follow), len(at) - 1)]
             if not self.equal(i, other, j, SPAN):
                 continue
@@ -149,6 +162,7 @@ class PrefixHash:
             start = i - self.common_before(i, other, j, max(0, i - done))
             total += max(0, min(stop, end) - max(start, done))
             done, follow = max(done, stop), j + stop - i
+            k = max(k, bisect_left(mine, done - SPAN + 1))
         return total
 
     def fingerprint(self) -> str:
@@ -184,10 +198,17 @@ def _pack(texts: list) -> list[list]:
 def _measure(texts: list, nexts: list) -> list[list]:
     rows, press = [], zstandard.ZstdDecompressor()
     unpack = lambda z: press.decompress(z).decode("utf-8", "surrogatepass") if z else ""
+    known = ("", PrefixHash(code_points("")))
+
+    def hashed(text: str) -> PrefixHash:
+        return known[1] if text == known[0] else PrefixHash(code_points(text))
+
     for text, following in zip(texts, nexts, strict=True):
         text, following = unpack(text), unpack(following)
         changed = edit(text, following)
-        whole, other, after = (PrefixHash(code_points(t)) for t in (text, changed, following))
+        whole = hashed(text)
+        known = (following, hashed(following))  # rows follow each other, so this is most often the next one's text
+        other, after = hashed(changed), known[1]
         digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
         near = [likeness(whole, x, text == t) for x, t in ((other, changed), (after, following))]
         rows.append((len(text), digest, whole.fingerprint(), other.fingerprint(), *near))
@@ -234,8 +255,7 @@ def fingerprint(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     id; after the last comes the first. The rows are dealt to ranges of that
     order of about ``range_bytes``, MOST_RANGES at most, and each range is
     sorted; texts go there packed, once. Only the first document of each range
-    goes to its neighbour, by a join; what is put in one order is a number a
-    range.
+    goes to its neighbour too; what is put in one order is a number a range.
 
     Null texts count as empty. Rows with a null id come last; rows that share
     an id, and those without one, follow each other by their text's hash, in
@@ -255,12 +275,13 @@ def fingerprint(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     # a row of four numbers for each range, MOST_RANGES at most
     heads = F.broadcast(heads)
     first = rows.join(heads.select("_part", "_tie", "_id", "_before"), ["_part", "_tie"]).where(F.col(doc_id).eqNullSafe(F.col("_id")))
-    first = append(first, [text], "_head binary", _pack, ["_before"]).groupBy("_before").agg(F.first("_head").alias("_head")).withColumnRenamed("_before", "_part")
-    packed = append(rows, [text], "_text binary", _pack, [*keep, "_part", "_tie"])
-    packed = packed.repartitionById(ranges, F.col("_part"))
-    inside = Window.partitionBy("_part").orderBy(F.col(doc_id).desc_nulls_last(), "_tie")
-    packed = packed.withColumn("_next", F.lead("_text").over(inside))
-    # the ranges stand where they are for this join; only the first documents' texts move
-    both = packed.join(first, "_part", "left").withColumn("_next", F.coalesce("_next", "_head"))
+    first = append(first, [text], "_head binary", _pack, ["_before"]).groupBy("_before").agg(F.first("_head").alias("_head"))
+    packed = append(rows, [text], "_text binary", _pack, [*keep, "_part", "_tie"]).withColumn("_ghost", F.lit(False))
+    # the first document of a range stands at the end of the range before it as well, as a row that is only looked at
+    nothing = [F.lit(None).cast(packed.schema[c].dataType).alias(c) for c in keep]
+    ghosts = first.select(*nothing, F.col("_before").alias("_part"), F.lit(0).cast("long").alias("_tie"), F.col("_head").alias("_text"), F.lit(True).alias("_ghost"))
+    packed = packed.select(ghosts.columns).unionAll(ghosts).repartitionById(ranges, F.col("_part"))
+    inside = Window.partitionBy("_part").orderBy("_ghost", F.col(doc_id).desc_nulls_last(), "_tie")
+    both = packed.withColumn("_next", F.lead("_text").over(inside)).where("not _ghost")
     fields = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return append(both, ["_text", "_next"], fields, _measure, keep)
