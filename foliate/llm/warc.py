@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from foliate.llm.common import cut
 
-#: Records in an archive at most; a task holds one archive, and its chain takes ten rounds of pointer jumping.
-ARCHIVE_RECORDS = 1000
+#: Records and bytes of payload in an archive at most; a task holds one archive, and its chain takes ten rounds of pointer jumping.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 1000, 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -28,7 +28,7 @@ def base32(hex_digest: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, archive_records: int = ARCHIVE_RECORDS) -> None:
+def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, archive_records: int = ARCHIVE_RECORDS, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes a record a page. Of equal payloads of ``min_bytes`` or more the page with the least id is a response, the others revisit it.
 
     The text writer ends each row with the two line ends that end a WARC
@@ -37,6 +37,10 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
     occur twice are joined back; a digest of a third of all pages is split by
     the skew handling of the join.
 
+    Archives hold ``archive_records`` at most. Where pages are so large that as
+    many might pass ``archive_bytes``, larger pages are written apart, fewer to
+    an archive; only a page beyond ``archive_bytes`` has an archive of its own.
+
     A null html is an empty payload. A null url is left out, line ends in it
     become blanks. A page with a null id revisits the least id of its payload,
     and is a response where there is none; rows that share the least id are all
@@ -63,8 +67,14 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
         F.when(refers.isNull(), "").otherwise(F.concat(F.lit("\r\nWARC-Refers-To: "), urn(refers), F.lit(f"\r\nWARC-Profile: {PROFILE}"))),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "),
     )
-    record = rows.select(head.alias("head"), block.alias("block")).select(F.concat("head", F.octet_length("block").cast("string"), F.lit("\r\n\r\n"), "block").alias("value"))
-    record.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", archive_records).option("compression", "gzip").text(path)
+    record = rows.select(head.alias("head"), block.alias("block"), "n").select("n", F.concat("head", F.octet_length("block").cast("string"), F.lit("\r\n\r\n"), "block").alias("value"))
+    largest = pages.agg(F.max(F.octet_length(html))).first()[0] or 0
+    above, many, part = -1, archive_records, 0
+    while above < largest or not part:
+        upto = archive_bytes // many if many > 1 else largest
+        some = record if part == 0 and upto >= largest else record.where((F.col("n") > above) & (F.col("n") <= upto))
+        some.select("value").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", many).option("compression", "gzip").text(f"{path}/{part}")
+        above, many, part = upto, max(1, many // 10), part + 1
 
 
 def scan(content: bytes) -> Iterator[dict]:

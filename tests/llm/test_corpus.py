@@ -63,6 +63,15 @@ def test_warc_min_bytes_and_empty(spark, tmp_path):
     assert warc.read_warc(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_archives_keep_to_their_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "x" * (i * i)) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(pages, f"{tmp_path}/w", archive_records=100, archive_bytes=5000)
+    out = warc.read_warc(spark, f"{tmp_path}/w").collect()
+    assert sorted(r.payload_bytes for r in out) == [i * i for i in range(60)]
+    found = warc.candidates(spark, f"{tmp_path}/w").groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("b")).collect()
+    assert all(r.b <= 5000 for r in found) and len(found) > 15
+
+
 def test_reachable_needs_the_chain(spark):
     links = [("f", 0, 10), ("f", 4, 12), ("f", 10, 30), ("f", 12, 20), ("f", 30, 40), ("g", 5, 9)]
     found = warc.reachable(spark.createDataFrame(links, "file string, offset long, next long"))
