@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from foliate.functions.text import tokens
 
@@ -22,8 +29,6 @@ def squared_norm(words: Column) -> Column:
 
 
 def query_terms(queries: dict[str, str]) -> dict[str, dict[str, int]]:
-    import re
-
     found: dict[str, dict[str, int]] = {}
     for name, text in queries.items():
         found[name] = {}
@@ -104,3 +109,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id
         ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), ident))).where(F.col("rank") <= k)
         out = ranked if out is None else out.unionAll(ranked)
     return out
+
+
+#: Buckets that hashed terms fall into, a fixed value.
+BUCKETS = 256
+_SPARSE = ArrayType(StructType([StructField("bucket", IntegerType()), StructField("weight", DoubleType())]))
+
+
+def hashed_vector(text: str | None, buckets: int = BUCKETS) -> list[tuple[int, float]]:
+    """Term frequencies by the 64-bit BLAKE2b hash of each word, of length 1, as (bucket, weight); none without words."""
+    counts: dict[int, int] = {}
+    for word, n in Counter(re.findall("[a-z0-9]+", (text or "").lower())).items():
+        bucket = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little") % buckets
+        counts[bucket] = counts.get(bucket, 0) + n
+    length = math.sqrt(sum(n * n for n in counts.values()))
+    return [(b, n / length) for b, n in sorted(counts.items())]
+
+
+def hashed_index(blocks: DataFrame, ident: str = "block_id", text: str = "context", buckets: int = BUCKETS) -> DataFrame:
+    """A row for each bucket of each block: its weight in the block's vector. Spark has no such hash, so words are hashed in Arrow batches."""
+
+    @F.pandas_udf(_SPARSE)
+    def vectors(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"bucket": b, "weight": w} for b, w in hashed_vector(t, buckets)])
+
+    return blocks.select(ident, F.explode(vectors(text)).alias("_v")).select(ident, "_v.bucket", "_v.weight")
+
+
+def hashed_search(index: DataFrame, blocks: DataFrame, queries: DataFrame, k: int, ident: str = "block_id") -> DataFrame:
+    """The k best blocks of each query (query_id, query) by cosine of hashed terms, ties by id; blocks without a shared bucket have 0 and fill up.
+
+    Queries meet blocks on buckets, so blocks that share none cost nothing. Of
+    these the 2k least ids are enough to fill any query up.
+    """
+    asked = hashed_index(queries, "query_id", "query").withColumnRenamed("weight", "_w")
+    met = index.join(asked, "bucket").groupBy("query_id", ident).agg(F.round(F.sum(F.col("weight") * F.col("_w")), 6).alias("score"))
+    best = top_k(met, k, ["query_id"], tie=ident).drop("rank")
+    # one row of 2k ids, whatever the number of blocks
+    least = blocks.select(ident).orderBy(ident).limit(2 * k).agg(F.collect_list(ident).alias("ids"))
+    filling = queries.withColumn("_ids", least.scalar()).select("query_id", F.explode("_ids").alias(ident), F.lit(0.0).alias("score")).join(best.select("query_id", ident), ["query_id", ident], "left_anti")
+    return top_k(best.unionByName(filling), k, ["query_id"], tie=ident)

@@ -204,3 +204,10 @@ SELECT doc_id, regexp_replace(t, '[ \\t]+(\\n|$)', '\\1', 'g') AS cleaned FROM g
 def cleanup_text(spark, sf_dir):
     noisy = F.concat(F.replace("text", F.lit("th"), F.lit("ﬁ")), F.lit("  \n<!-- image -->\n\n\n\nglyph[alpha] glyph[nope] GLYPH<12> a–b"))
     return table(spark, sf_dir, "documents").select("doc_id", markdown.cleanup(noisy).alias("cleaned"))
+
+
+@query("hashed_topk")
+def hashed_topk(spark, sf_dir):
+    asked = spark.createDataFrame(list(QUESTION.items()), "query_id string, query string")
+    found = paragraphs(spark, sf_dir)
+    return retrieval.hashed_search(retrieval.hashed_index(found), found, asked, 10).select("query_id", "block_id", "score", "rank")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from foliate.operators import bibtex, blocks, export, repair, sourcing
+from foliate.operators import bibtex, blocks, export, repair, retrieval, sourcing
 from foliate.sources import readers
 
 
@@ -76,3 +76,19 @@ def test_sources(spark, tmp_path):
     claims = spark.createDataFrame([(1, "k"), (1, "gone")], "paper_id int, key string")
     found = sourcing.sources_of_claims(claims, spark.createDataFrame([(1, "k", " an abstract ")], "paper_id int, key string, abstract string"))
     assert {r.key: (r.source_kind, r.source_text, r.verdict) for r in found.collect()} == {"k": ("abstract", "an abstract", None), "gone": ("none", "", "no_source")}
+
+
+def test_hashed_retrieval(spark):
+    one = dict(retrieval.hashed_vector("The cat, the hat"))
+    assert one == dict(retrieval.hashed_vector("hat THE the cat")) and abs(sum(w * w for w in one.values()) - 1) < 1e-12
+    assert retrieval.hashed_vector("") == retrieval.hashed_vector(None) == []
+    texts = {f"b{i}": " ".join(f"w{(i * j) % 40}" for j in range(i % 7)) for i in range(60)}
+    blocks_ = spark.createDataFrame(list(texts.items()), "block_id string, context string")
+    queries = {"a": "w3 w6 w9 w3", "none": "zebra", "empty": ""}
+    found = retrieval.hashed_search(retrieval.hashed_index(blocks_), blocks_, spark.createDataFrame(list(queries.items()), "query_id string, query string"), 8)
+    for name, q in queries.items():
+        v = dict(retrieval.hashed_vector(q))
+        scores = {b: round(sum(w * v.get(k, 0) for k, w in retrieval.hashed_vector(t)), 6) for b, t in texts.items()}
+        want = sorted(scores, key=lambda b: (-scores[b], b))[:8]
+        got = sorted((r["rank"], r.block_id, r.score) for r in found.where(F.col("query_id") == name).collect())
+        assert [b for _, b, _ in got] == want and [s for *_, s in got] == [scores[b] for b in want]
