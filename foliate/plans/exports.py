@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.operators import bibtex, export, lint, repair, sourcing
+from foliate.operators import answers, bibtex, export, lint, repair, sourcing
 from foliate.plans.documents import SECTIONS, sections, table
 from foliate.plans.graphs import KG, valid
 from foliate.sources import readers
@@ -239,3 +239,24 @@ def atom_records(spark, sf_dir):
       '</published><author><name> A ', p_brand, '</name></author>', if(p_size % 2 = 0, '<author><name>B</name></author>', '<author><name> </name></author>'), '<summary type=\\"text\\">', if(p_size % 4 > 0, concat(' on\\n', p_type), ''), '</summary></entry>')"""
     feeds = table(spark, sf_dir, "part").selectExpr("p_partkey div 10 as feed", f"{entry} as e").groupBy("feed").agg(F.array_join(F.collect_list("e"), "\n").alias("raw"))
     return readers.atom_records(feeds).select("feed", "record_id", "title", F.array_join("authors", "|").alias("authors"), "year", "publication_date", "abstract")
+
+
+# Answers of each part: fenced, bare after a brace in a string, broken, or an array; each with two nodes, a stray item and edges of which one has no end.
+ANSWER = """concat(case p_partkey % 4 when 0 then 'Here: ```json\\n' when 1 then 'As said ' when 2 then '{ broken ' else '[1, 2] ' end,
+  '{\\"note\\": \\"a } brace\\", \\"nodes\\": [{\\"id\\": \\"a', p_size, '\\", \\"label\\": \\"', p_brand, '\\", \\"type\\": \\"', if(p_size % 2 = 0, ' Method ', 'gadget'), '\\"}, 7, {\\"id\\": \\"b\\"}, {\\"id\\": \\"c\\", \\"label\\": \\"C\\", \\"confidence\\": 0.5}], ',
+  '\\"edges\\": [{\\"source\\": \\"a', p_size, '\\", \\"target\\": \\"c\\", \\"relation\\": \\"uses\\"}, {\\"source\\": \\"c\\", \\"target\\": \\"zz\\", \\"relation\\": \\"uses\\"}]}', if(p_partkey % 4 = 0, '\\n```', ' done }'))"""
+
+
+def _answers(spark, sf_dir):
+    return answers.graphs(table(spark, sf_dir, "part").selectExpr("p_partkey div 10 as paper_id", "p_partkey as batch", f"{ANSWER} as response"))
+
+
+@query("answer_nodes", """SELECT p_partkey // 10 AS paper_id, p_partkey AS batch, n.id, n.label, n.type, n.confidence FROM part, (VALUES (1), (2)) v(k),
+  LATERAL (SELECT CASE WHEN k = 1 THEN 'a' || p_size ELSE 'c' END AS id, CASE WHEN k = 1 THEN p_brand ELSE 'C' END AS label, CASE WHEN k = 1 AND p_size % 2 = 0 THEN 'method' ELSE 'concept' END AS type, CAST(CASE WHEN k = 1 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS confidence) n WHERE p_partkey % 4 != 2""")
+def answer_nodes(spark, sf_dir):
+    return _answers(spark, sf_dir)[0].select("paper_id", "batch", "id", "label", "type", "confidence")
+
+
+@query("answer_edges", "SELECT p_partkey // 10 AS paper_id, p_partkey AS batch, 'a' || p_size AS source, 'c' AS target, 'uses' AS relation FROM part WHERE p_partkey % 4 != 2")
+def answer_edges(spark, sf_dir):
+    return _answers(spark, sf_dir)[1].select("paper_id", "batch", "source", "target", "relation")

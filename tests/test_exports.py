@@ -92,3 +92,12 @@ def test_hashed_retrieval(spark):
         want = sorted(scores, key=lambda b: (-scores[b], b))[:8]
         got = sorted((r["rank"], r.block_id, r.score) for r in found.where(F.col("query_id") == name).collect())
         assert [b for _, b, _ in got] == want and [s for *_, s in got] == [scores[b] for b in want]
+
+
+def test_json_object_of_an_answer():
+    from foliate.operators.answers import json_object
+
+    assert json_object('x ```json\n{"a": "}"}\n``` {"b": 1}') == '\n{"a": "}"}\n'
+    assert json_object('x ```json\n[1]\n``` {"b": {"c": "\\"{"}} tail') == '{"b": {"c": "\\"{"}}'
+    assert json_object("[{}]") == "{}" and json_object("{ no") is json_object("") is json_object(None) is None
+    assert json_object('{"a": 1') is None and json_object("{bad} {\"a\": 1}") is None
