@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import contamination, fingerprint, language, lines, mixing, personal, sharding, similarity, toxicity, warc
-from foliate.llm.common import bucket_of_id, shared_path, table
+from foliate.llm import contamination, fingerprint, language, lines, merkle, mixing, personal, sharding, similarity, toxicity, warc
+from foliate.llm.common import LOWER, UPPER, bucket_of_id, shared_path, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +81,50 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(bucket_of_id("doc_id", 5) == 0, F.translate("text", UPPER, LOWER))
+    return merkle.manifest(table(spark, sf_dir, "documents").select(*merkle.FIELDS), tampered)
+
+
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """The manifest by unrolled levels, as many as 16^levels leaves of a source or sources need."""
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+    crc = "list_reduce(flatten(list_prepend([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))), lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1)))"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"d AS (SELECT row_number() OVER () AS row, *, {leaf('text')} AS leaf, CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {leaf(lower)} END AS bad FROM documents)",
+        "a0 AS (SELECT row, coalesce('1' || source, '0') AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM d)",
+    ]
+
+    def tree(t: str, keys: str) -> None:
+        run = f"PARTITION BY {keys} i // 16 ORDER BY i ROWS BETWEEN"
+        for k in range(levels):
+            n = f"count(*) OVER ({'PARTITION BY s' if keys else ''})"
+            parts.append(f"{t}r{k} AS (SELECT *, {n} AS n, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS e FROM {t}{k})")
+            parts.append(f"{t}{k + 1} AS (SELECT {keys} i // 16 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {t}r{k} GROUP BY {keys} i // 16)")
+
+    tree("a", "s,")
+    parts.append(f"b0 AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i, h FROM a{levels})")
+    tree("b", "")
+    parts.append(f"u0 AS (SELECT d.row, d.doc_id, d.leaf, a0.s, a0.i AS i, b0.i AS j, b0.h AS subroot, coalesce(bad, leaf) AS x, '' AS p FROM d JOIN a0 USING (row) JOIN b0 USING (s))")
+    step = 0
+    for t, at, keys in (("a", "i", "AND r.s = u.s"), ("b", "j", "")):
+        for k in range(levels):
+            parts.append(f"u{step + 1} AS (SELECT u.* REPLACE (CASE WHEN r.n > 1 THEN sha256(r.b || u.x || r.e) ELSE u.x END AS x, CASE WHEN r.n > 1 THEN u.p || r.b || r.e ELSE u.p END AS p) FROM u{step} u JOIN {t}r{k} r ON r.i = u.{at} // {16**k} {keys})")
+            step += 1
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, (SELECT h FROM b{levels}) AS root, sha256(p) AS proof_sha256, x AS folded_root, x = (SELECT h FROM b{levels}) AS verified FROM u{step}"
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
@@ -94,9 +136,11 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_fingerprint": op9_fingerprint,
     "op10_jaccard": op10_jaccard,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLES = {
+    "op11_merkle": _merkle_sql(),
     "op8_lines": """
 WITH d AS (SELECT doc_id, CASE WHEN length(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS no FROM d),
