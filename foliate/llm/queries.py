@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import contamination, fingerprint, language, lines, merkle, mixing, personal, sharding, similarity, toxicity, warc
+from foliate.llm import contamination, fingerprint, language, lines, merkle, mixing, personal, sharding, similarity, toxicity, warc, whitening
 from foliate.llm.common import LOWER, UPPER, bucket_of_id, shared_path, table
 
 
@@ -86,6 +86,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents").select(*merkle.FIELDS), tampered)
 
 
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), keep=["vec_id"])
+
+
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
@@ -137,6 +141,7 @@ QUERIES = {
     "op9_fingerprint": op9_fingerprint,
     "op10_jaccard": op10_jaccard,
     "op11_merkle": op11_merkle,
+    "op13_whiten": op13_whiten,
 }
 
 ORACLES = {
