@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import contamination, fingerprint, language, lines, merkle, mixing, personal, sharding, similarity, toxicity, warc, whitening
+from foliate.llm import collisions, contamination, fingerprint, language, lines, merkle, mixing, personal, sharding, similarity, toxicity, warc, whitening
 from foliate.llm.common import LOWER, UPPER, bucket_of_id, shared_path, table
 
 
@@ -86,6 +86,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents").select(*merkle.FIELDS), tampered)
 
 
+def op12_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), keep=["vec_id"])
 
@@ -141,10 +145,27 @@ QUERIES = {
     "op9_fingerprint": op9_fingerprint,
     "op10_jaccard": op10_jaccard,
     "op11_merkle": op11_merkle,
+    "op12_collisions": op12_collisions,
     "op13_whiten": op13_whiten,
 }
 
 ORACLES = {
+    "op12_collisions": """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT row, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT row, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT row, count(*) AS n, list_sort(list(g)) AS s FROM g GROUP BY row),
+t AS (SELECT min(row) AS node, s, any_value(n) AS n FROM n GROUP BY s),
+m AS (SELECT n.row, t.node, n.n FROM n JOIN t USING (s)),
+h AS (SELECT node, unnest(s) AS g FROM t),
+o AS (SELECT a.node AS a, b.node AS b, count(*) AS c FROM h a JOIN h b ON a.g = b.g AND a.node != b.node GROUP BY a.node, b.node),
+e AS (SELECT a, b FROM o JOIN t x ON x.node = a JOIN t y ON y.node = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT node, node AS seen FROM t UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT r.node, min(d.doc_id) AS id FROM r JOIN m ON m.node = r.seen JOIN d ON d.row = m.row GROUP BY r.node)
+SELECT d.doc_id, coalesce(m.n, 0) AS n_shingles, CASE WHEN m.node IS NULL THEN d.doc_id ELSE c.id END AS component_id,
+  d.doc_id IS NOT DISTINCT FROM CASE WHEN m.node IS NULL THEN d.doc_id ELSE c.id END AS kept
+FROM d LEFT JOIN m ON m.row = d.row LEFT JOIN c ON c.node = m.node
+""",
     "op11_merkle": _merkle_sql(),
     "op8_lines": """
 WITH d AS (SELECT doc_id, CASE WHEN length(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS ls FROM documents),
