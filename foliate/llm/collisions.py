@@ -159,7 +159,7 @@ def _with_hubs(postings: DataFrame, lists: DataFrame, texts: int) -> DataFrame:
 def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, n, shingles) of some nodes, from one of the rows that have the node's set and its least id."""
     few = nodes.count() <= 1 << 20
-    wanted = nodes.select(F.col("rep").alias("_rep"), F.col("node").alias("_node"), "copies")
+    wanted = nodes.select(F.col("rep").alias("_rep"), F.col("node").alias("_node"))
     rows = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("_rep")))
     cache = _WordHash()
 
@@ -170,19 +170,32 @@ def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             found.append(s.view(np.int64) if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == node else None)
         return [expected, [None if s is None else len(s) for s in found], found]
 
-    made = append(rows, ["text", "_node"], "node long, n long, shingles array<long>", run, ["copies"]).where("shingles is not null")
+    made = append(rows, ["text", "_node"], "node long, n long, shingles array<long>", run, []).where("shingles is not null")
     made = written(made, "near-sets")
-    one = ["node", "n", "shingles"]
-    repeated = made.where("copies > 1").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    return made.where("copies = 1").select(one).unionAll(repeated.select(one))
+    if made.count() == nodes.count():
+        return made
+    # rows that repeat their id
+    return written(made.groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "near-sets")
 
 
-def _live(sets: DataFrame, percent: int) -> DataFrame:
-    """The nodes that can have a link at all: of their shingles, enough occur in another set too."""
-    counted = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.max("node").alias("node"))
+def _shared(postings: DataFrame, key: str, sizes: DataFrame, least: Column) -> DataFrame:
+    """The nodes of ``sizes`` (node, n) of whose n keys so many as ``least`` are posted by another node too."""
+    counted = postings.groupBy(key).agg(F.count(F.lit(1)).alias("c"), F.max("node").alias("node"))
     alone = counted.where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    shared = F.col("n") - F.coalesce("alone", F.lit(0))
-    return sets.select("node", "n").join(alone, "node", "left").where(100 * shared >= percent * F.col("n")).select("node")
+    return sizes.join(alone, "node", "left").where(F.col("n") - F.coalesce("alone", F.lit(0)) >= least).select("node")
+
+
+def _coordinates(nodes: DataFrame) -> DataFrame:
+    """(key, node) for every coordinate of the nodes' signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                node = np.repeat(batch.column("node").to_numpy(), HASHES)
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(_matrix(batch, "signature")).ravel()), pa.array(node)], names=["key", "node"])
+
+    return nodes.select("node", "signature").mapInArrow(run, "key long, node long")
 
 
 def similar(common: Column, total: Column, percent: int) -> Column:
@@ -263,13 +276,18 @@ def _among(members: DataFrame, percent: int, least: int, block_bytes: int) -> Da
 def _classes(rows: DataFrame, nodes: DataFrame, percent: int, missed: float, block_bytes: int) -> DataFrame:
     """(node, label) of the nodes that have a link, by the components of all links."""
     least = least_matches(percent, HASHES, missed)
-    postings = written(_postings(nodes, HASHES - least + 1), "near-postings")
+    prefix = HASHES - least + 1
+    postings = written(_postings(nodes, prefix), "near-postings")
     texts = nodes.count()
-    several = written(_lists(postings), "near-lists")
-    near = _with_hubs(postings, several, texts).select("node").distinct()
-    sets = written(_sets(rows, nodes.select("node", "rep", "copies").join(near, "node")), "near-sets")
-    live = written(_live(sets, percent), "near-live")
-    # the same lists again, of nodes that can have a link
+    # nodes that meet another one, then those that can agree with others in enough coordinates, then in enough shingles
+    near = _shared(postings, "key", nodes.select("node", F.lit(prefix).alias("n")), F.lit(1))
+    near = written(nodes.select("node", "rep", "signature").join(near, "node"), "near-nodes")
+    near = written(near.join(_shared(_coordinates(near), "key", near.select("node", F.lit(HASHES).alias("n")), F.lit(least)), "node"), "near-nodes")
+    met = _shared(postings.join(near.select("node"), "node"), "key", near.select("node", F.lit(prefix).alias("n")), F.lit(1))
+    sets = _sets(rows, near.select("node", "rep").join(met, "node"))
+    shingle = sets.select(F.explode("shingles").alias("shingle"), "node")
+    live = written(_shared(shingle, "shingle", sets.select("node", "n"), F.ceil(F.col("n") * percent / 100 - 1e-9)), "near-live")
+    # lists of nodes that can have a link
     postings = postings.join(live, "node")
     stars = written(_with_hubs(postings, written(_lists(postings), "near-lists"), texts).distinct(), "near-stars")
     x, y = sets.select("node", "n", F.col("shingles").alias("x")), sets.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("shingles").alias("y"))
@@ -309,8 +327,9 @@ def near_duplicates(
     values alone; only these lists, the prefix, are merged, and all others are
     skipped and just probed for pairs that met. No list is expanded to its
     pairs: of each, only the hub, the node with the most common values, is
-    paired with the others. Nodes go before that if more of their shingles
-    than a link allows occur in no other candidate set. A pair of hub and
+    paired with the others. Nodes go before that if more of their coordinates,
+    or of their shingles, than a link allows occur with no other candidate. A
+    pair of hub and
     member yields the exact difference of their sets. From these differences
     the members of a hub decide links among themselves, in blocks of bounded
     bytes, two to a task, and only where links with hubs left them in several
