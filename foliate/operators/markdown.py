@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliate.functions.lines import MARKS, is_blank, mark, rewrite, unmark
+
 # Headers of the references, tried in this order; typographic signs and their replacements; names of Greek glyphs.
 REFERENCE_HEADERS = (r"(?m)^## References\s*$", r"(?m)^## REFERENCES\s*$", r"(?m)^# References\s*$", r"(?m)^References\s*$")
 SIGNS = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st", "–": "-"}
@@ -65,11 +67,22 @@ def process_citations(text: Column) -> Column:
 
 
 def space_bibliography(text: Column) -> Column:
-    """A blank line between an entry and the line of the entry before it."""
+    """A blank line before each entry that follows the lines of another entry without one.
+
+    A blank line, of white space too, ends an entry; lines after it are free
+    text until the next entry begins.
+    """
     body, references = split_references(text)
-    spaced = F.regexp_replace(references, r"(?<=\n)(?=[ \t]*(?:<a[^>]*></a>)?(?:-[ \t]*)?\[\d{1,3}\])", "\u0001")
-    first = F.regexp_replace(spaced, "^([^\u0001]*)\u0001", "$1")
-    return F.concat(body, F.replace(F.replace(first, F.lit("\n\n\u0001"), F.lit("\n\n")), F.lit("\u0001"), F.lit("\n")))
+    entry, gap, other = MARKS[:3]
+
+    def spaced(run: Column) -> Column:
+        # the first entry of lines without a gap follows no other
+        apart = F.replace(run, F.lit(f"\n{entry}"), F.lit(f"\n\n{entry}"))
+        return F.when(F.startswith(run, F.lit(entry)), apart).otherwise(F.regexp_replace(apart, rf"(?s)\A(.*?)\n(\n{entry})", "$1$2"))
+
+    marked = mark(references, lambda line: F.when(line.rlike(ENTRY), entry).when(is_blank(line), gap).otherwise(other))
+    runs = rewrite(marked, rf"(?dm)^[{entry}{other}][^\n]*(?:\n[{entry}{other}][^\n]*)*+", inside=spaced)
+    return F.concat(body, F.when(references != "", unmark(runs)).otherwise(""))
 
 
 def reference_count(text: Column) -> Column:
@@ -81,17 +94,28 @@ def reference_count(text: Column) -> Column:
 
 def cleanup(text: Column) -> Column:
     """Image comments, ligatures, glyph names, runs of blank lines and blanks at line ends."""
-    out = F.array_join(F.filter(F.split(text, "\n"), lambda line: F.trim(line) != "<!-- image -->"), "\n")
-    for sign, plain in SIGNS.items():
-        out = F.replace(out, F.lit(sign), F.lit(plain))
+    return clean_blanks(clean_signs(text))
+
+
+def clean_blanks(text: Column) -> Column:
+    """One blank line where there are more, no blanks at line ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"[^\S\n]+(?=\n|$)", "")
+
+
+def clean_signs(text: Column) -> Column:
+    """Without comments for images, ligatures as letters, glyphs by name as signs; those without a name go."""
+    image = r"^\s*<!-- image -->\s*$"
+    out = F.when(F.contains(text, F.lit("<!-- image -->")), F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(image)), "\n")).otherwise(text)
+    plain = out
+    for sign, letters in SIGNS.items():
+        plain = F.replace(plain, F.lit(sign), F.lit(letters))
+    out = F.when(out.rlike(f"[{''.join(SIGNS)}]"), plain).otherwise(out)
     glyph = r"(?i)glyph\[([A-Za-z0-9]+)\]"
     names = F.create_map(*(F.lit(x) for kv in GLYPHS.items() for x in kv))
     found = F.regexp_extract_all(out, F.lit(glyph), F.lit(1))
     known = F.transform(F.split(out, glyph), lambda piece, i: F.concat(piece, F.coalesce(F.element_at(names, F.get(found, i)), F.lit(""))))
     out = F.when(out.rlike(glyph), F.array_join(known, "")).otherwise(out)
-    out = F.regexp_replace(out, r"GLYPH<\d+>|GLYPH&lt;\d+&gt;", "")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.regexp_replace(out, r"[^\S\n]+(?=\n|$)", "")
+    return F.regexp_replace(out, r"GLYPH<\d+>|GLYPH&lt;\d+&gt;", "")
 
 
 def table_count(text: Column) -> Column:

@@ -58,7 +58,7 @@ def cap_text(text: Column, most: int) -> Column:
 
 
 def read_folder(spark: SparkSession, path: str, most_files: int = 50, most_chars: int = 200_000) -> DataFrame:
-    """The documents below a folder as label and text: README first, then by path, hidden and vendor folders left out."""
+    """The documents below a folder as label and text: README first, then by path; hidden folders and those of packages and builds are left out."""
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     name = F.element_at(F.split("file", "/"), -1)
     root = path.rstrip("/")

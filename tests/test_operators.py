@@ -196,8 +196,8 @@ def test_folder(spark, tmp_path):
         os.makedirs(os.path.dirname(tmp_path / name), exist_ok=True)
         (tmp_path / name).write_text(text)
     files = readers.read_folder(spark, str(tmp_path))
-    assert [r.label for r in files.collect()] == ["README.md", "b.md", "sub/a.md"]
-    assert {(r.label, r.title, r.section_path) for r in readers.markdown_blocks(files).collect()} == {("README.md", "README", ""), ("b.md", "B", "B"), ("sub/a.md", "A", "A")}
+    assert [r.label for r in files.collect()] == ["README.md", "b.md", "sub/a.md", "vendor/e.md"]
+    assert {(r.label, r.title, r.section_path) for r in readers.markdown_blocks(files).collect()} == {("README.md", "README", ""), ("b.md", "B", "B"), ("sub/a.md", "A", "A"), ("vendor/e.md", "E", "E")}
     assert one(spark, readers.cap_text(F.col("t"), 4), t="abc def") == "abc\n\n[... truncated ...]"
     frame = spark.range(1)
     assert readers.write_new(frame, f"{tmp_path}/out") is None and readers.write_new(frame, f"{tmp_path}/out").startswith("exists") and readers.write_new(frame, f"{tmp_path}/out", True) is None
