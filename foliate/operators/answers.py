@@ -6,11 +6,12 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from foliate.operators import graph
+from foliate.operators import entities, graph
+from foliate.storage import settled
 
 FENCE = "```json"
 #: A string, closed or not, or a brace outside of strings.
@@ -69,3 +70,31 @@ def graphs(answers: DataFrame, text: str = "response") -> tuple[DataFrame, DataF
     for end in ("source", "target"):
         edges = edges.join(ends.withColumnRenamed("id", end), ["paper_id", "batch", end], "left_semi")
     return graph.coerce_types(nodes), edges.withColumn("relation", graph.coerce(F.col("relation"), graph.RELATIONS, "related_to")), failed
+
+
+def batches(sections: DataFrame, size: int = 6, text: str = "text") -> DataFrame:
+    """(paper_id, batch, context): the sections of a paper in their order, so many to a batch, apart by blank lines."""
+    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("ord")) - 1
+    rows = sections.select("paper_id", "ord", F.col(text).alias("_text"), F.floor(place / size).cast("int").alias("batch"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "_text"))), lambda x: x["_text"])
+    return rows.groupBy("paper_id", "batch").agg(F.array_join(texts, "\n\n").alias("context"))
+
+
+def build(answers: DataFrame, text: str = "response") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graphs of papers from their batches of answers: nodes, edges, and the papers of which no answer could be read.
+
+    Nodes of all batches are merged in the order of batches. An edge names
+    nodes of its own batch, so each end goes where the batch's node of that id
+    went, the last one if the batch has several; ids that batches use for
+    different things stay apart. Then loops go, and of equal edges the first
+    stays. An unread batch takes nothing from the others.
+    """
+    nodes, edges, failed = graphs(answers, text)
+    nodes = settled(nodes)
+    merged, to = entities.merge(nodes.drop("batch"))
+    ends = to.join(nodes.select("paper_id", "ord", "batch", "id"), ["paper_id", "ord"])
+    ends = settled(ends.groupBy("paper_id", "batch", "id").agg(F.max_by("canonical", "ord").alias("_to")))
+    for end in ("source", "target"):
+        edges = edges.join(ends.withColumnRenamed("id", end), ["paper_id", "batch", end]).withColumn(end, F.col("_to")).drop("_to")
+    first = edges.where("source != target").groupBy("paper_id", "source", "target", "relation").agg(F.min("ord").alias("ord"))
+    return merged, first.select("paper_id", "ord", "source", "target", "relation"), failed

@@ -6,13 +6,11 @@ and confidence; an edge has ord, source, target and relation.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions.text import squash, strip
+from foliate.operators import entities
 
 # The vocabulary, the types whose labels must stand in the text, and the keywords of the domains in their order.
 NODE_TYPES = ("method", "dataset", "claim", "result", "metric", "concept", "task")
@@ -129,89 +127,30 @@ def detect_domain(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.withColumns({"domain": F.when(best["hits"] > 0, best["domain"]).otherwise("general"), "hits": best["hits"]})
 
 
-def _norm(label: str) -> str:
-    return " ".join((label or "").lower().split())
-
-
-def _fold(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Nodes in their order; each joins the earliest kept one with its id, or with its type and label."""
-    kept, by_id, by_label = [], {}, {}
-    for node in nodes.sort_values("ord").to_dict("records"):
-        node["aliases"] = list(node["aliases"]) if node["aliases"] is not None else []
-        key = (node["type"], _norm(node["label"]))
-        places = [d[k] for d, k in ((by_id, node["id"]), (by_label, key)) if k in d]
-        if not places:
-            by_id[node["id"]], by_label[key] = len(kept), len(kept)
-            kept.append(node)
-            continue
-        old = kept[min(places)]
-        if len(node["description"] or "") > len(old["description"] or ""):
-            old["description"] = node["description"]
-            old["section_path"] = node["section_path"] or old["section_path"]
-        for field in ("section_path", "evidence"):
-            old[field] = old[field] or node[field]
-        old["confidence"] = max(old["confidence"], node["confidence"])
-        old["aliases"] += [a for a in dict.fromkeys([*node["aliases"], node["label"]]) if a and a != old["label"] and a not in old["aliases"]]
-    return pd.DataFrame(kept, columns=[c for c in nodes.columns])
-
-
 def merge_nodes(nodes: DataFrame) -> DataFrame:
-    """One node for each entity of a paper: the same id, or the same type and label.
-
-    Which node another joins depends on the order they come in, so a paper's
-    nodes are folded in one group; papers are groups of bounded size.
-    """
-    return nodes.groupBy("paper_id").applyInPandas(_fold, nodes.schema)
-
-
-_WORD = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z]+")
-
-
-def label_words(label: str) -> list[str]:
-    """Words between blanks, dashes, underscores and slashes, and at the humps of camel case."""
-    return [w for part in re.split(r"[\s\-_/]+", label.strip()) if part for w in (_WORD.findall(part) or [part])]
-
-
-def _corefer(nodes: pd.DataFrame) -> pd.DataFrame:
-    """The id that each node of a paper goes to: acronyms to their long form, then the shorter of two like labels of a type to the longer."""
-    rows = nodes.sort_values("ord")[["id", "label", "type"]].to_dict("records")
-    words = {r["id"]: label_words(r["label"] or "") for r in rows}
-    goes: dict[str, str] = {}
-    for short in rows:
-        label = (short["label"] or "").strip()
-        if re.fullmatch(r"[A-Z][A-Z0-9]{1,4}", label):
-            for long in rows:
-                if long["id"] != short["id"] and long["id"] not in goes and len(words[long["id"]]) > 1 and "".join(w[0] for w in words[long["id"]]).upper() == label:
-                    goes[short["id"]] = long["id"]
-                    break
-    live = [r for r in rows if r["id"] not in goes]
-    i = 0
-    while i < len(live):
-        a, merged = live[i], False
-        for b in live[i + 1 :]:
-            x, y = ((r["label"] or "").strip().lower() for r in (a, b))
-            if a["type"] != b["type"] or not x or not y or x == y:
-                continue
-            one, two = ({w.lower() for w in words[r["id"]]} for r in (a, b))
-            if x in y or y in x or (one and two and len(one & two) >= 0.8 * min(len(one), len(two))):
-                keep, drop = (a, b) if len(a["label"] or "") >= len(b["label"] or "") else (b, a)
-                goes[drop["id"]] = keep["id"]
-                live, merged = [r for r in live if r["id"] != drop["id"]], True
-                break
-        i = 0 if merged else i + 1
-
-    def end(ident: str) -> str:
-        while ident in goes:
-            ident = goes[ident]
-        return ident
-
-    return pd.DataFrame({"paper_id": nodes["paper_id"].iloc[0], "id": [r["id"] for r in rows], "canonical": [end(r["id"]) for r in rows]})
+    """One node for each entity of a paper: the same id, or the same type and label; see ``entities``."""
+    return entities.merge(nodes)[0]
 
 
 def coreference(nodes: DataFrame) -> DataFrame:
-    """paper_id, id and the canonical id of every node; the rounds of merging need a paper's labels together."""
-    kind = nodes.schema["paper_id"].dataType.simpleString()
-    return nodes.select("paper_id", "ord", "id", "label", "type").groupBy("paper_id").applyInPandas(_corefer, f"paper_id {kind}, id string, canonical string")
+    """paper_id, id and the canonical id of every node; see ``entities.corefer``."""
+    ends = nodes.select("paper_id", F.col("ord").alias("to"), F.col("id").alias("_to"))
+    goes = entities.corefer(nodes).join(ends, ["paper_id", "to"]).select("paper_id", "ord", "_to")
+    return nodes.join(goes, ["paper_id", "ord"], "left").select("paper_id", "id", F.coalesce("_to", "id").alias("canonical"))
+
+
+def corefer(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph with coreferent nodes made one: what stands for another gives it its label as an alias, and its description where that is longer."""
+    to = entities.corefer(nodes)
+    names = to.join(nodes.select("paper_id", "ord", "label", "description"), ["paper_id", "ord"])
+    size = F.length(F.coalesce("description", F.lit("")))
+    given = names.groupBy("paper_id", F.col("to").alias("ord")).agg(F.array_sort(F.collect_list(F.struct("ord", "label"))).alias("_l"), F.max_by("description", F.struct(size, -F.col("ord"))).alias("_d"))
+    kept = nodes.join(to.select("paper_id", "ord"), ["paper_id", "ord"], "left_anti").join(given, ["paper_id", "ord"], "left")
+    before = F.coalesce("aliases", F.array().cast("array<string>"))
+    more = F.array_except(F.filter(F.transform("_l", lambda x: x["label"]), lambda x: x != ""), before)
+    longer = F.length("_d") > F.length(F.coalesce("description", F.lit("")))
+    kept = kept.withColumns({"aliases": F.concat(before, F.coalesce(more, F.array().cast("array<string>"))), "description": F.when(longer, F.col("_d")).otherwise(F.col("description"))})
+    return kept.select(nodes.columns), redirect(edges, coreference(nodes))
 
 
 def redirect(edges: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliate.operators import graph
 from foliate.plans.documents import MD, SECTIONS, sections, table
 from foliate.sources import readers
+from foliate.storage import settled
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -112,24 +113,69 @@ def domain_detect(spark, sf_dir):
     return graph.detect_domain(texts).select("doc_id", "domain", "hits")
 
 
-def _labelled(spark, sf_dir) -> DataFrame:
-    """Parts as entities: names of two words, some as acronyms, ids and labels that come back."""
-    return table(spark, sf_dir, "part").selectExpr(
-        "p_partkey div 100 as paper_id", "p_partkey as ord", "concat('e', p_partkey % 60) as id",
-        "case p_partkey % 4 when 0 then concat(upper(left(p_brand, 1)), 'N') when 1 then concat(p_brand, ' net') when 2 then p_brand else concat(p_brand, ' net ', p_size) end as label",
-        "case when p_partkey % 3 = 0 then 'method' else 'concept' end as type", "repeat('d', cast(p_partkey % 9 as int)) as description", "case when p_partkey % 2 = 0 then 'A > B' else '' end as section_path",
-        "cast(array() as array<string>) as aliases", "'' as evidence", "p_partkey % 10 / 10.0D as confidence",
-    )
+LABEL = """CASE p_partkey % 9 WHEN 0 THEN 'BN' WHEN 1 THEN p_brand || ' net' WHEN 2 THEN p_brand WHEN 3 THEN p_brand || ' net ' || p_size WHEN 4 THEN 'XMLNet ' || p_size % 5 WHEN 5 THEN 'B' || substr(p_brand, 7, 1) || 'N'
+  WHEN 6 THEN 'B' || substr(p_brand, 7, 1) || 'N' || p_size % 4 WHEN 7 THEN '  ' || lower(p_brand) || '  net' ELSE substr(p_name, 1, 12) END"""
+FIELDS = (
+    "p_partkey AS ord", "'e' || p_partkey % 60 AS id", f"{LABEL} AS label", "CASE WHEN p_partkey % 3 = 0 THEN 'method' ELSE 'concept' END AS type", "repeat('d', CAST(p_partkey % 9 AS INT)) AS description",
+    "CASE WHEN p_partkey % 2 = 0 THEN 'A > ' || p_partkey % 11 ELSE '' END AS section_path", "CASE WHEN p_partkey % 5 = 0 THEN 'e' || p_partkey % 7 ELSE '' END AS evidence",
+)
 
 
-@query("kg_merge")
-def kg_merge(spark, sf_dir):
-    return graph.merge_nodes(_labelled(spark, sf_dir))
+def _labelled(spark, sf_dir) -> DataFrame:
+    """Parts as entities: names of one to four words, acronyms, ids and labels that come back."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey div 100 as paper_id", *FIELDS, "p_partkey % 10 / 10.0D as confidence")
+    return rows.withColumn("aliases", F.when(F.col("ord") % 4 == 0, F.array(F.lit("also"), F.lit(""), "label")).otherwise(F.array().cast("array<string>")))
+
+
+# Each paper's nodes one by one: the ids and keys that stay are lists, in which a node finds the first that it joins.
+MERGE = f"""
+WITH RECURSIVE n AS (SELECT p_partkey // 100 AS paper_id, {", ".join(FIELDS)}, CAST(p_partkey % 10 / 10.0 AS DOUBLE) AS confidence,
+  CASE WHEN p_partkey % 4 = 0 THEN ['also', '', {LABEL}] ELSE [] END AS aliases FROM part),
+k AS (SELECT paper_id, ord, id, type || chr(10) || lower(regexp_replace(trim(label), '\\s+', ' ', 'g')) AS key, row_number() OVER (PARTITION BY paper_id ORDER BY ord) AS r FROM n),
+f AS (SELECT paper_id, r, ord, ord AS into_, [id] AS ids, [key] AS keys, [ord] AS ords FROM k WHERE r = 1
+  UNION ALL SELECT k.paper_id, k.r, k.ord, coalesce(f.ords[p], k.ord), CASE WHEN p IS NULL THEN f.ids || [k.id] ELSE f.ids END, CASE WHEN p IS NULL THEN f.keys || [k.key] ELSE f.keys END, CASE WHEN p IS NULL THEN f.ords || [k.ord] ELSE f.ords END
+  FROM (SELECT f.*, k.id AS own_id, k.key AS own_key, nullif(least(coalesce(nullif(list_position(f.ids, k.id), 0), 99999), coalesce(nullif(list_position(f.keys, k.key), 0), 99999)), 99999) AS p
+    FROM f JOIN k ON k.paper_id = f.paper_id AND k.r = f.r + 1) f JOIN k ON k.paper_id = f.paper_id AND k.r = f.r + 1),
+j AS (SELECT n.*, f.into_, length(description) > max(length(description)) OVER (PARTITION BY n.paper_id, into_ ORDER BY n.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS longer FROM n JOIN f USING (paper_id, ord)),
+a AS (SELECT paper_id, into_, list(x ORDER BY ord, i) AS xs FROM (SELECT paper_id, into_, ord, unnest(aliases || [label]) AS x, generate_subscripts(aliases || [label], 1) AS i FROM j WHERE ord != into_) GROUP BY ALL),
+g AS (SELECT paper_id, into_, arg_max(description, {{'l': length(description), 'o': -ord}}) AS description, coalesce(arg_max(section_path, ord) FILTER (WHERE longer AND section_path != ''), arg_min(section_path, ord) FILTER (WHERE section_path != ''), '') AS section_path,
+  coalesce(arg_min(evidence, ord) FILTER (WHERE evidence != ''), '') AS evidence, max(confidence) AS confidence FROM j GROUP BY ALL),
+m AS (SELECT n.paper_id, n.ord, n.id, n.label, n.type, g.description, g.section_path, g.evidence, g.confidence,
+  n.aliases || list_transform(list_filter(list_transform(coalesce(xs, []), lambda x, i: CASE WHEN x != '' AND x != n.label AND NOT list_contains(n.aliases, x) AND list_position(xs, x) = i THEN x END), lambda x: x IS NOT NULL), lambda x: x) AS aliases
+  FROM n JOIN g ON g.paper_id = n.paper_id AND g.into_ = n.ord LEFT JOIN a ON a.paper_id = n.paper_id AND a.into_ = n.ord)
+"""
 
 
-@query("kg_coref")
+@query("kg_merge", MERGE + "SELECT paper_id, ord, id, label, type, description, section_path, evidence, confidence, array_to_string(aliases, '|') AS aliases FROM m")
+def kg_merge(spark, sf_dir):
+    return graph.merge_nodes(_labelled(spark, sf_dir)).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+# Acronyms one by one, then the first pair that is alike, again and again: what is gone is a list.
+COREF = MERGE + """, w AS (SELECT *, list_filter(flatten(list_transform(list_filter(string_split_regex(trim(label), '[\\s\\-_/]+'), lambda t: t != ''), lambda t:
+  CASE WHEN len(regexp_extract_all(regexp_replace(t, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z0-9]+|[A-Z]+')) > 0 THEN regexp_extract_all(regexp_replace(t, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z0-9]+|[A-Z]+') ELSE [t] END)), lambda x: x != '') AS words FROM m),
+s AS (SELECT paper_id, ord, trim(label) AS l, row_number() OVER (PARTITION BY paper_id ORDER BY ord) AS r FROM w WHERE regexp_matches(trim(label), '^[A-Z][A-Z0-9]{1,4}$')),
+h AS (SELECT s.paper_id, s.ord, s.r, list(w.ord ORDER BY w.ord) AS longs FROM s JOIN w ON w.paper_id = s.paper_id AND w.ord != s.ord AND len(w.words) > 1 AND upper(array_to_string(list_transform(w.words, lambda x: x[1]), '')) = s.l GROUP BY ALL),
+ac AS (SELECT DISTINCT paper_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS gone, CAST([] AS STRUCT(o BIGINT, t BIGINT)[]) AS went FROM w
+  UNION ALL SELECT ac.paper_id, ac.r + 1, CASE WHEN len(list_filter(h.longs, lambda x: NOT list_contains(ac.gone, x))) > 0 THEN ac.gone || [s.ord] ELSE ac.gone END,
+    CASE WHEN len(list_filter(h.longs, lambda x: NOT list_contains(ac.gone, x))) > 0 THEN ac.went || [{'o': s.ord, 't': list_filter(h.longs, lambda x: NOT list_contains(ac.gone, x))[1]}] ELSE ac.went END
+    FROM ac JOIN s ON s.paper_id = ac.paper_id AND s.r = ac.r + 1 LEFT JOIN h ON h.paper_id = s.paper_id AND h.ord = s.ord),
+al AS (SELECT paper_id, arg_max(gone, r) AS gone, arg_max(went, r) AS went FROM ac GROUP BY 1),
+v AS (SELECT w.paper_id, w.ord, w.type, length(label) AS n, lower(trim(label)) AS l, list_distinct(list_transform(words, lambda x: lower(x))) AS ws FROM w JOIN al USING (paper_id) WHERE NOT list_contains(al.gone, w.ord) AND trim(label) != ''),
+p AS (SELECT a.paper_id, a.ord AS a, b.ord AS b, a.n >= b.n AS left_ FROM v a JOIN v b ON a.paper_id = b.paper_id AND a.type = b.type AND a.ord < b.ord AND a.l != b.l
+  WHERE contains(a.l, b.l) OR contains(b.l, a.l) OR (len(list_intersect(a.ws, b.ws)) > 0 AND len(list_intersect(a.ws, b.ws)) >= 0.8 * least(len(a.ws), len(b.ws)))),
+fo AS (SELECT paper_id, gone, went FROM al UNION ALL
+  SELECT paper_id, gone || [CASE WHEN left_ THEN b ELSE a END], went || [CASE WHEN left_ THEN {'o': b, 't': a} ELSE {'o': a, 't': b} END] FROM (
+    SELECT fo.*, p.a, p.b, p.left_, row_number() OVER (PARTITION BY fo.paper_id ORDER BY p.a, p.b) AS i FROM fo JOIN p ON p.paper_id = fo.paper_id WHERE NOT list_contains(fo.gone, p.a) AND NOT list_contains(fo.gone, p.b)) WHERE i = 1),
+z AS (SELECT paper_id, unnest(arg_max(went, len(went))) AS g FROM fo GROUP BY 1),
+e AS (SELECT paper_id, ord, ord AS at_ FROM m UNION ALL SELECT e.paper_id, e.ord, z.g.t FROM e JOIN z ON z.paper_id = e.paper_id AND z.g.o = e.at_),
+last_ AS (SELECT e.paper_id, e.ord, e.at_ FROM e LEFT JOIN z ON z.paper_id = e.paper_id AND z.g.o = e.at_ WHERE z.g IS NULL)
+SELECT m.paper_id, m.id, t.id AS canonical FROM last_ JOIN m USING (paper_id, ord) JOIN m t ON t.paper_id = last_.paper_id AND t.ord = last_.at_"""
+
+
+@query("kg_coref", COREF)
 def kg_coref(spark, sf_dir):
-    return graph.coreference(graph.merge_nodes(_labelled(spark, sf_dir)))
+    return graph.coreference(settled(graph.merge_nodes(_labelled(spark, sf_dir))))
 
 
 # Sources made of parts that vary on their own, so that both engines must decide for each mix.
