@@ -24,7 +24,9 @@ COUNTERS = 1 << 20
 #: Lists that hold at least this share of all texts are broadcast with their hubs, SHARE times the prefix of them at most.
 SHARE = 1000
 #: Bytes of a block of differences and signatures; a task holds two.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: So many keys of nodes are broadcast; more are joined by a shuffle.
+FEW = 1 << 20
 #: Word hashes that a task remembers.
 CACHE = 1_000_000
 
@@ -156,9 +158,14 @@ def _with_hubs(postings: DataFrame, lists: DataFrame, texts: int) -> DataFrame:
     return postings.join(F.broadcast(lists.where(long)), "key").select("node", "hub").unionAll(rest.select("node", "hub"))
 
 
+def _only(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of some nodes."""
+    return rows.join(F.broadcast(nodes) if nodes.count() <= FEW else nodes, "node")
+
+
 def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, n, shingles) of some nodes, from one of the rows that have the node's set and its least id."""
-    few = nodes.count() <= 1 << 20
+    few = nodes.count() <= FEW
     wanted = nodes.select(F.col("rep").alias("_rep"), F.col("node").alias("_node"))
     rows = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("_rep")))
     cache = _WordHash()
@@ -270,7 +277,8 @@ def _among(members: DataFrame, percent: int, least: int, block_bytes: int) -> Da
         found = linked(labels, sizes, signatures, differences, np.flatnonzero(block == i), np.flatnonzero(block == j), percent, least)
         return pa.table([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
 
-    return dealt.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
+    # else the blocks of a hub would stay in one task
+    return dealt.repartition("hub", "i", "j").groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _classes(rows: DataFrame, nodes: DataFrame, percent: int, missed: float, block_bytes: int) -> DataFrame:
@@ -280,15 +288,15 @@ def _classes(rows: DataFrame, nodes: DataFrame, percent: int, missed: float, blo
     postings = written(_postings(nodes, prefix), "near-postings")
     texts = nodes.count()
     # nodes that meet another one, then those that can agree with others in enough coordinates, then in enough shingles
-    near = _shared(postings, "key", nodes.select("node", F.lit(prefix).alias("n")), F.lit(1))
-    near = written(nodes.select("node", "rep", "signature").join(near, "node"), "near-nodes")
-    near = written(near.join(_shared(_coordinates(near), "key", near.select("node", F.lit(HASHES).alias("n")), F.lit(least)), "node"), "near-nodes")
-    met = _shared(postings.join(near.select("node"), "node"), "key", near.select("node", F.lit(prefix).alias("n")), F.lit(1))
-    sets = _sets(rows, near.select("node", "rep").join(met, "node"))
+    near = written(_shared(postings, "key", nodes.select("node", F.lit(prefix).alias("n")), F.lit(1)), "near-met")
+    agrees = _shared(_coordinates(_only(nodes, near)), "key", near.withColumn("n", F.lit(HASHES)), F.lit(least))
+    near = written(agrees, "near-agrees")
+    near = written(_shared(_only(postings, near), "key", near.withColumn("n", F.lit(prefix)), F.lit(1)), "near-met")
+    sets = _sets(rows, written(_only(nodes.select("node", "rep"), near), "near-nodes"))
     shingle = sets.select(F.explode("shingles").alias("shingle"), "node")
     live = written(_shared(shingle, "shingle", sets.select("node", "n"), F.ceil(F.col("n") * percent / 100 - 1e-9)), "near-live")
     # lists of nodes that can have a link
-    postings = postings.join(live, "node")
+    postings = _only(postings, live)
     stars = written(_with_hubs(postings, written(_lists(postings), "near-lists"), texts).distinct(), "near-stars")
     x, y = sets.select("node", "n", F.col("shingles").alias("x")), sets.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("shingles").alias("y"))
     e = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
@@ -297,7 +305,7 @@ def _classes(rows: DataFrame, nodes: DataFrame, percent: int, missed: float, blo
     total = F.col("n") + F.col("hub_n")
     links = stars.where("node != hub").where(similar((total - F.col("d")) / 2, total, percent)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     labels = written(components(links), "near-labels")
-    labelled = stars.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(nodes.select("node", "signature"), "node")
+    labelled = stars.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(_only(nodes.select("node", "signature"), live), "node")
     more = written(_among(labelled, percent, least, block_bytes), "near-links")
     joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("over"))
     # labels of one node alone are not among the labels so far
