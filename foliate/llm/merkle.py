@@ -138,7 +138,7 @@ class Forest:
                 lone = lone.unionAll(inner.select(places))
             found = written(lone, "merkle-paths")
         lone = self.rounds[0].where("n = 1").select("tree", "at").join(tops, "tree").select(places)
-        found = lone if found is None else found.unionAll(lone)
+        found = written(lone, "merkle-paths") if found is None else found.unionAll(lone)
         return self._descended(self.rounds[0], found, self.packs[0], keep, fields, finish)
 
 
@@ -209,7 +209,7 @@ def manifest(documents: DataFrame, changed: Column | None = None, *, fanout: int
     root = top["node"] if top else ""
     nothing = F.array().cast("array<string>")
     tops = above.roots.select("tree", nothing.alias("before"), nothing.alias("after"), F.lit("").alias("top"))
-    tops = above.descend(tops, ["source", "node"], PATH, lambda _, __, *path: path)
+    tops = above.descend(written(tops, "merkle-top"), ["source", "node"], PATH, lambda _, __, *path: path)
     tops = written(tops.select(F.col("source").alias("tree"), "before", "after", F.col("node").alias("top")), "merkle-tops")
 
     def finish(_, leaf: str, checked: str | None, before: list[str], after: list[str], subroot: str) -> tuple:
