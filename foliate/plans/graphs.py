@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.operators import graph
+from foliate.operators import answers, caching, graph
 from foliate.plans.documents import MD, SECTIONS, sections, table
 from foliate.sources import readers
-from foliate.storage import settled
+from foliate.storage import settled, shared_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -128,9 +128,10 @@ def _labelled(spark, sf_dir) -> DataFrame:
 
 
 # Each paper's nodes one by one: the ids and keys that stay are lists, in which a node finds the first that it joins.
-MERGE = f"""
+PARTS = f"""
 WITH RECURSIVE n AS (SELECT p_partkey // 100 AS paper_id, {", ".join(FIELDS)}, CAST(p_partkey % 10 / 10.0 AS DOUBLE) AS confidence,
-  CASE WHEN p_partkey % 4 = 0 THEN ['also', '', {LABEL}] ELSE [] END AS aliases FROM part),
+  CASE WHEN p_partkey % 4 = 0 THEN ['also', '', {LABEL}] ELSE [] END AS aliases FROM part)"""
+FOLD = """,
 k AS (SELECT paper_id, ord, id, type || chr(10) || lower(regexp_replace(trim(label), '\\s+', ' ', 'g')) AS key, row_number() OVER (PARTITION BY paper_id ORDER BY ord) AS r FROM n),
 f AS (SELECT paper_id, r, ord, ord AS into_, [id] AS ids, [key] AS keys, [ord] AS ords FROM k WHERE r = 1
   UNION ALL SELECT k.paper_id, k.r, k.ord, coalesce(f.ords[p], k.ord), CASE WHEN p IS NULL THEN f.ids || [k.id] ELSE f.ids END, CASE WHEN p IS NULL THEN f.keys || [k.key] ELSE f.keys END, CASE WHEN p IS NULL THEN f.ords || [k.ord] ELSE f.ords END
@@ -138,12 +139,13 @@ f AS (SELECT paper_id, r, ord, ord AS into_, [id] AS ids, [key] AS keys, [ord] A
     FROM f JOIN k ON k.paper_id = f.paper_id AND k.r = f.r + 1) f JOIN k ON k.paper_id = f.paper_id AND k.r = f.r + 1),
 j AS (SELECT n.*, f.into_, length(description) > max(length(description)) OVER (PARTITION BY n.paper_id, into_ ORDER BY n.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS longer FROM n JOIN f USING (paper_id, ord)),
 a AS (SELECT paper_id, into_, list(x ORDER BY ord, i) AS xs FROM (SELECT paper_id, into_, ord, unnest(aliases || [label]) AS x, generate_subscripts(aliases || [label], 1) AS i FROM j WHERE ord != into_) GROUP BY ALL),
-g AS (SELECT paper_id, into_, arg_max(description, {{'l': length(description), 'o': -ord}}) AS description, coalesce(arg_max(section_path, ord) FILTER (WHERE longer AND section_path != ''), arg_min(section_path, ord) FILTER (WHERE section_path != ''), '') AS section_path,
+g AS (SELECT paper_id, into_, arg_max(description, {'l': length(description), 'o': -ord}) AS description, coalesce(arg_max(section_path, ord) FILTER (WHERE longer AND section_path != ''), arg_min(section_path, ord) FILTER (WHERE section_path != ''), '') AS section_path,
   coalesce(arg_min(evidence, ord) FILTER (WHERE evidence != ''), '') AS evidence, max(confidence) AS confidence FROM j GROUP BY ALL),
 m AS (SELECT n.paper_id, n.ord, n.id, n.label, n.type, g.description, g.section_path, g.evidence, g.confidence,
   n.aliases || list_transform(list_filter(list_transform(coalesce(xs, []), lambda x, i: CASE WHEN x != '' AND x != n.label AND NOT list_contains(n.aliases, x) AND list_position(xs, x) = i THEN x END), lambda x: x IS NOT NULL), lambda x: x) AS aliases
   FROM n JOIN g ON g.paper_id = n.paper_id AND g.into_ = n.ord LEFT JOIN a ON a.paper_id = n.paper_id AND a.into_ = n.ord)
 """
+MERGE = PARTS + FOLD
 
 
 @query("kg_merge", MERGE + "SELECT paper_id, ord, id, label, type, description, section_path, evidence, confidence, array_to_string(aliases, '|') AS aliases FROM m")
@@ -178,6 +180,84 @@ def kg_coref(spark, sf_dir):
     return graph.coreference(settled(graph.merge_nodes(_labelled(spark, sf_dir))))
 
 
+# Answers with a node and an edge for each of six parts; ids come back for other labels, ends are missing, some answers cannot be read.
+NODE = """concat('{"id": "x', p_partkey % 7, '", "label": "', CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_type END, '", "type": "', CASE p_partkey % 4 WHEN 0 THEN 'Method ' WHEN 1 THEN 'gadget' ELSE 'task' END, '", "description": "', repeat('d', CAST(p_partkey % 6 AS INT)), '", "confidence": 0.', p_partkey % 10, '}')"""
+EDGE = """concat('{"source": "x', p_partkey % 7, '", "target": "x', p_partkey * 3 % 8, '", "relation": "', CASE WHEN p_partkey % 2 = 0 THEN 'uses' ELSE 'likes' END, '"}')"""
+HEAD = """CASE WHEN batch % 5 = 3 OR paper_id % 9 = 4 THEN 'nothing {' ELSE concat('Here it is: ```json{"nodes": [', nodes, ', 7, {"id": "y"}], "edges": [', edges, ']}``` {}') END"""
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey div 60 as paper_id", "cast(p_partkey div 6 % 10 as int) as batch", "p_partkey", f"{NODE} as node", f"{EDGE} as edge")
+
+    def listed(column: str):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", column))), lambda x: x[column]), ", ")
+
+    return rows.groupBy("paper_id", "batch").agg(listed("node").alias("nodes"), listed("edge").alias("edges")).selectExpr("paper_id", "batch", f"{HEAD} as response")
+
+
+ANSWERS = f"""
+WITH RECURSIVE raw AS (SELECT p_partkey // 60 AS paper_id, p_partkey // 6 % 10 AS batch, string_agg({NODE}, ', ' ORDER BY p_partkey) AS nodes, string_agg({EDGE}, ', ' ORDER BY p_partkey) AS edges FROM part GROUP BY ALL),
+text AS (SELECT paper_id, batch, {HEAD} AS response FROM raw),
+obj AS (SELECT paper_id, batch, CASE WHEN contains(response, '```json') THEN CAST(regexp_extract(response, '```json(.*?)```', 1) AS JSON) END AS o FROM text),
+nd AS (SELECT paper_id, batch, unnest(CAST(o->'$.nodes' AS JSON[])) AS x, generate_subscripts(CAST(o->'$.nodes' AS JSON[]), 1) AS i FROM obj),
+ed AS (SELECT paper_id, batch, unnest(CAST(o->'$.edges' AS JSON[])) AS x, generate_subscripts(CAST(o->'$.edges' AS JSON[]), 1) AS i FROM obj),
+b AS (SELECT paper_id, batch, batch * 4294967296 + i - 1 AS ord, x->>'$.id' AS id, x->>'$.label' AS label, lower(trim(x->>'$.type')) AS t, x->>'$.description' AS description, CAST(x->>'$.confidence' AS DOUBLE) AS confidence FROM nd WHERE x->>'$.id' IS NOT NULL AND x->>'$.label' IS NOT NULL),
+n AS (SELECT paper_id, batch, ord, id, label, CASE WHEN t IN ({", ".join(f"'{t}'" for t in graph.NODE_TYPES)}) THEN t ELSE 'concept' END AS type, description, '' AS section_path, '' AS evidence, confidence, CAST([] AS VARCHAR[]) AS aliases FROM b)
+""" + FOLD
+
+
+@query("answers_merged", ANSWERS + "SELECT paper_id, ord, id, label, type, description, confidence, array_to_string(aliases, '|') AS aliases FROM m")
+def answers_merged(spark, sf_dir):
+    nodes, _, _ = answers.build(_answers(spark, sf_dir))
+    return nodes.select("paper_id", "ord", "id", "label", "type", "description", "confidence", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("answers_linked", ANSWERS + """, went AS (SELECT n.paper_id, n.batch, n.id, arg_max(c.id, n.ord) AS at_ FROM n JOIN f USING (paper_id, ord) JOIN n c ON c.paper_id = n.paper_id AND c.ord = f.into_ GROUP BY ALL),
+el AS (SELECT ed.paper_id, batch * 4294967296 + i - 1 AS ord, s.at_ AS source, t.at_ AS target, CASE WHEN x->>'$.relation' = 'uses' THEN 'uses' ELSE 'related_to' END AS relation
+  FROM ed JOIN went s USING (paper_id, batch) JOIN went t USING (paper_id, batch) WHERE s.id = ed.x->>'$.source' AND t.id = ed.x->>'$.target')
+SELECT paper_id, min(ord) AS ord, source, target, relation FROM el WHERE source != target GROUP BY ALL""")
+def answers_linked(spark, sf_dir):
+    return answers.build(_answers(spark, sf_dir))[1]
+
+
+@query("answers_failed", ANSWERS + "SELECT paper_id FROM obj GROUP BY 1 HAVING count(o) = 0")
+def answers_failed(spark, sf_dir):
+    return answers.build(_answers(spark, sf_dir))[2]
+
+
+@query("section_batches", """WITH l AS (SELECT doc_id AS paper_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents)
+SELECT paper_id, CAST(no // 6 AS INTEGER) AS batch, string_agg(line, chr(10) || chr(10) ORDER BY no) AS context FROM l GROUP BY ALL""")
+def section_batches(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    return answers.batches(lines)
+
+
+# Calls of three actions, with nested payloads whose keys come in two orders, and some that are no JSON.
+CALLS = (
+    "p_partkey", "CASE p_partkey % 3 WHEN 0 THEN 'write' WHEN 1 THEN 'verify' ELSE 'cite' END AS action", "CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'm' END AS model",
+    """CASE WHEN p_partkey % 11 = 0 THEN concat('no json {', p_size) WHEN p_partkey % 2 = 0 THEN concat('{"size": ', p_size, ', "in": {"a": [1, {"y": 2, "x": null}], "b": "', p_brand, '"}}') ELSE concat('{"in":{"b":"', p_brand, '","a":[1,{"x":null,"y":2}]},"size":', p_size, '}') END AS payload""",
+)
+
+
+@query("cached_calls", f"""WITH c AS (SELECT {", ".join(CALLS)}, p_size, p_brand FROM part),
+k AS (SELECT *, CASE WHEN p_partkey % 11 != 0 THEN concat_ws('/', action, coalesce(model, ''), p_size, p_brand) END AS key FROM c),
+w AS (SELECT *, coalesce(bool_or(p_partkey % 5 < 2) OVER (PARTITION BY key) AND p_size % 10 != 3 AND key IS NOT NULL, false) AS hit FROM k)
+SELECT p_partkey, CASE WHEN key IS NULL THEN 'nothing' WHEN p_size % 10 != 3 THEN action || ' ' || p_size || p_brand END AS result, hit FROM w""")
+def cached_calls(spark, sf_dir):
+    """Some calls, then all: those whose content was asked before are not computed again, but for failures."""
+    calls = table(spark, sf_dir, "part").selectExpr(*CALLS)
+    size = F.get_json_object("payload", "$.size").cast("int")
+
+    def compute(asked: DataFrame) -> DataFrame:
+        result = F.coalesce(F.concat("action", F.lit(" "), size.cast("string"), F.get_json_object("payload", "$.in.b")), F.lit("nothing"))
+        failed = F.coalesce(size % 10 == 3, F.lit(False))
+        return asked.select("key", F.when(~failed, result).alias("result"), F.when(failed, F.lit("failed")).alias("error"))
+
+    cache = caching.ResultCache(spark, shared_path(spark, "cache"))
+    cache.through(calls.where("p_partkey % 5 < 2"), compute)
+    return cache.through(calls, compute).select("p_partkey", "result", "hit")
+
+
 # Sources made of parts that vary on their own, so that both engines must decide for each mix.
 SOURCE = """CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'https://' WHEN 2 THEN ' http://www.' ELSE 'docs/' END || ['github.com', 'arxiv.org', 'example.org', 'notarxiv.org', 'export.arxiv.org', 'gitlab.com'][1 + p_size % 6] || CASE p_partkey % 5 WHEN 0 THEN '/a/b' WHEN 1 THEN '/a' WHEN 2 THEN '/abs/2101.0' || (1000 + p_size) || 'v2' WHEN 3 THEN '/x/*' ELSE '/c/d' END || ['', '.pdf', '.md', '.txt', '.git', ' '][1 + (p_partkey + p_size) % 6]"""
 SOURCE_SQL = f"""WITH r AS (SELECT p_partkey, CASE WHEN p_size = 7 THEN 'arXiv:2101.0' || (1000 + p_partkey % 9000) WHEN p_size = 8 THEN '2101.0' || (1000 + p_partkey % 9000) WHEN p_size = 9 THEN 'plain' ELSE {SOURCE} END AS source FROM part),

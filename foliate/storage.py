@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,8 @@ def settled(rows: DataFrame) -> DataFrame:
     """The rows as written to the shared folder, so that rounds do not grow the plan and a lost executor costs no round."""
     checkpoint_dir(rows.sparkSession)
     return rows.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
