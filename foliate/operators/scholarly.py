@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from foliate.storage import settled
+
 # Words that citation keys leave out; scores of a match and of an exact one; the bonus of a matching year.
 STOPWORDS = ["a", "an", "the", "of", "on", "in", "and", "for", "to", "with"]
 THRESHOLD, EXACT, YEAR_BONUS = 70, 92, 10
+#: Bins of characters for the bound of a ratio; letters have one each.
+BINS = 32
 
 
 @F.pandas_udf(IntegerType())
@@ -37,6 +41,45 @@ def score(references: DataFrame, records: DataFrame, on: str = "search_key") ->
     return both.withColumn("ratio", fuzzy_ratio(F.lower("query_title"), F.lower("title")))
 
 
+def _letters(text: Column) -> Column:
+    """How many characters of a text fall into each of BINS bins."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.pmod(F.ascii(c), F.lit(BINS)))
+    return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.size(F.filter(codes, lambda c: c == b)))
+
+
+def bounded(references: DataFrame, records: DataFrame, on: str = "search_key") -> DataFrame:
+    """As ``score``, with ``bound`` in place of the ratio: at least as much, from the letters that titles share, and computed without Python."""
+    left = references.withColumns({"_a": F.lower("query_title"), "_la": _letters(F.lower("query_title"))})
+    right = records.where("title != ''").withColumns({"_b": F.lower("title"), "_lb": _letters(F.lower("title"))})
+    both = left.join(right, on)
+    shared = F.aggregate(F.zip_with("_la", "_lb", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    length = F.length("_a") + F.length("_b")
+    return both.withColumn("bound", F.when(length == 0, 100).otherwise(F.bround(200 * shared / length)).cast("int")).drop("_a", "_b", "_la", "_lb")
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("ratio", fuzzy_ratio(F.lower("query_title"), F.lower("title"))).drop("bound")
+
+
+def score_matches(references: DataFrame, records: DataFrame, on: str = "search_key") -> DataFrame:
+    """Of ``score`` the pairs that ``best_match`` may choose: titles are compared only where the bound, with the bonus of the year, is above the threshold."""
+    bonus = F.when(F.col("year") == F.col("year_hint"), YEAR_BONUS).otherwise(0)
+    return _compared(bounded(references, records, on).where(F.col("bound") + bonus > THRESHOLD))
+
+
+def score_best(references: DataFrame, records: DataFrame, on: str = "search_key", most: int = 4) -> DataFrame:
+    """Of ``score`` the pairs that ``grade`` reads: the ``most`` best records of a reference, and those that may be exact.
+
+    The records with the highest bounds are compared first; the least of their
+    ratios is what a record must reach by its bound to be compared as well.
+    """
+    pairs = settled(bounded(references, records, on))
+    place = F.row_number().over(Window.partitionBy("ref_id").orderBy(F.col("bound").desc(), "rec_ord"))
+    first = _compared(pairs.withColumn("_i", place).where(F.col("_i") <= most))
+    least = first.groupBy("ref_id").agg(F.when(F.count(F.lit(1)) == most, F.min("ratio")).otherwise(0).alias("_least"))
+    return _compared(pairs.join(least, "ref_id").where((F.col("bound") >= F.col("_least")) | (F.col("bound") >= EXACT)).drop("_least"))
+
+
 def ranked(scored: DataFrame, points: Column) -> DataFrame:
     """Records of a reference from the best: points, then the earlier year, records without one last, then the order found."""
     order = Window.partitionBy("ref_id").orderBy(points.desc(), F.coalesce("year", F.lit(9999)), "rec_ord")

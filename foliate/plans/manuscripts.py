@@ -333,15 +333,30 @@ def _matches(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("search_key", F.concat_ws("/", "p_brand", "p_size"))
     references = part.where("p_partkey % 4 = 0").selectExpr("p_partkey as ref_id", "search_key", "left(p_name, length(p_name) - cast(p_partkey % 16 as int)) as query_title", "case when p_partkey % 8 = 0 then 2000 + p_size % 30 end as year_hint")
     found = part.selectExpr("search_key", "p_partkey as rec_ord", "p_name as title", "case when p_partkey % 5 = 0 then 1990 else 2000 + p_size % 30 end as year", "case when p_partkey % 11 = 0 then '' else 'text' end as abstract", "cast(null as string) as publication_date")
-    return references, scholarly.score(references, found)
+    return references, found
 
 
 @query("fuzzy_best_match")
 def fuzzy_best_match(spark, sf_dir):
-    return scholarly.best_match(_matches(spark, sf_dir)[1]).select("ref_id", "query_title", "title", "year", "points")
+    return scholarly.best_match(scholarly.score_matches(*_matches(spark, sf_dir))).select("ref_id", "query_title", "title", "year", "points")
 
 
 @query("grade_reference")
 def grade_reference(spark, sf_dir):
-    references, scored = _matches(spark, sf_dir)
-    return scholarly.grade(references, scored)
+    references, found = _matches(spark, sf_dir)
+    return scholarly.grade(references, scholarly.score_best(references, found))
+
+
+LETTERS = "list_transform(range(0, 32), lambda b: len(list_filter(string_split(lower({x}), ''), lambda c: c != '' AND ascii(c) % 32 = b)))"
+
+
+@query("fuzzy_bounds", f"""WITH p AS (SELECT *, p_brand || '/' || p_size AS k FROM part), a AS (SELECT k, p_partkey AS ref_id, left(p_name, CAST(greatest(0, length(p_name) - p_partkey % 16) AS BIGINT)) AS t, CASE WHEN p_partkey % 8 = 0 THEN 2000 + p_size % 30 END AS hint FROM p WHERE p_partkey % 4 = 0),
+b AS (SELECT k, p_partkey AS rec_ord, p_name AS t, CASE WHEN p_partkey % 5 = 0 THEN 1990 ELSE 2000 + p_size % 30 END AS year FROM p WHERE p_name != ''),
+al AS (SELECT *, {LETTERS.format(x="t")} AS l FROM a), bl AS (SELECT *, {LETTERS.format(x="t")} AS l FROM b),
+j AS (SELECT ref_id, round_even(200.0 * list_sum(list_transform(range(1, 33), lambda i: least(al.l[i], bl.l[i]))) / (length(al.t) + length(bl.t)), 0) AS bound, coalesce(year = hint, false) AS same FROM al JOIN bl USING (k))
+SELECT ref_id, count(*) AS found, count(*) FILTER (WHERE bound + CASE WHEN same THEN 10 ELSE 0 END > 70) AS compared, CAST(max(bound) AS INTEGER) AS best_bound FROM j GROUP BY 1""")
+def fuzzy_bounds(spark, sf_dir):
+    """Of the records found for a reference, those whose titles must be compared."""
+    pairs = scholarly.bounded(*_matches(spark, sf_dir))
+    bonus = F.when(F.col("year") == F.col("year_hint"), scholarly.YEAR_BONUS).otherwise(0)
+    return pairs.groupBy("ref_id").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("bound") + bonus > scholarly.THRESHOLD).alias("compared"), F.max("bound").alias("best_bound"))
