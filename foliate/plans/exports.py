@@ -232,12 +232,16 @@ def scholar_records(spark, sf_dir):
     return rows.select("p_partkey", "record_id", "title", F.array_join("authors", "|").alias("authors"), "journal", "year", F.try_element_at("external_ids", F.lit("DOI")).alias("doi"))
 
 
-@query("atom_records", """SELECT p_partkey // 10 AS feed, 'arxiv:' || p_partkey || 'v1' AS record_id, p_name || ' & more' AS title, 'A ' || p_brand || CASE WHEN p_size % 2 = 0 THEN '|B' ELSE '' END AS authors, CASE WHEN p_size % 3 > 0 THEN 1970 + p_size END AS year,
+@query("atom_records", """SELECT p_partkey // 10 AS feed, 'arxiv:' || p_partkey || 'v1' AS record_id, p_name || ' & more’s — <x> &' AS title, 'A ' || p_brand || CASE WHEN p_size % 2 = 0 THEN '|B' ELSE '' END AS authors, CASE WHEN p_size % 3 > 0 THEN 1970 + p_size END AS year,
   CASE WHEN p_size % 3 = 1 THEN (1970 + p_size) || '-01-02' END AS publication_date, CASE WHEN p_size % 4 > 0 THEN 'on ' || p_type END AS abstract FROM part""")
 def atom_records(spark, sf_dir):
-    entry = """concat('<entry><id>http://a/abs/', p_partkey, 'v1/</id><title>', p_name, '\\n  &amp;  more</title><published>', case p_size % 3 when 0 then '' when 1 then concat(1970 + p_size, '-01-02T00:00:00Z') else cast(1970 + p_size as string) end,
+    entry = """concat('<entry><id>http://a/abs/', p_partkey, 'v1/</id><title>', p_name, '\\n  &amp;  more&#8217;s &#x2014; <![CDATA[<x> &]]></title><title2>no</title2><published>', case p_size % 3 when 0 then '' when 1 then concat(1970 + p_size, '-01-02T00:00:00Z') else cast(1970 + p_size as string) end,
       '</published><author><name> A ', p_brand, '</name></author>', if(p_size % 2 = 0, '<author><name>B</name></author>', '<author><name> </name></author>'), '<summary type=\\"text\\">', if(p_size % 4 > 0, concat(' on\\n', p_type), ''), '</summary></entry>')"""
     feeds = table(spark, sf_dir, "part").selectExpr("p_partkey div 10 as feed", f"{entry} as e").groupBy("feed").agg(F.array_join(F.collect_list("e"), "\n").alias("raw"))
+    # entries alone, in a feed, and in a feed whose names have a prefix
+    opened, prefixed = F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), F.regexp_replace("raw", "<(/?)(?=[a-z])", "<$1a:")
+    kinds = [F.col("raw"), F.concat(F.lit('<?xml version="1.0"?>'), opened, "raw", F.lit("</feed>")), F.concat(F.lit('<a:feed xmlns:a="http://www.w3.org/2005/Atom"><title>none</title>'), prefixed, F.lit("</a:feed>"))]
+    feeds = feeds.withColumn("raw", F.when(F.col("feed") % 3 == 0, kinds[0]).when(F.col("feed") % 3 == 1, kinds[1]).otherwise(kinds[2]))
     return readers.atom_records(feeds).select("feed", "record_id", "title", F.array_join("authors", "|").alias("authors"), "year", "publication_date", "abstract")
 
 

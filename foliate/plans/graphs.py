@@ -305,7 +305,7 @@ def openalex_records(spark, sf_dir):
 @query("crossref_records", """SELECT p_partkey, 'crossref:' || CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'http://x/' || p_partkey ELSE '10.1/' || p_partkey END AS record_id, p_name AS title,
   CASE WHEN p_partkey % 2 = 0 THEN 'Ann ' || p_brand ELSE p_brand END AS author, CASE WHEN p_partkey % 7 > 0 THEN 2000 + p_size END AS year,
   CASE WHEN p_partkey % 7 > 0 THEN (2000 + p_size) || CASE WHEN p_partkey % 2 = 0 THEN '-05-09' ELSE '-01-01' END END AS publication_date,
-  'Journal ' || p_size AS venue, CASE WHEN p_partkey % 2 = 0 THEN 'Journal ' || p_size END AS journal, CAST(CASE WHEN p_partkey % 5 > 0 THEN p_size END AS BIGINT) AS citation_count, 'a < b & "c" ' || p_size AS abstract FROM part""")
+  'Journal ' || p_size AS venue, CASE WHEN p_partkey % 2 = 0 THEN 'Journal ' || p_size END AS journal, CAST(CASE WHEN p_partkey % 5 > 0 THEN p_size END AS BIGINT) AS citation_count, 'a < b & "c" café’s — &lt; ' || p_size AS abstract FROM part""")
 def crossref_records(spark, sf_dir):
     date = "named_struct('date-parts', array(if(p_partkey % 2 = 0, array(2000 + p_size, 5, 9), array(2000 + p_size))))"
     raw = table(spark, sf_dir, "part").selectExpr(
@@ -314,7 +314,7 @@ def crossref_records(spark, sf_dir):
         'container-title', array(concat('Journal ', p_size)), 'type', if(p_partkey % 2 = 0, 'Journal-Article', 'posted'), 'is-referenced-by-count', if(p_partkey % 5 > 0, p_size, null),
         'author', array(named_struct('given', if(p_partkey % 2 = 0, ' Ann ', null), 'family', p_brand)),
         'published-print', named_struct('date-parts', array(array(cast(null as int)))), 'issued', if(p_partkey % 7 > 0, {date}, null),
-        'abstract', concat('<jats:p>a &lt; b &amp;  &quot;c&quot;</jats:p> ', p_size)), map('ignoreNullFields', 'false')) as raw""",
+        'abstract', concat('<jats:p>a &lt; b &amp;  &quot;c&quot;</jats:p> caf&eacute;&#8217;s&nbsp; &#x2014; &amp;lt; ', p_size)), map('ignoreNullFields', 'false')) as raw""",
     )
     rows = readers.crossref_records(raw)
     return rows.select("p_partkey", "record_id", "title", F.get("authors", F.lit(0)).alias("author"), "year", "publication_date", "venue", "journal", "citation_count", "abstract")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from foliate.functions.text import squash, strip
+from foliate.functions.text import strip
 from foliate.operators.blocks import build_sections, to_lines
 
 # Hosts of repositories, suffixes of documents, the mark of a text that was cut.
@@ -139,15 +144,19 @@ def gather(contributions: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]
     return kept.withColumn("section_path", F.when(F.col("kind") == "section", F.rtrim(path)).otherwise(F.col("section_path"))), sizes
 
 
-# The named entities of texts that the services send, the ampersand last so that nothing is unescaped twice.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
 
 
 def unescape(text: Column) -> Column:
-    """The common named entities as the signs they stand for."""
-    for name, sign in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
+    """Entities, by name or number, as the signs they stand for; the names are those of the standard."""
+    return F.when(F.contains(text, F.lit("&")), _unescaped(text)).otherwise(text)
+
+
+def _one_line(text: Column) -> Column:
+    """White space of all kinds as single blanks, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def _none(text: Column) -> Column:
@@ -198,26 +207,34 @@ def crossref_records(raw: DataFrame, column: str = "raw") -> DataFrame:
     ident = F.coalesce(_none(w["DOI"]), _none(w["URL"]), title)
     return raw.select(
         *raw.columns, F.concat(F.lit("crossref:"), ident).alias("record_id"), title.alias("title"), F.coalesce(names, F.array().cast("array<string>")).alias("authors"), container.alias("venue"),
-        year.alias("year"), day.alias("publication_date"), _none(squash(unescape(F.regexp_replace(w["abstract"], "<[^>]+>", " ")))).alias("abstract"),
+        year.alias("year"), day.alias("publication_date"), _none(_one_line(unescape(F.regexp_replace(w["abstract"], "<[^>]+>", " ")))).alias("abstract"),
         w["is-referenced-by-count"].alias("citation_count"), F.when(F.lower(w["type"]) == "journal-article", container).alias("journal"),
     )
 
 
-def atom_records(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """Records of the entries of Atom feeds of preprints, one row an entry: id, year and day of publication, authors, abstract."""
-    entries = F.regexp_extract_all(column, F.lit(r"(?s)<entry\b[^>]*>(.*?)</entry>"), F.lit(1))
-    rows = raw.withColumn("_e", F.explode(entries))
+ATOM = "http://www.w3.org/2005/Atom"
 
-    def text(of: Column, tag: str) -> Column:
-        return squash(unescape(F.regexp_extract(of, rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>", 1)))
 
-    e = F.col("_e")
-    day = F.trim(F.regexp_extract(e, r"(?s)<published\b[^>]*>(.*?)</published>", 1))
-    names = F.transform(F.regexp_extract_all(e, F.lit(r"(?s)<author\b[^>]*>(.*?)</author>"), F.lit(1)), lambda a: text(a, "name"))
-    ident = F.element_at(F.split(F.regexp_replace(text(e, "id"), "/+$", ""), "/"), -1)
+def atom_records(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """Records of the entries of Atom feeds of preprints, one row an entry: id, year and day of publication, authors, abstract.
+
+    The feeds are parsed as XML, so entities, sections of raw text and a prefix
+    of the feed's names come out right; entries may also come without a feed
+    around them. A text that is no XML has no entries.
+    """
+    prefix = F.regexp_extract(column, rf"""xmlns:([A-Za-z_][\w.-]*)\s*=\s*["']{re.escape(ATOM)}["']""", 1)
+    bare = F.when(prefix != "", F.regexp_replace(F.col(column), F.concat(F.lit("(</?)"), prefix, F.lit(":")), F.lit("$1"))).otherwise(F.col(column))
+    feed = F.when(bare.rlike(r"<feed\b"), bare).otherwise(F.concat(F.lit("<feed>"), bare, F.lit("</feed>")))
+    text = "struct<_VALUE: string, _type: string>"
+    schema = f"entry array<struct<id: {text}, title: {text}, published: {text}, summary: {text}, author: array<struct<name: {text}>>>>"
+    rows = raw.withColumn("_e", F.explode(F.from_xml(feed, schema)["entry"]))
+    line = lambda x: _one_line(F.coalesce(x["_VALUE"], F.lit("")))
+    e, day = F.col("_e"), F.trim(F.col("_e.published._VALUE"))
+    ident = F.element_at(F.split(F.regexp_replace(line(e["id"]), "/+$", ""), "/"), -1)
+    names = F.coalesce(_named(F.transform(e["author"], lambda a: line(a["name"]))), F.array().cast("array<string>"))
     return rows.select(
-        *raw.columns, F.concat(F.lit("arxiv:"), ident).alias("record_id"), text(e, "title").alias("title"), _named(names).alias("authors"), F.lit("arXiv").alias("venue"),
-        F.when(day.rlike(r"^[0-9]{4}"), F.substring(day, 1, 4).try_cast("int")).alias("year"), F.when(F.length(day) >= 10, F.substring(day, 1, 10)).alias("publication_date"), _none(text(e, "summary")).alias("abstract"),
+        *raw.columns, F.concat(F.lit("arxiv:"), ident).alias("record_id"), line(e["title"]).alias("title"), names.alias("authors"), F.lit("arXiv").alias("venue"),
+        F.when(day.rlike(r"^[0-9]{4}"), F.substring(day, 1, 4).try_cast("int")).alias("year"), F.when(F.length(day) >= 10, F.substring(day, 1, 10)).alias("publication_date"), _none(line(e["summary"])).alias("abstract"),
     )
 
 
