@@ -29,30 +29,37 @@ def _split_abstract(text: Column, name: str) -> Column:
     return F.regexp_replace(text, rf"(?dimsu)\A(.*?)^(?:#+\s*)?{name}\s*[-–—]\s*", f"$1## {name}\n\n")
 
 
+def _header(number: Column, title: Column) -> Column:
+    depth = F.regexp_count(number, F.lit(r"\.")) + 1
+    return F.concat(F.repeat(F.lit("#"), F.least(depth + 1, F.lit(6))), F.lit(" "), number, F.when(depth == 1, ".").otherwise(""), F.lit(" "), title)
+
+
 def _numbered(lines: Column, i: Column) -> Column:
     line = F.get(lines, i)
-    bare = strip(line)
 
-    def header(number: Column, title: Column) -> Column:
-        depth = F.regexp_count(number, F.lit(r"\.")) + 1
-        return F.concat(F.repeat(F.lit("#"), F.least(depth + 1, F.lit(6))), F.lit(" "), number, F.when(depth == 1, ".").otherwise(""), F.lit(" "), title)
+    def inline(bare: Column) -> Column:
+        first, name, body = F.regexp_extract(bare, INLINE, 1), strip(F.regexp_extract(bare, INLINE, 2)), strip(F.regexp_extract(bare, INLINE, 3))
+        good = bare.rlike(INLINE) & (F.length(name) <= LONGEST_INLINE) & is_title(name)
+        return F.when(good, F.concat(_header(first, name), F.lit("\n\n"), body)).otherwise(line)
+
+    def change(bare: Column) -> Column:
+        number, title = F.regexp_extract(bare, ALONE, 1), strip(F.regexp_extract(bare, ALONE, 2))
+        beside = F.coalesce(F.get(lines, i - 1).rlike(ITEM), F.lit(False)) | F.coalesce(F.get(lines, i + 1).rlike(ITEM), F.lit(False))
+        good = bare.rlike(ALONE) & let(title, is_title) & (F.contains(number, F.lit(".")) | ~beside)
+        gap = F.when(F.coalesce(~is_blank(F.get(lines, i + 1)), F.lit(False)), "\n").otherwise("")
+        return F.when(good, F.concat(_header(number, title), gap)).otherwise(inline(bare))
 
-    number, title = F.regexp_extract(bare, ALONE, 1), strip(F.regexp_extract(bare, ALONE, 2))
-    beside = F.coalesce(F.get(lines, i - 1).rlike(ITEM), F.lit(False)) | F.coalesce(F.get(lines, i + 1).rlike(ITEM), F.lit(False))
-    alone = (number != "") & ~(~F.contains(number, F.lit(".")) & beside) & is_title(title)
-    gap = F.when(F.coalesce(~is_blank(F.get(lines, i + 1)), F.lit(False)), "\n").otherwise("")
-    first, name, body = F.regexp_extract(bare, INLINE, 1), strip(F.regexp_extract(bare, INLINE, 2)), strip(F.regexp_extract(bare, INLINE, 3))
-    inline = (first != "") & (F.length(name) <= LONGEST_INLINE) & is_title(name)
-    change = F.when(alone, F.concat(header(number, title), gap)).when(inline, F.concat(header(first, name), F.lit("\n\n"), body)).otherwise(line)
-    return F.when(bare.rlike("^[0-9]"), change).otherwise(line)
+    return F.when(line.rlike(r"^\s*[0-9]"), let(strip(line), change)).otherwise(line)
 
 
 def _roman(lines: Column, i: Column) -> Column:
     line, pattern = F.get(lines, i), rf"^({ROMAN})\.\s+([A-Z][^.]+?)\.?\s*$"
-    bare = strip(line)
-    numeral, title = F.regexp_extract(bare, pattern, 1), strip(F.regexp_extract(bare, pattern, 2))
-    header = F.concat(F.lit("## "), numeral, F.lit(". "), title)
-    return F.when(bare.rlike(r"^[IVX]+\."), F.when((numeral != "") & is_title(title), header).otherwise(line)).otherwise(line)
+
+    def change(bare: Column) -> Column:
+        title = strip(F.regexp_extract(bare, pattern, 2))
+        return F.when(bare.rlike(pattern) & let(title, is_title), F.concat(F.lit("## "), F.regexp_extract(bare, pattern, 1), F.lit(". "), title)).otherwise(line)
+
+    return F.when(line.rlike(r"^\s*[IVX]+\."), let(strip(line), change)).otherwise(line)
 
 
 def rebuild_headings(text: Column) -> Column:

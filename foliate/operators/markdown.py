@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.functions.lines import MARKS, is_blank, mark, rewrite, unmark
+from foliate.functions.lines import MARKS, is_blank, let, mark, rewrite, unmark
 
 # Headers of the references, tried in this order; typographic signs and their replacements; names of Greek glyphs.
 REFERENCE_HEADERS = (r"(?m)^## References\s*$", r"(?m)^## REFERENCES\s*$", r"(?m)^# References\s*$", r"(?m)^References\s*$")
@@ -35,19 +37,14 @@ def split_references(text: Column) -> tuple[Column, Column]:
 def expand_ranges(text: Column) -> Column:
     """[3]-[5] becomes [3], [4], [5]; the ends may stand in either order."""
     dash = r"\[(\d+)\]\s*[-–—]\s*\[(\d+)\]"
-    pieces = F.split(text, dash)
-    low = F.regexp_extract_all(text, F.lit(dash), F.lit(1))
-    high = F.regexp_extract_all(text, F.lit(dash), F.lit(2))
-    whole = F.regexp_extract_all(text, F.lit(dash), F.lit(0))
 
-    def number(i: Column) -> Column:
-        a, b = F.get(low, i).try_cast("bigint"), F.get(high, i).try_cast("bigint")
+    def items(span: Column) -> Column:
+        a, b = (F.regexp_extract(span, dash, k).try_cast("bigint") for k in (1, 2))
         start, end = F.least(a, b), F.greatest(a, b)
-        items = F.transform(F.sequence(start, end), lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]")))
-        return F.when((end - start) <= WIDEST_RANGE, F.array_join(items, ", ")).otherwise(F.get(whole, i))
+        numbers = F.transform(F.sequence(start, end), lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]")))
+        return F.when((end - start) <= WIDEST_RANGE, F.array_join(numbers, ", ")).otherwise(span)
 
-    joined = F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.when(i < F.size(whole), number(i)), F.lit(""))))
-    return F.when(text.rlike(dash), F.array_join(joined, "")).otherwise(text)
+    return rewrite(text, dash, inside=items)
 
 
 def link_numbers(text: Column) -> Column:
@@ -61,9 +58,18 @@ def anchor_references(text: Column) -> Column:
     return F.regexp_replace(bare, r"(?m)^(\s*)\[(\d{1,3})\]", '$1<a id="ref-$2"></a>[$2]')
 
 
+def _by_parts(text: Column, body: Callable[[Column], Column], references: Callable[[Column], Column]) -> Column:
+    """The text before its references and the references changed, each in its way."""
+
+    def changed(at: Column) -> Column:
+        before, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at, F.length(text))
+        return F.when(at.isNull(), body(text)).otherwise(F.concat(body(before), references(after)))
+
+    return let(references_at(text), changed)
+
+
 def process_citations(text: Column) -> Column:
-    body, references = split_references(text)
-    return F.concat(link_numbers(expand_ranges(body)), F.when(references != "", anchor_references(references)).otherwise(""))
+    return _by_parts(text, lambda body: link_numbers(expand_ranges(body)), anchor_references)
 
 
 def space_bibliography(text: Column) -> Column:
@@ -72,7 +78,6 @@ def space_bibliography(text: Column) -> Column:
     A blank line, of white space too, ends an entry; lines after it are free
     text until the next entry begins.
     """
-    body, references = split_references(text)
     entry, gap, other = MARKS[:3]
 
     def spaced(run: Column) -> Column:
@@ -80,9 +85,11 @@ def space_bibliography(text: Column) -> Column:
         apart = F.replace(run, F.lit(f"\n{entry}"), F.lit(f"\n\n{entry}"))
         return F.when(F.startswith(run, F.lit(entry)), apart).otherwise(F.regexp_replace(apart, rf"(?s)\A(.*?)\n(\n{entry})", "$1$2"))
 
-    marked = mark(references, lambda line: F.when(line.rlike(ENTRY), entry).when(is_blank(line), gap).otherwise(other))
-    runs = rewrite(marked, rf"(?dm)^[{entry}{other}][^\n]*(?:\n[{entry}{other}][^\n]*)*+", inside=spaced)
-    return F.concat(body, F.when(references != "", unmark(runs)).otherwise(""))
+    def entries(references: Column) -> Column:
+        marked = mark(references, lambda line: F.when(line.rlike(ENTRY), entry).when(is_blank(line), gap).otherwise(other))
+        return unmark(rewrite(marked, rf"(?dm)^[{entry}{other}][^\n]*(?:\n[{entry}{other}][^\n]*)*+", inside=spaced))
+
+    return _by_parts(text, lambda body: body, entries)
 
 
 def reference_count(text: Column) -> Column:
@@ -112,9 +119,7 @@ def clean_signs(text: Column) -> Column:
     out = F.when(out.rlike(f"[{''.join(SIGNS)}]"), plain).otherwise(out)
     glyph = r"(?i)glyph\[([A-Za-z0-9]+)\]"
     names = F.create_map(*(F.lit(x) for kv in GLYPHS.items() for x in kv))
-    found = F.regexp_extract_all(out, F.lit(glyph), F.lit(1))
-    known = F.transform(F.split(out, glyph), lambda piece, i: F.concat(piece, F.coalesce(F.element_at(names, F.get(found, i)), F.lit(""))))
-    out = F.when(out.rlike(glyph), F.array_join(known, "")).otherwise(out)
+    out = rewrite(out, glyph, inside=lambda g: F.coalesce(F.element_at(names, F.regexp_extract(g, glyph, 1)), F.lit("")))
     return F.regexp_replace(out, r"GLYPH<\d+>|GLYPH&lt;\d+&gt;", "")
 
 

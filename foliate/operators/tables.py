@@ -13,6 +13,7 @@ ROW, BLANK, OTHER = MARKS[:3]
 BLOCK = rf"(?dm)^{ROW}[^\n]*(?:\n(?:[{BLANK}{OTHER}][^\n]*\n)?{ROW}[^\n]*)*+"
 LIST_ITEM = r"^\s*(?:[-*+>]\s|\d+[.)]\s)"
 SEPARATOR = "^:?-+:?$"
+BLANKS = " \t\r\x0b\f"
 
 
 def masked(line: Column) -> Column:
@@ -27,8 +28,8 @@ def is_row(line: Column) -> Column:
 
 def cells(row: Column) -> Column:
     """The trimmed cells of a row, whether pipes enclose it or not."""
-    inner = F.regexp_replace(F.regexp_replace(strip(row), r"^\|", ""), r"\|$", "")
-    return F.transform(F.split(inner, r"\|"), strip)
+    inner = F.regexp_replace(F.trim(row, F.lit(BLANKS)), r"^\||\|$", "")
+    return F.transform(F.split(inner, r"\|"), lambda c: F.trim(c, F.lit(BLANKS)))
 
 
 def is_separator(row: Column) -> Column:
