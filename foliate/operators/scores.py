@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliate.functions.text import cite_keys
+from foliate.operators import bibtex
+
 # Credit of a verdict; what is not here was not judged. Bounds of the review axes.
 CREDIT = {"supported": 1.0, "partial": 0.5, "unsupported": 0.0, "contradicted": 0.0}
 VERDICTS = ("supported", "partial", "unsupported", "contradicted", "unknown", "no_source")
@@ -64,6 +67,23 @@ def robustness(reviews: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "reviewer_count", F.round("_a", 3).alias("agreement"), F.round("_s", 3).alias("overall_std"), label.alias("label"))
 
 
+def ground_cases(cases: DataFrame, claims: DataFrame) -> DataFrame:
+    """(name, cite_only, claim_only, unified) of cases (name, markdown, bibtex, claim_integrity) and their judged claims (name, supported).
+
+    Citations count where some are cited: the share of cited keys that the
+    bibliography has. Claims count by the share that is supported; a case
+    without claims has its own figure, or none. Unified is the mean of what there is.
+    """
+    cited = cases.select("name", F.explode(cite_keys(F.col("markdown"))).alias("key"))
+    known = bibtex.parse(cases, ["name"]).select("name", "key").distinct().withColumn("_known", F.lit(True))
+    shares = cited.join(known, ["name", "key"], "left").groupBy("name").agg((F.count("_known") / F.count(F.lit(1))).alias("cite_only"))
+    judged = claims.groupBy("name").agg(F.avg(F.col("supported").cast("int")).alias("_judged"))
+    both = cases.select("name", "claim_integrity").join(shares, "name", "left").join(judged, "name", "left")
+    both = both.select("name", "cite_only", F.coalesce("_judged", "claim_integrity").alias("claim_only"))
+    parts = F.array_compact(F.array("cite_only", "claim_only"))
+    return both.withColumn("unified", F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts)))
+
+
 def benchmark(rows: DataFrame) -> DataFrame:
     """Means of the three scores, how far each slice is from the unified one on average, and cases of false confidence."""
     far = lambda c: F.round(F.avg(F.abs(F.col(c) - F.col("unified"))), 3)

@@ -232,14 +232,40 @@ def review_robustness(spark, sf_dir):
     return scores.robustness(reviews(spark, sf_dir), ["paper_id"])
 
 
-CASES = [("fabricated_citations", 0.3333, 0.9, 0.6167), ("fabricated_claims", 1.0, 0.4, 0.7), ("clean", 1.0, 1.0, 1.0), ("weak_both", 0.5, 0.5, 0.5)]
+# Cases of the documents: words cite a dozen keys in two forms, the bibliography lacks a third of them, claims are judged by the words' places, some cases have no claims and some no citations.
+def _cases(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, sf_dir, "documents").selectExpr("doc_id", "split(coalesce(text, ''), ' ') as w")
+    cite = "case when i % 9 = 0 then concat('\\\\cite{k', (doc_id + i) % 13, '}') when i % 14 = 3 then concat('\\\\citep[see]{k', i % 13, ', k', (doc_id * i) % 12, '}') else w end"
+    cases = documents.selectExpr(
+        "doc_id as name", f"case when doc_id % 7 = 0 then 'None cited.' else array_join(transform(w, (w, i) -> {cite}), ' ') end as markdown",
+        "array_join(transform(filter(sequence(0, 12), j -> (doc_id + j) % 3 != 0), j -> concat('@article{k', j, ', title={A {B} ', j, '}, year={2020}}')), '\\n') as bibtex", "case when doc_id % 12 = 6 then cast(doc_id % 10 / 10.0 as double) end as claim_integrity",
+    )
+    claims = documents.where("doc_id % 6 != 0").selectExpr("doc_id as name", "posexplode(w) as (i, w)").where("i % 5 = 0").selectExpr("name", "(name * i) % 4 != 0 as supported")
+    return cases, claims
+
+
+GROUNDING = r"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents),
+t AS (SELECT doc_id AS name, CASE WHEN doc_id % 7 = 0 THEN 'None cited.' ELSE array_to_string(list_transform(w, lambda x, n: CASE WHEN (n - 1) % 9 = 0 THEN '\\cite{k' || (doc_id + n - 1) % 13 || '}' WHEN (n - 1) % 14 = 3 THEN '\\citep[see]{k' || (n - 1) % 13 || ', k' || (doc_id * (n - 1)) % 12 || '}' ELSE x END), ' ') END AS markdown,
+  array_to_string(list_transform(list_filter(range(0, 13), lambda j: (doc_id + j) % 3 != 0), lambda j: '@article{k' || j || ', title={A {B} ' || j || '}, year={2020}}'), chr(10)) AS bibtex, w FROM d),
+k AS (SELECT DISTINCT name, unnest(list_transform(flatten(list_transform(regexp_extract_all(markdown, '\\cite[a-zA-Z]*\s*(?:\[[^\]]*\])*\s*\{([^}]*)\}', 1), lambda x: string_split(x, ','))), lambda x: trim(x))) AS key FROM t),
+b AS (SELECT DISTINCT name, unnest(regexp_extract_all(bibtex, '@\w+\s*\{\s*([^,\s}]*)', 1)) AS key FROM t),
+c AS (SELECT k.name, count(b.key) / count(*) AS cite_only FROM k LEFT JOIN b ON b.name = k.name AND b.key = k.key WHERE k.key != '' GROUP BY 1),
+j AS (SELECT name, avg(CASE WHEN (name * i) % 4 != 0 THEN 1 ELSE 0 END) AS judged FROM (SELECT name, unnest(range(0, len(w))) AS i FROM t WHERE name % 6 != 0) WHERE i % 5 = 0 GROUP BY 1),
+g AS (SELECT t.name, cite_only, coalesce(judged, CASE WHEN t.name % 12 = 6 THEN CAST(t.name % 10 / 10.0 AS DOUBLE) END) AS claim_only FROM t LEFT JOIN c ON c.name = t.name LEFT JOIN j ON j.name = t.name),
+r AS (SELECT *, CASE WHEN cite_only IS NOT NULL AND claim_only IS NOT NULL THEN (cite_only + claim_only) / 2 ELSE coalesce(cite_only, claim_only) END AS unified FROM g)
+"""
+
+
+@query("grounding_cases", GROUNDING + "SELECT name, round(cite_only, 9) AS cite_only, round(claim_only, 9) AS claim_only, round(unified, 9) AS unified FROM r")
+def grounding_cases(spark, sf_dir):
+    return scores.ground_cases(*_cases(spark, sf_dir)).select("name", *(F.round(c, 9).alias(c) for c in ("cite_only", "claim_only", "unified")))
 
 
-@query("benchmark_grounding", f"""WITH r(name, cite_only, claim_only, unified) AS (SELECT col0, CAST(col1 AS DOUBLE), CAST(col2 AS DOUBLE), CAST(col3 AS DOUBLE) FROM (VALUES {", ".join(map(str, CASES))}))
-SELECT avg(cite_only) AS mean_cite_only, avg(claim_only) AS mean_claim_only, avg(unified) AS mean_unified, round(avg(abs(cite_only - unified)), 3) AS mae_cite_only, round(avg(abs(claim_only - unified)), 3) AS mae_claim_only,
+@query("benchmark_grounding", GROUNDING + """SELECT round(avg(cite_only), 9) AS mean_cite_only, round(avg(claim_only), 9) AS mean_claim_only, round(avg(unified), 9) AS mean_unified, round(avg(abs(cite_only - unified)), 3) AS mae_cite_only, round(avg(abs(claim_only - unified)), 3) AS mae_claim_only,
   count(*) FILTER (WHERE unified < 0.75 AND greatest(cite_only, claim_only) >= 0.9) AS false_confidence FROM r""")
 def benchmark_grounding(spark, sf_dir):
-    return scores.benchmark(spark.createDataFrame(CASES, "name string, cite_only double, claim_only double, unified double"))
+    means = {f"mean_{c}": F.round(f"mean_{c}", 9) for c in ("cite_only", "claim_only", "unified")}
+    return scores.benchmark(scores.ground_cases(*_cases(spark, sf_dir))).withColumns(means)
 
 
 @query("verification_status", "SELECT l_orderkey AS paper_id, CASE WHEN bool_and(l_linestatus = 'F' AND l_discount < 0.09) THEN 'VERIFIED' ELSE 'NOT_VERIFIED' END AS status FROM lineitem GROUP BY 1")
