@@ -31,7 +31,7 @@ def tree(nodes, fanout):
     return (nodes or [""])[0], proofs
 
 
-@pytest.mark.parametrize(("fanout", "levels"), [(16, 3), (2, 1), (3, 2)])
+@pytest.mark.parametrize(("fanout", "levels"), [(16, 3), (3, 2)])
 def test_manifest(spark, fanout, levels):
     sizes = {None: 9, "": 1, "a": 30, "é": 3, "b": 2, "z": 17, "A": 1}
     rows = [(i * 7 % 1000, s, None if i % 4 == 0 else "en", i if i % 3 else None, ODD[i % len(ODD)] if i % 5 else f"Text {i} ÄB") for s, n in sizes.items() for i in range(n)]
