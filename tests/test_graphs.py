@@ -115,7 +115,7 @@ def test_stages_resume(spark, tmp_path):
     labels = sorted(r.label for r in whole[0].collect())
     assert labels == ["A Paper", "Data", "Method"]  # what is grounded has no edge left
     assert staged.summary(whole[:2]).first().briefing.startswith("Knowledge graph: 3 nodes, 2 relations.")
-    for cut in (0, 2):
+    for cut in (1,):
         folder = f"{tmp_path}/cut{cut}"
         staged.run(spark, inputs, folder, stages=list(staged.STAGES[: cut + 1]))
         asked.clear()
