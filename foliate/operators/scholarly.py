@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import difflib
+import functools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from foliate.storage import settled
+from foliate.storage import settled, spread
 
 # Words that citation keys leave out; scores of a match and of an exact one; the bonus of a matching year.
 STOPWORDS = ["a", "an", "the", "of", "on", "in", "and", "for", "to", "with"]
@@ -18,10 +19,15 @@ THRESHOLD, EXACT, YEAR_BONUS = 70, 92, 10
 BINS = 32
 
 
+@functools.lru_cache(1 << 16)
+def _ratio(a: str, b: str) -> int:
+    return round(difflib.SequenceMatcher(None, a, b).ratio() * 100)
+
+
 @F.pandas_udf(IntegerType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """0 to 100: twice the matched characters over all, rounded half to even."""
-    return pd.Series([None if x is None or y is None else round(difflib.SequenceMatcher(None, x, y).ratio() * 100) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    return pd.Series([None if x is None or y is None else _ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def date_valid(published: Column, year: Column, cutoff: str | None) -> Column:
@@ -80,15 +86,82 @@ def score_best(references: DataFrame, records: DataFrame, on: str = "search_key"
     return _compared(pairs.join(least, "ref_id").where((F.col("bound") >= F.col("_least")) | (F.col("bound") >= EXACT)).drop("_least"))
 
 
+def _asked(references: DataFrame, on: str) -> DataFrame:
+    """References that ask the same, by their first: a row for each search, title and hinted year."""
+    return references.groupBy(on, "query_title", "year_hint").agg(F.min("ref_id").alias("ref_id"))
+
+
+def _answered(references: DataFrame, answers: DataFrame, on: str) -> DataFrame:
+    """Every reference with the answers to the one that asks the same; those without are left out."""
+    same = [on, "query_title", "year_hint"]
+    named = answers.drop("ref_id").withColumnsRenamed({c: f"_same_{c}" for c in same})
+    return references.join(named, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in same]).drop(*(f"_same_{c}" for c in same))
+
+
+def _title_pairs(references: DataFrame, records: DataFrame, on: str) -> DataFrame:
+    """(on, query_title, title, n, bound): each title asked with each title found, once however often they come; n records have it."""
+    found = records.where("title != ''").groupBy(on, "title").agg(F.count(F.lit(1)).alias("n"))
+    return bounded(spread(references.select(on, "query_title").distinct(), on), spread(found, on), on)
+
+
+def _asking(asked: DataFrame, pairs: DataFrame, on: str) -> DataFrame:
+    """The pairs of titles, with each of the references that ask with that title, be it null."""
+    same = (F.col(f"a.{on}") == F.col(f"p.{on}")) & F.col("a.query_title").eqNullSafe(F.col("p.query_title"))
+    return asked.alias("a").join(pairs.alias("p"), same).select("a.*", *(f"p.{c}" for c in pairs.columns if c not in (on, "query_title")))
+
+
+def bound_counts(references: DataFrame, records: DataFrame, on: str = "search_key") -> DataFrame:
+    """(ref_id, found, compared, best_bound): the records found for a reference, those whose titles ``match`` compares, and the highest bound."""
+    years = records.where("title != ''").groupBy(on, "title", "year").agg(F.count(F.lit(1)).alias("_of"))
+    pairs = _asking(_asked(references, on), _title_pairs(references, records, on), on).join(years, [on, "title"])
+    bonus = F.when(F.col("year") == F.col("year_hint"), YEAR_BONUS).otherwise(0)
+    compared = F.sum(F.when(F.col("bound") + bonus > THRESHOLD, F.col("_of")).otherwise(0))
+    counted = pairs.groupBy(on, "query_title", "year_hint").agg(F.sum("_of").alias("found"), compared.alias("compared"), F.max("bound").alias("best_bound"))
+    return _answered(references, counted, on).select("ref_id", "found", "compared", "best_bound")
+
+
+def match(references: DataFrame, records: DataFrame, cutoff: str | None = None, on: str = "search_key") -> DataFrame:
+    """``best_match`` of all references and records, with titles compared once: equal questions have equal answers, and of records alike in title and year only the first can be the best."""
+    valid = records.where("title != ''").where(_valid(cutoff))
+    first = valid.groupBy(on, "title", "year").agg(F.min_by(F.struct(*(c for c in records.columns if c not in (on, "title", "year"))), "rec_ord").alias("_r")).select(on, "title", "year", "_r.*")
+    pairs = _compared(_title_pairs(references, first, on).where(F.col("bound") + YEAR_BONUS > THRESHOLD)).drop("n")
+    scored = _asking(_asked(references, on), pairs.where(F.col("ratio") + YEAR_BONUS > THRESHOLD), on).join(first, [on, "title"])
+    return _answered(references, best_match(scored, cutoff), on)
+
+
+def match_grade(references: DataFrame, records: DataFrame, on: str = "search_key", most: int = 4) -> DataFrame:
+    """``grade`` of all references and records, with titles compared once: of records alike in title and year the first ``most`` are ranked.
+
+    The titles with the highest bounds that have ``most`` records together are
+    compared first, then those whose bound reaches the least of their ratios.
+    """
+    pairs = settled(_title_pairs(references, records, on))
+    order = Window.partitionBy(on, "query_title").orderBy(F.col("bound").desc(), "title")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = _compared(pairs.withColumn("_before", before).where(F.col("_before") < most))
+    least = first.groupBy(on, "query_title").agg(F.when(F.sum("n") >= most, F.min("ratio")).otherwise(0).alias("_least"))
+    reach = F.coalesce("bound", F.lit(0))
+    near = _asking(least, pairs, on).where((reach >= F.coalesce("_least", F.lit(0))) | (reach >= EXACT)).drop("_least")
+    alike = records.where("title != ''").withColumn("_i", F.row_number().over(Window.partitionBy(on, "title", "year").orderBy("rec_ord"))).where(F.col("_i") <= most)
+    asked = _asked(references, on)
+    scored = _asking(asked, _compared(near).drop("n"), on).join(alike.select(on, "title", "year", "rec_ord"), [on, "title"])
+    graded = grade(asked, scored)
+    return _answered(references, graded, on).select(*references.columns, *(c for c in graded.columns if c not in asked.columns))
+
+
 def ranked(scored: DataFrame, points: Column) -> DataFrame:
     """Records of a reference from the best: points, then the earlier year, records without one last, then the order found."""
     order = Window.partitionBy("ref_id").orderBy(points.desc(), F.coalesce("year", F.lit(9999)), "rec_ord")
     return scored.withColumn("points", points).withColumn("rank", F.row_number().over(order))
 
 
+def _valid(cutoff: str | None) -> Column:
+    return date_valid(F.col("publication_date"), F.col("year"), cutoff) & (F.trim("abstract") != "")
+
+
 def best_match(scored: DataFrame, cutoff: str | None = None) -> DataFrame:
     """The best record of each reference above the threshold: with an abstract, of valid date, with a bonus for the hinted year."""
-    valid = scored.where(date_valid(F.col("publication_date"), F.col("year"), cutoff) & (F.trim("abstract") != ""))
+    valid = scored.where(_valid(cutoff))
     points = F.col("ratio") + F.when(F.col("year") == F.col("year_hint"), YEAR_BONUS).otherwise(0)
     return ranked(valid, points).where(f"rank = 1 and points > {THRESHOLD}").drop("rank")
 

@@ -364,7 +364,7 @@ def _matches(spark, sf_dir):
 
 @query("fuzzy_best_match")
 def fuzzy_best_match(spark, sf_dir):
-    return scholarly.best_match(scholarly.score_matches(*_matches(spark, sf_dir))).select("ref_id", "query_title", "title", "year", "points")
+    return scholarly.match(*_matches(spark, sf_dir)).select("ref_id", "query_title", "title", "year", "points")
 
 
 @query("grade_reference")

@@ -29,3 +29,8 @@ def settled(rows: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt by these columns over as many tasks as shuffles have, for rows that are small and make much work; small partitions are not joined again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

@@ -21,3 +21,29 @@ def test_bounds_change_no_result(spark):
     assert sorted(map(str, scholarly.best_match(some).select(fields).collect())) == sorted(map(str, every)) and 0 < some.count() < exact.count() and every
     best = scholarly.score_best(refs, found)
     assert sorted(map(str, scholarly.grade(refs, best).collect())) == sorted(map(str, scholarly.grade(refs, exact).collect())) and best.count() < exact.count()
+
+
+def test_copies_are_compared_once(spark):
+    """Ten times the references and records: ten times the answers of the brute force, from as many pairs of titles."""
+    draw = random.Random(7)
+    names = ["deep graph net", "deep graph nets", "deep grape net", "tree of words", "tree of swords", "trees", ""]
+    references = [(i, i % 3, draw.choice([*names, None]), draw.choice([None, 2000, 2001])) for i in range(30)]
+    records = [(k, n, draw.choice(names), draw.choice([None, 2000, 2001]), draw.choice(["", "text", None]), draw.choice([None, "2001-05-03"])) for k in range(3) for n in range(40)]
+    fields = ["ref_id", "title", "year", "points"]
+
+    def inputs(times):
+        refs = [(r[0] + 100 * t, *r[1:]) for r in references for t in range(times)]
+        found = [(r[0], r[1] + 100 * t, *r[2:]) for r in records for t in range(times)]
+        return spark.createDataFrame(refs, "ref_id int, search_key int, query_title string, year_hint int"), spark.createDataFrame(found, "search_key int, rec_ord int, title string, year int, abstract string, publication_date string")
+
+    seen = lambda rows: sorted(map(str, rows.collect()))
+    for times in (1, 10):
+        refs, found = inputs(times)
+        exact = scholarly.score(refs, found)
+        for cutoff in (None, "2001-01"):
+            assert seen(scholarly.match(refs, found, cutoff).select(fields)) == seen(scholarly.best_match(exact, cutoff).select(fields))
+        assert seen(scholarly.match_grade(refs, found)) == seen(scholarly.grade(refs, exact))
+        counted = {r.ref_id: r for r in scholarly.bound_counts(refs, found).collect()}
+        for r in scholarly.bounded(refs, found).groupBy("ref_id").agg({"*": "count", "bound": "max"}).collect():
+            assert (counted[r.ref_id].found, counted[r.ref_id].best_bound) == (r["count(1)"], r["max(bound)"])
+        assert scholarly._title_pairs(refs, found, "search_key").count() == scholarly._title_pairs(*inputs(1), "search_key").count()
