@@ -383,6 +383,4 @@ j AS (SELECT ref_id, round_even(200.0 * list_sum(list_transform(range(1, 33), la
 SELECT ref_id, count(*) AS found, count(*) FILTER (WHERE bound + CASE WHEN same THEN 10 ELSE 0 END > 70) AS compared, CAST(max(bound) AS INTEGER) AS best_bound FROM j GROUP BY 1""")
 def fuzzy_bounds(spark, sf_dir):
     """Of the records found for a reference, those whose titles must be compared."""
-    pairs = scholarly.bounded(*_matches(spark, sf_dir))
-    bonus = F.when(F.col("year") == F.col("year_hint"), scholarly.YEAR_BONUS).otherwise(0)
-    return pairs.groupBy("ref_id").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("bound") + bonus > scholarly.THRESHOLD).alias("compared"), F.max("bound").alias("best_bound"))
+    return scholarly.bound_counts(*_matches(spark, sf_dir))
