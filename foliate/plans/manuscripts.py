@@ -369,8 +369,7 @@ def fuzzy_best_match(spark, sf_dir):
 
 @query("grade_reference")
 def grade_reference(spark, sf_dir):
-    references, found = _matches(spark, sf_dir)
-    return scholarly.grade(references, scholarly.score_best(references, found))
+    return scholarly.match_grade(*_matches(spark, sf_dir))
 
 
 LETTERS = "list_transform(range(0, 32), lambda b: len(list_filter(string_split(lower({x}), ''), lambda c: c != '' AND ascii(c) % 32 = b)))"
