@@ -200,11 +200,18 @@ def mint_key(authors: Column, year: Column, title: Column) -> Column:
     return F.concat(F.when(name != "", name).otherwise("anon"), F.coalesce(year.cast("string"), F.lit("nd")), F.array_join(F.transform(words, clean), ""))
 
 
+def _char(code: Column) -> Column:
+    """The character of a code point; ``char`` of Spark knows 256 of them. Surrogates are no characters and are passed over."""
+    code = code.cast("long")
+    known = F.when(code < 0xD800, code).otherwise(code + 0x800)
+    return F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
+
+
 def suffix_keys(citations: DataFrame, by: list[str], key: str = "citation_key", order: str = "ord") -> DataFrame:
-    """Keys that several citations share get a, b, c and so on, the first one too."""
+    """Keys that several citations share get a, b, c and so on by code points, the first one too."""
     same = Window.partitionBy(*by, key)
     n, at = F.count(F.lit(1)).over(same), F.row_number().over(same.orderBy(order))
-    return citations.select("*", n.alias("_n"), at.alias("_i")).withColumn(key, F.when(F.col("_n") > 1, F.concat(F.col(key), F.char(F.lit(96) + F.col("_i")))).otherwise(F.col(key))).drop("_n", "_i")
+    return citations.select("*", n.alias("_n"), at.alias("_i")).withColumn(key, F.when(F.col("_n") > 1, F.concat(F.col(key), _char(F.lit(96) + F.col("_i")))).otherwise(F.col(key))).drop("_n", "_i")
 
 
 def dedupe(citations: DataFrame, by: list[str], ident: str = "record_id", order: str = "ord") -> DataFrame:

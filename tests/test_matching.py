@@ -47,3 +47,12 @@ def test_copies_are_compared_once(spark):
         for r in scholarly.bounded(refs, found).groupBy("ref_id").agg({"*": "count", "bound": "max"}).collect():
             assert (counted[r.ref_id].found, counted[r.ref_id].best_bound) == (r["count(1)"], r["max(bound)"])
         assert scholarly._title_pairs(refs, found, "search_key").count() == scholarly._title_pairs(*inputs(1), "search_key").count()
+
+
+def test_many_citations_share_a_key(spark):
+    """Suffixes go on by code points, past 256 and past the surrogates."""
+    last = 0xD800 - 96 + 1
+    rows = spark.range(1, last + 1).selectExpr("1 as grp", "id as ord", "'k' as citation_key")
+    keys = [r.citation_key for r in scholarly.suffix_keys(rows, ["grp"]).orderBy("ord").collect()]
+    assert keys[:2] == ["ka", "kb"] and keys[158:161] == ["k\u00ff", "k\u0100", "k\u0101"]
+    assert keys[:-2] == ["k" + chr(97 + i) for i in range(last - 2)] and keys[-2:] == ["k\ue000", "k\ue001"] and len(set(keys)) == last
