@@ -62,7 +62,10 @@ def meta_review(reviews: DataFrame, by: list[str]) -> DataFrame:
 def robustness(reviews: DataFrame, by: list[str]) -> DataFrame:
     """How far the reviewers agree: solid, borderline or split."""
     n, yes = F.count(F.lit(1)), F.count_if(F.col("decision") == "Accept")
-    out = reviews.groupBy(*by).agg(n.alias("reviewer_count"), (F.greatest(yes, n - yes) / n).alias("_a"), F.coalesce(F.stddev_pop("overall"), F.lit(0.0)).alias("_s"))
+    # from sums of whole numbers, so that a deviation on a limit is not moved over it by the order of rows
+    x, m = F.col("overall").cast("long"), F.count("overall")
+    spread = F.sqrt((m * F.sum(x * x) - F.sum(x) * F.sum(x)).cast("double")) / m
+    out = reviews.groupBy(*by).agg(n.alias("reviewer_count"), (F.greatest(yes, n - yes) / n).alias("_a"), F.coalesce(F.when(m > 0, spread), F.lit(0.0)).alias("_s"))
     label = F.when((F.col("_a") >= 0.8) & (F.col("_s") <= 1.0), "solid").when((F.col("_a") < 0.6) | (F.col("_s") > 2.0), "split").otherwise("borderline")
     return out.select(*by, "reviewer_count", F.round("_a", 3).alias("agreement"), F.round("_s", 3).alias("overall_std"), label.alias("label"))
 
