@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions.text import squash, strip
+from foliate.storage import spread
 
 # Words of headers that tell of methods and experiments; characters that a paper gives to a prompt; pairs of claim and source of a text; new kinds an ontology takes.
 RELEVANT = r"(?i)method|approach|architect|model|system|design|experiment|evaluat|setup|dataset|benchmark|baseline|metric|ablation|result|implementation|protocol"
 PAPER_CHARS, MOST_PAIRS, MOST_KINDS = 8000, 200, 8
+#: Parts that the records filed under a title are dealt over.
+RECORD_PARTS = 32
 
 
 def arxiv_id(record_id: Column, external_ids: Column) -> Column:
@@ -57,8 +60,14 @@ def cascade(records: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
 
 
 def known_records(titles: DataFrame, records: DataFrame) -> DataFrame:
-    """Records filed under each title (``filed_as``), case aside."""
-    return titles.withColumn("_t", F.lower("title")).join(records.withColumn("_t", F.lower("filed_as")), "_t").drop("_t")
+    """Records filed under each title (``filed_as``), case aside.
+
+    The records of a title are dealt over RECORD_PARTS parts, and each part
+    meets all its titles, so a title with many records is no work of one task.
+    """
+    parts = titles.withColumn("_t", F.lower("title")).where("_t is not null").withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(RECORD_PARTS - 1))))
+    filed = records.withColumn("_t", F.lower("filed_as")).where("_t is not null").withColumn("_p", F.pmod(F.xxhash64(*records.columns), F.lit(RECORD_PARTS)).cast("int"))
+    return spread(parts, "_t", "_p").hint("shuffle_hash").join(spread(filed, "_t", "_p"), ["_t", "_p"]).drop("_t", "_p")
 
 
 def unseen_titles(records: DataFrame, notes: DataFrame) -> DataFrame:

@@ -2,12 +2,28 @@
 
 import random
 
-from foliate.operators import scores
+from pyspark.sql import functions as F
+
+from foliate.operators import scores, sourcing
 
 
 def test_a_deviation_on_the_limit_stays_on_it(spark):
-    draw = random.Random(5)
-    votes = [7, 7, 5, 2, 4, 7, 7, 4, 1, 6, 5] * 6
-    rows = [(p, v, "Accept" if i % 4 else "Reject") for p in range(60) for i, v in enumerate(draw.sample(votes, len(votes)))]
+    """Groups of a thousand mixtures whose deviation is exactly 1 or 2."""
+    draw, groups = random.Random(5), []
+    while len(groups) < 1000:
+        votes = [draw.randrange(1, 11 if draw.random() < 0.3 else 7) for _ in range(draw.randrange(4, 12))]
+        n, total, squares = len(votes), sum(votes), sum(v * v for v in votes)
+        if n * squares - total * total in (n * n, 4 * n * n):
+            groups.append((votes * draw.randrange(1, 7), (n * squares - total * total) / n / n))
+    rows = [(p, v, "Accept") for p, (votes, _) in enumerate(groups) for v in draw.sample(votes, len(votes))]
     found = scores.robustness(spark.createDataFrame(rows, "p int, overall int, decision string").repartition(8), ["p"]).collect()
-    assert {(r.overall_std, r.label) for r in found} == {(2.0, "borderline")} and len(found) == 60
+    want = {1.0: (1.0, "solid"), 4.0: (2.0, "borderline")}
+    assert len(found) == 1000 and all((r.overall_std, r.label) == want[groups[r.p][1]] for r in found) and {v for _, v in groups} == {1.0, 4.0}
+
+
+def test_records_of_one_title_are_dealt_over_tasks(spark):
+    titles = spark.createDataFrame([(1, "Deep"), (2, "deep"), (3, "DEEP"), (4, "other"), (5, None)], "s int, title string").coalesce(1)
+    records = spark.range(4000).selectExpr("id", "if(id % 10 = 0, null, 'dEEp') as filed_as").coalesce(1)
+    found = sourcing.known_records(titles, records)
+    assert sorted((r.s, r.id) for r in found.collect()) == [(s, i) for s in (1, 2, 3) for i in range(4000) if i % 10]
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
