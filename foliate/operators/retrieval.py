@@ -7,12 +7,14 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from foliate.functions.text import tokens
+from foliate.storage import spread
 
 
 def squared_norm(words: Column) -> Column:
@@ -80,35 +82,82 @@ def render_scored(ranked: DataFrame, by: list[str], text: str = "context") -> Da
     return ranked.groupBy(*by).agg(rows.alias("_r")).select(*by, F.array_join(F.transform("_r", lambda r: r["t"]), "\n\n").alias("context"), F.transform("_r", lambda r: r["block_id"]).alias("block_ids"))
 
 
-#: Query vectors that are scored at a time, against vectors as they stand.
-QUERY_BLOCK = 256
+#: Vectors and query vectors of a block, and query vectors that are scored at a time.
+VECTOR_BLOCK, QUERY_BLOCK, AT_A_TIME = 8192, 4096, 256
+
+
+def _stacked(vectors: pd.Series, norms: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as rows filled up to a width, those of a norm above 0 alone, the norms, and the sizes."""
+    out, sizes = np.zeros((len(vectors), width)), np.zeros(len(vectors), dtype=int)
+    lengths = norms.to_numpy(dtype=float)
+    for i, v in enumerate(vectors):
+        if lengths[i] > 0:
+            sizes[i] = len(v)
+            out[i, : len(v)] = v
+    return out, lengths, sizes
+
+
+def _nearest_block(k: int):
+    def nearest_block(asked: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        """The k vectors of a block nearest to each query vector of a block."""
+        none = pd.DataFrame({"query_id": asked["query_id"][:0], "vec_id": met["vec_id"][:0], "score": pd.Series(dtype=float)})
+        if not len(asked) or not len(met):
+            return none
+        met = met.sort_values("vec_id", kind="stable", ignore_index=True)
+        width = max((len(v) for rows in (asked["q"], met["q"]) for v in rows if v is not None), default=0)
+        v, v_norm, v_size = _stacked(met["q"], met["norm"], width)
+        q, q_norm, q_size = _stacked(asked["q"], asked["norm"], width)
+        most = min(k, len(met))
+        found = []
+        for start in range(0, len(q), AT_A_TIME):
+            part = slice(start, start + AT_A_TIME)
+            norms = q_norm[part, None] * v_norm[None, :]
+            with np.errstate(invalid="ignore", over="ignore"):
+                scores = np.round(np.divide(q[part] @ v.T, norms, out=np.zeros_like(norms), where=norms > 0), 6)
+            # a score that is no number comes first, as in an order of Spark and SQL
+            scores[np.isnan(scores) | (norms < 0) | ((q_norm[part, None] < 0) & (v_norm[None, :] < 0))] = np.inf
+            scores[(q_norm[part, None] > 0) & (v_norm[None, :] > 0) & (q_size[part, None] != v_size[None, :])] = -np.inf
+            # of equal scores the least ids: all above the k-th score, then the first that have it
+            kth = -np.partition(-scores, most - 1, axis=1)[:, most - 1 : most]
+            above, same = scores > kth, scores == kth
+            take = above | (same & (np.cumsum(same, axis=1) <= most - above.sum(axis=1, keepdims=True)))
+            rows, columns = np.nonzero(take)
+            found.append(pd.DataFrame({"query_id": asked["query_id"].to_numpy()[part][rows], "vec_id": met["vec_id"].to_numpy()[columns], "score": scores[rows, columns]}))
+        return pd.concat(found, ignore_index=True)
+
+    return nearest_block
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k vectors nearest to each query vector by cosine, ties by id, scores rounded to six places.
 
-    Query vectors are packed into blocks of QUERY_BLOCK; each meets every
-    vector where it stands, and a partition passes on its k best of each query
-    only, so what is ranked at the end is k rows a query and partition.
+    Vectors and query vectors are dealt into blocks, and every block of the one
+    meets every block of the other in a task, as a product of matrices. A pair
+    of blocks passes on the k best of each query only, so what is ranked at the
+    end is k rows a query and block. A vector that is null, has nulls or no
+    length scores 0, one with a NaN comes first; vectors of different sizes come last, without a score.
     """
-    def unit(c: Column) -> Column:
-        return F.sqrt(dot(c, c))
-
-    q = queries.select(F.col(ident).alias("query_id"), F.col(vector).cast("array<double>").alias("q"))
-    q = q.withColumn("norm", unit(F.col("q")))
-    size = max(1, -(-q.count() // QUERY_BLOCK))
-    blocks = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(size))).groupBy("_b").agg(F.collect_list(F.struct("query_id", "q", "norm")).alias("_qs"))
-    v = vectors.select(ident, F.col(vector).cast("array<double>").alias("_v")).withColumn("_n", unit(F.col("_v")))
-    out = None
-    for b in range(size):
-        # one row of QUERY_BLOCK vectors on average
-        packed = blocks.where(F.col("_b") == b).select("_qs")
-        met = v.withColumn("_qs", packed.scalar()).select(ident, "_v", "_n", F.explode("_qs").alias("_q"))
-        norms = F.col("_n") * F.col("_q.norm")
-        scored = met.select(F.col("_q.query_id").alias("query_id"), ident, F.round(F.when(norms > 0, dot(F.col("_v"), F.col("_q.q")) / norms).otherwise(0.0), 6).alias("score"))
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), ident))).where(F.col("rank") <= k)
-        out = ranked if out is None else out.unionAll(ranked)
-    return out
+    norm = F.sqrt(dot(F.col("q"), F.col("q"))).alias("norm")
+    # batches of Arrow do not tell null and NaN apart
+    length = F.when(F.isnan("norm"), -1.0).otherwise(F.coalesce("norm", F.lit(0.0))).alias("norm")
+
+    def dealt(rows: DataFrame, name: str, block: int) -> tuple[DataFrame, int]:
+        rows = rows.select(F.col(ident).alias(name), F.col(vector).cast("array<double>").alias("q"))
+        number = max(1, -(-rows.count() // block))
+        return rows.select(name, "q", norm).select(name, "q", length, F.pmod(F.xxhash64(name), F.lit(number)).alias("_b")), number
+
+    v, v_blocks = dealt(vectors, "vec_id", VECTOR_BLOCK)
+    q, q_blocks = dealt(queries, "query_id", QUERY_BLOCK)
+    cell = lambda i, j: (i * q_blocks + j).alias("_cell")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_o")
+    v = v.select("*", each(q_blocks)).select("vec_id", "q", "norm", cell(F.col("_b"), F.col("_o")))
+    q = q.select("*", each(v_blocks)).select("query_id", "q", "norm", cell(F.col("_o"), F.col("_b")))
+    ids = {name: rows.schema[name].dataType.simpleString() for rows, name in ((q, "query_id"), (v, "vec_id"))}
+    parts = spread(q, "_cell").groupBy("_cell").cogroup(spread(v, "_cell").groupBy("_cell"))
+    best = parts.applyInPandas(_nearest_block(k), f"query_id {ids['query_id']}, vec_id {ids['vec_id']}, score double")
+    best = best.withColumn("score", F.when(F.col("score") == float("inf"), float("nan")).when(F.col("score") > float("-inf"), F.col("score")))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    return ranked.withColumnRenamed("vec_id", ident)
 
 
 #: Buckets that hashed terms fall into, a fixed value.

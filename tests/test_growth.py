@@ -1,10 +1,11 @@
 """What came out only on larger tables: results on limits, and steps whose work or memory grew faster than their input."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from foliate.operators import scores, sourcing
+from foliate.operators import retrieval, scores, sourcing
 
 
 def test_a_deviation_on_the_limit_stays_on_it(spark):
@@ -27,3 +28,30 @@ def test_records_of_one_title_are_dealt_over_tasks(spark):
     found = sourcing.known_records(titles, records)
     assert sorted((r.s, r.id) for r in found.collect()) == [(s, i) for s in (1, 2, 3) for i in range(4000) if i % 10]
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Blocks of each with each give what all pairs give, with copies, odd vectors and few rows; the plan does not grow with the queries."""
+    draw = random.Random(3)
+    vectors = [(i, [float(draw.randrange(-3, 4)) for _ in range(4)]) for i in range(300)]
+    vectors += [(300 + i, vectors[i][1]) for i in range(60)] + [(400, None), (401, [0.0] * 4), (402, [1.0, None, 2.0, 3.0])]
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+
+    def cosine(a, b):
+        if not a or not b or None in a or None in b:
+            return 0.0
+        norms = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / norms, 6) + 0.0 if norms else 0.0
+
+    want = {(q, *n) for q, a in vectors if q % 5 == 0 for n in [(v, s, r + 1) for r, (s, v) in enumerate(sorted((-cosine(a, b), v) for v, b in vectors)[:7])]}
+    want = {(q, v, -s + 0.0, r) for q, v, s, r in want}
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 50)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(retrieval, "AT_A_TIME", 7)
+    found = retrieval.nearest(rows, rows.where("vec_id % 5 = 0"), 7)
+    assert {(r.query_id, r.vec_id, r.score + 0.0, r["rank"]) for r in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+    few = retrieval.nearest(rows.where("vec_id < 3"), rows.where("vec_id < 2"), 7)
+    assert sorted((r.query_id, r["rank"]) for r in few.collect()) == [(q, r) for q in (0, 1) for r in (1, 2, 3)]
+    odd = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, float("nan")]), (2, [1.0])], "vec_id long, embedding array<float>")
+    assert [(r.vec_id, str(r.score)) for r in retrieval.nearest(odd, odd.where("vec_id = 0"), 5).orderBy("rank").collect()] == [(1, "nan"), (0, "1.0"), (2, "None")]
