@@ -95,13 +95,18 @@ def reviews(inputs: DataFrame, by: list[str], raw: str = "raw") -> DataFrame:
     Accept, all else Reject. What is missing, or no object, gets these too.
     """
     rows = inputs.select(*by, F.try_parse_json(raw).alias("_v"))
-    slug = F.replace(F.lower(F.trim("name")), F.lit(" "), F.lit("_"))
+    slug = lambda name: F.replace(F.lower(F.trim(name)), F.lit(" "), F.lit("_"))
     names = ["summary", *LISTS, "ethical_concerns", "decision", *AXES]
-    parts = _parts(rows.where(kind(F.col("_v")) == "OBJECT"), "_v", by).withColumn("name", slug).where(F.col("name").isin(names))
-    texts = parts.select(*by, "pos", "name", F.struct(kind(F.col("item")).alias("kind"), as_text(F.col("item")).alias("text"), truth(F.col("item")).alias("truth"), F.try_variant_get("item", "$", "array<variant>").alias("items")).alias("x"))
-    # a variant is no value that aggregates take, its parts are
-    texts = texts.withColumn("x", F.col("x").withField("items", F.transform("x.items", as_text)))
-    found = rows.select(*by).join(texts.groupBy(*by).agg(*(F.max_by("x", F.when(F.col("name") == n, F.col("pos"))).alias(n) for n in names)), by, "left")
+    # in the row: the entries come in the order of their names, the last of a name counts
+    entries = F.map_entries(F.when(kind(F.col("_v")) == "OBJECT", F.try_variant_get("_v", "$", "map<string,variant>")))
+    rows = rows.select(*by, F.transform(entries, lambda e: F.struct(slug(e["key"]).alias("name"), e["value"].alias("item"))).alias("_e"))
+
+    def last(n: str) -> Column:
+        item = F.try_element_at(F.filter("_e", lambda e: e["name"] == n), F.lit(-1))["item"]
+        items = lambda v: F.transform(F.try_variant_get(v, "$", "array<variant>"), as_text)
+        return let(item, lambda v: F.when(v.isNotNull(), F.struct(kind(v).alias("kind"), as_text(v).alias("text"), truth(v).alias("truth"), items(v).alias("items")))).alias(n)
+
+    found = rows.select(*by, *map(last, names))
     text = lambda n: F.col(f"{n}.text")
     none = F.array().cast("array<string>")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from foliate.operators import loose
 from foliate.operators.scores import AXES
 from foliate.plans.documents import table
-from foliate.storage import settled
+from foliate.storage import settled, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,7 +55,7 @@ f AS (SELECT p_partkey, pos, trim(coalesce({_first("(x->'$.citation_key')", "own
   'source': {_first("(x->'$.source')", "(rec->'$.source')")}}} AS s FROM k)
 SELECT p_partkey, key, arg_max(s, pos).title AS title, arg_max(s, pos).abstract AS abstract, arg_max(s, pos).source AS source FROM f WHERE key != '' GROUP BY ALL""")
 def loose_citations(spark, sf_dir):
-    return loose.citations(settled(table(spark, sf_dir, "part").selectExpr("p_partkey", CITATIONS)), ["p_partkey"])
+    return loose.citations(settled(spread(table(spark, sf_dir, "part"), "p_partkey").selectExpr("p_partkey", CITATIONS)), ["p_partkey"])
 
 
 def _value(*kinds: str) -> str:
@@ -88,5 +88,5 @@ SELECT p_partkey, coalesce(CASE WHEN {_truth("p['summary']")} THEN {_text("p['su
   coalesce(CASE json_type(p['ethical_concerns']) WHEN 'VARCHAR' THEN lower(p['ethical_concerns']->>'$') IN ('true', 'yes', '1') ELSE {_truth("p['ethical_concerns']")} END, false) AS ethical_concerns,
   {", ".join(map(_score, AXES))}, CASE WHEN json_type(p['decision']) = 'VARCHAR' AND contains(lower(p['decision']->>'$'), 'accept') THEN 'Accept' ELSE 'Reject' END AS decision FROM m""")
 def loose_reviews(spark, sf_dir):
-    found = loose.reviews(settled(table(spark, sf_dir, "part").selectExpr("p_partkey", REVIEW)), ["p_partkey"])
+    found = loose.reviews(spread(table(spark, sf_dir, "part"), "p_partkey").selectExpr("p_partkey", REVIEW), ["p_partkey"])
     return found.selectExpr("p_partkey", "summary", "array_join(strengths, '|') as strengths", "array_join(questions, '|') as questions", "ethical_concerns", *AXES, "decision")

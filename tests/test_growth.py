@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from foliate.operators import retrieval, scores, sourcing
+from foliate.operators import loose, retrieval, scores, sourcing
 
 
 def test_a_deviation_on_the_limit_stays_on_it(spark):
@@ -55,3 +55,12 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert sorted((r.query_id, r["rank"]) for r in few.collect()) == [(q, r) for q in (0, 1) for r in (1, 2, 3)]
     odd = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, float("nan")]), (2, [1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, str(r.score)) for r in retrieval.nearest(odd, odd.where("vec_id = 0"), 5).orderBy("rank").collect()] == [(1, "nan"), (0, "1.0"), (2, "None")]
+
+
+def test_reviews_are_read_in_their_rows(spark):
+    """Nothing is sorted, gathered or joined for a review, so a task holds a row."""
+    raws = [(1, '{"Overall": 3, "overall ": 5, "OVERALL": 4, "Strengths": ["a", null, " "]}'), (2, "no"), (3, None)]
+    found = loose.reviews(spark.createDataFrame(raws, "i int, raw string"), ["i"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(step in plan for step in ("Aggregate", "Join", "Sort", "Generate"))
+    assert [(r.overall, r.strengths) for r in found.orderBy("i").collect()] == [(5, ["a", "None"]), (1, []), (1, [])]
