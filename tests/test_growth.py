@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from foliate.operators import loose, retrieval, scores, sourcing
+from foliate.operators import graph, loose, repair, retrieval, scores, sourcing
 
 
 def test_a_deviation_on_the_limit_stays_on_it(spark):
@@ -64,3 +64,23 @@ def test_reviews_are_read_in_their_rows(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not any(step in plan for step in ("Aggregate", "Join", "Sort", "Generate"))
     assert [(r.overall, r.strengths) for r in found.orderBy("i").collect()] == [(5, ["a", "None"]), (1, []), (1, [])]
+
+
+def _plan(rows) -> str:
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_text_is_cut_once_for_its_equations(spark):
+    """Not once a line, which made the work grow with the square of a text."""
+    texts = spark.createDataFrame([("a\n$$ x $$\n $$\n\n$$\nb $$ c\n$$$\n$$\u00a0$$",), (None,), ("$$",)], "t string")
+    found = texts.select(repair.space_equations(F.col("t")).alias("t"))
+    assert _plan(found).count("split(") == 1
+    assert [r.t for r in found.collect()] == ["a\n\n$$ x $$\n\n $$\n\n$$\nb $$ c\n\n$$$\n\n$$\u00a0$$", None, "$$"]
+
+
+def test_a_text_is_lowered_once_for_all_keywords(spark):
+    name, words = next(iter(graph.DOMAINS.items()))
+    texts = spark.createDataFrame([(" ".join(words).upper(),), ("",), (None,)], "text string")
+    found = graph.detect_domain(texts)
+    assert _plan(found).count("lower(") == 1
+    assert [(r.domain, r.hits) for r in found.collect()] == [(name, len(words)), ("general", 0), ("general", 0)] and found.columns == ["text", "domain", "hits"]
