@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliate.functions.lines import let
 from foliate.functions.text import squash, strip
 from foliate.operators import entities
 
@@ -121,10 +122,13 @@ def seed(papers: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def detect_domain(texts: DataFrame, text: str = "text") -> DataFrame:
     """The domain with most keywords in the text, the first of equals; general without any."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    scored = [F.struct(F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(lower, w))).alias("hits"), F.lit(-i).alias("o"), F.lit(name).alias("domain")) for i, (name, words) in enumerate(DOMAINS.items())]
-    best = F.array_max(F.array(*scored))
-    return texts.withColumns({"domain": F.when(best["hits"] > 0, best["domain"]).otherwise("general"), "hits": best["hits"]})
+    def best_of(lower: Column) -> Column:
+        hits = lambda words: sum((F.contains(lower, F.lit(w)).cast("int") for w in words), F.lit(0))
+        return F.array_max(F.array(*(F.struct(hits(words).alias("hits"), F.lit(-i).alias("o"), F.lit(name).alias("domain")) for i, (name, words) in enumerate(DOMAINS.items()))))
+
+    texts = texts.withColumn("_best", let(F.lower(F.coalesce(text, F.lit(""))), best_of))
+    best = F.col("_best")
+    return texts.withColumns({"domain": F.when(best["hits"] > 0, best["domain"]).otherwise("general"), "hits": best["hits"]}).drop("_best")
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
