@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -165,11 +166,16 @@ BUCKETS = 256
 _SPARSE = ArrayType(StructType([StructField("bucket", IntegerType()), StructField("weight", DoubleType())]))
 
 
+@functools.lru_cache(1 << 18)
+def _hashed(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
 def hashed_vector(text: str | None, buckets: int = BUCKETS) -> list[tuple[int, float]]:
     """Term frequencies by the 64-bit BLAKE2b hash of each word, of length 1, as (bucket, weight); none without words."""
     counts: dict[int, int] = {}
     for word, n in Counter(re.findall("[a-z0-9]+", (text or "").lower())).items():
-        bucket = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little") % buckets
+        bucket = _hashed(word) % buckets
         counts[bucket] = counts.get(bucket, 0) + n
     length = math.sqrt(sum(n * n for n in counts.values()))
     return [(b, n / length) for b, n in sorted(counts.items())]
@@ -188,11 +194,12 @@ def hashed_index(blocks: DataFrame, ident: str = "block_id", text: str = "contex
 def hashed_search(index: DataFrame, blocks: DataFrame, queries: DataFrame, k: int, ident: str = "block_id") -> DataFrame:
     """The k best blocks of each query (query_id, query) by cosine of hashed terms, ties by id; blocks without a shared bucket have 0 and fill up.
 
-    Queries meet blocks on buckets, so blocks that share none cost nothing. Of
-    these the 2k least ids are enough to fill any query up.
+    Queries, which are few, meet buckets where these stand, so what no query
+    asks for is not moved. Of blocks without a shared bucket the 2k least ids
+    are enough to fill any query up.
     """
     asked = hashed_index(queries, "query_id", "query").withColumnRenamed("weight", "_w")
-    met = index.join(asked, "bucket").groupBy("query_id", ident).agg(F.round(F.sum(F.col("weight") * F.col("_w")), 6).alias("score"))
+    met = index.join(F.broadcast(asked), "bucket").groupBy("query_id", ident).agg(F.round(F.sum(F.col("weight") * F.col("_w")), 6).alias("score"))
     best = top_k(met, k, ["query_id"], tie=ident).drop("rank")
     # one row of 2k ids, whatever the number of blocks
     least = blocks.select(ident).orderBy(ident).limit(2 * k).agg(F.collect_list(ident).alias("ids"))

@@ -84,3 +84,11 @@ def test_a_text_is_lowered_once_for_all_keywords(spark):
     found = graph.detect_domain(texts)
     assert _plan(found).count("lower(") == 1
     assert [(r.domain, r.hits) for r in found.collect()] == [(name, len(words)), ("general", 0), ("general", 0)] and found.columns == ["text", "domain", "hits"]
+
+
+def test_only_buckets_that_are_asked_for_move(spark):
+    blocks = spark.createDataFrame([("a", "graph net"), ("b", "tree"), ("c", "")], "block_id string, context string")
+    asked = spark.createDataFrame([("q", "graph tree tree")], "query_id string, query string")
+    found = retrieval.hashed_search(retrieval.hashed_index(blocks), blocks, asked, 3)
+    assert "rightHint=(strategy=broadcast)" in _plan(found)
+    assert [(r.block_id, r.score) for r in found.orderBy("rank").collect()] == [("b", 0.894427), ("a", 0.316228), ("c", 0.0)]
