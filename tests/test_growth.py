@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from foliate.operators import graph, loose, repair, retrieval, scores, sourcing
+from foliate.operators import graph, lint, loose, repair, retrieval, scores, sourcing
 
 
 def test_a_deviation_on_the_limit_stays_on_it(spark):
@@ -92,3 +92,14 @@ def test_only_buckets_that_are_asked_for_move(spark):
     found = retrieval.hashed_search(retrieval.hashed_index(blocks), blocks, asked, 3)
     assert "rightHint=(strategy=broadcast)" in _plan(found)
     assert [(r.block_id, r.score) for r in found.orderBy("rank").collect()] == [("b", 0.894427), ("a", 0.316228), ("c", 0.0)]
+
+
+def test_an_audit_reads_drafts_once_for_counts_and_budgets(spark):
+    sections = spark.createDataFrame([("p", 1, "A", "[todo x] \\\\cite{} \\\\cite{k} [CITE: y]", 50), ("p", 2, "B", " \t", None), ("q", 1, "", None, 5)], "paper_id string, ord int, title string, draft string, word_budget int")
+    required = spark.createDataFrame([("p", "a"), ("p", "c")], "paper_id string, title string")
+    bibliography = spark.createDataFrame([("p", "other")], "paper_id string, key string")
+    counts = spark.createDataFrame([("p", 10, 8)], "paper_id string, candidates int, verified int")
+    found = lint.audit(sections, required, bibliography, counts)
+    # missing titles and uncovered keys, each found and joined, and the counts of records
+    assert _plan(found).count("Join ") == 5
+    assert [(r.paper_id, r.placeholders, r.under_budget, r.missing_sections, r.uncovered, r.meets, r.problems) for r in found.orderBy("paper_id").collect()] == [("p", 4, 1, 1, 1, False, 8), ("q", 1, 1, 0, 0, True, 2)]
