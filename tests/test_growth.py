@@ -5,7 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from foliate.functions.lines import let
 from foliate.operators import graph, lint, loose, repair, retrieval, scores, sourcing
+from foliate.plans import repairs
 
 
 def test_a_deviation_on_the_limit_stays_on_it(spark):
@@ -103,3 +105,18 @@ def test_an_audit_reads_drafts_once_for_counts_and_budgets(spark):
     # missing titles and uncovered keys, each found and joined, and the counts of records
     assert _plan(found).count("Join ") == 5
     assert [(r.paper_id, r.placeholders, r.under_budget, r.missing_sections, r.uncovered, r.meets, r.problems) for r in found.orderBy("paper_id").collect()] == [("p", 4, 1, 1, 1, False, 8), ("q", 1, 1, 0, 0, True, 2)]
+
+
+def test_a_value_that_is_let_is_typed_once(spark):
+    """``get`` asked for the type of the whole body at every value."""
+    rows = spark.createDataFrame([("a",), (None,)], "t string")
+    found = rows.select(let(F.col("t"), lambda t: F.concat(t, t)).alias("t"))
+    assert "get(" not in _plan(found).replace("element_at(", "") and [r.t for r in found.collect()] == ["aa", None]
+
+
+def test_templates_are_filled_from_their_pieces(spark, tmp_path):
+    """No line is searched for what is to be put in, and letters are no ranges, which are slow."""
+    spark.createDataFrame([(0, "aa b,b é c-c  {n} dd ee"), (1, None), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = repairs.planted(spark, str(tmp_path), ("{{ {a} }}{n}{b}", "{m} \\x {c}"))
+    assert _plan(found).count("replace(") == 1 and "A-Z" not in _plan(found)
+    assert {r.paper_id: r.markdown for r in found.collect()} == {0: "{ aa }1b,b\n{ c-c }2\n{  }3dd", 1: None, 2: "{  }1"}
