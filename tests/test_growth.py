@@ -5,8 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from foliate.functions.lines import let
-from foliate.operators import graph, lint, loose, repair, retrieval, scores, sourcing
+from foliate.functions.lines import is_blank, let
+from foliate.operators import graph, lint, loose, markdown, repair, retrieval, scores, sourcing, tables
 from foliate.plans import repairs
 
 
@@ -120,3 +120,19 @@ def test_templates_are_filled_from_their_pieces(spark, tmp_path):
     found = repairs.planted(spark, str(tmp_path), ("{{ {a} }}{n}{b}", "{m} \\x {c}"))
     assert _plan(found).count("replace(") == 1 and "A-Z" not in _plan(found)
     assert {r.paper_id: r.markdown for r in found.collect()} == {0: "{ aa }1b,b\n{ c-c }2\n{  }3dd", 1: None, 2: "{  }1"}
+
+
+def test_most_lines_are_told_by_their_first_byte(spark):
+    lines = ["", " \t\r\x0b\f", "\x01", " ", "a", " | a | b |", "|", "`|`", "- | a", "|`x`", "$|$", r"a \mid b", "`a` | b", None]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    found = rows.select("i", is_blank(F.col("line")).alias("blank"), tables.is_row(F.col("line")).alias("row"), tables.is_separator(F.array(F.lit(":--"), F.trim("line"))).alias("rule")).orderBy("i")
+    assert _plan(found).count(" < ") >= 2
+    got = found.collect()
+    assert [r.i for r in got if r.blank] == [0, 1] and [r.i for r in got if r.row] == [5, 6, 9, 12] and not any(r.rule for r in got)
+
+
+def test_signs_and_blanks_go_without_classes_of_many_kinds(spark):
+    texts = spark.createDataFrame([("ﬁn – x \t\r\n <!-- image --> \nglyph[ALPHA]glyph[alpha] GLYPH<12>\n\n\n\n \x0b\f",), (None,)], "t string")
+    found = texts.select(markdown.cleanup(F.col("t")).alias("t"))
+    assert "[^\\S\\n]+" not in _plan(found)
+    assert [r.t for r in found.collect()] == ["fin - x\nα\n\n", None]
