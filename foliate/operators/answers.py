@@ -60,15 +60,15 @@ def graphs(answers: DataFrame, text: str = "response") -> tuple[DataFrame, DataF
     """
     found = parsed(answers, text).select("paper_id", "batch", F.from_json("object", "nodes array<string>, edges array<string>").alias("o"), F.col("object").isNotNull().alias("read"))
     failed = found.groupBy("paper_id").agg(F.bool_or("read").alias("any")).where("not any").select("paper_id")
-    one = F.from_json("raw", "id string, label string, type string, description string, section_path string, aliases array<string>, evidence string, confidence double")
-    nodes = found.select("paper_id", "batch", F.posexplode("o.nodes").alias("at", "raw")).withColumn("n", one).where("n.id is not null and n.label is not null")
+    one = lambda raw: F.from_json(raw, "id string, label string, type string, description string, section_path string, aliases array<string>, evidence string, confidence double")
+    nodes = found.select("paper_id", "batch", F.posexplode("o.nodes").alias("at", "raw")).withColumn("n", one("raw")).where("n.id is not null and n.label is not null")
     empty = lambda c: F.coalesce(f"n.{c}", F.lit("")).alias(c)
     order = (F.col("batch").cast("long") * (1 << 32) + F.col("at")).alias("ord")
     nodes = nodes.select("paper_id", "batch", order, "n.id", "n.label", F.coalesce("n.type", F.lit("concept")).alias("type"), empty("description"), "n.section_path", F.coalesce("n.aliases", F.array().cast("array<string>")).alias("aliases"), empty("evidence"), F.coalesce("n.confidence", F.lit(1.0)).alias("confidence"))
-    ends = nodes.select("paper_id", "batch", "id").distinct()
-    edges = found.select("paper_id", "batch", F.posexplode("o.edges").alias("at", "raw")).withColumn("e", F.from_json("raw", "source string, target string, relation string")).select("paper_id", "batch", order, "e.source", "e.target", F.coalesce("e.relation", F.lit("related_to")).alias("relation"))
-    for end in ("source", "target"):
-        edges = edges.join(ends.withColumnRenamed("id", end), ["paper_id", "batch", end], "left_semi")
+    # the ends of edges are looked up in the row of their answer, so that nothing is moved or read twice for them
+    named = F.filter(F.transform("o.nodes", one), lambda n: n["id"].isNotNull() & n["label"].isNotNull())
+    pairs = found.select("paper_id", "batch", F.transform(named, lambda n: n["id"]).alias("ids"), F.posexplode("o.edges").alias("at", "raw")).withColumn("e", F.from_json("raw", "source string, target string, relation string"))
+    edges = pairs.where(F.array_contains("ids", F.col("e.source")) & F.array_contains("ids", F.col("e.target"))).select("paper_id", "batch", order, "e.source", "e.target", F.coalesce("e.relation", F.lit("related_to")).alias("relation"))
     return graph.coerce_types(nodes), edges.withColumn("relation", graph.coerce(F.col("relation"), graph.RELATIONS, "related_to")), failed
 
 

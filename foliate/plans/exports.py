@@ -9,6 +9,7 @@ from foliate.operators import answers, bibtex, export, lint, repair, sourcing
 from foliate.plans.documents import SECTIONS, sections, table
 from foliate.plans.graphs import KG, valid
 from foliate.sources import readers
+from foliate.storage import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -252,7 +253,9 @@ ANSWER = """concat(case p_partkey % 4 when 0 then 'Here: ```json\\n' when 1 then
 
 
 def _answers(spark, sf_dir):
-    return answers.graphs(table(spark, sf_dir, "part").selectExpr("p_partkey div 10 as paper_id", "p_partkey as batch", f"{ANSWER} as response"))
+    # keys are dealt before they become long answers
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey")
+    return answers.graphs(parts.selectExpr("p_partkey div 10 as paper_id", "p_partkey as batch", f"{ANSWER} as response"))
 
 
 @query("answer_nodes", """SELECT p_partkey // 10 AS paper_id, p_partkey AS batch, n.id, n.label, n.type, n.confidence FROM part, (VALUES (1), (2)) v(k),

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from foliate.functions.lines import is_blank, let
-from foliate.operators import graph, lint, loose, markdown, repair, retrieval, scores, sourcing, tables
+from foliate.operators import answers, graph, lint, loose, markdown, repair, retrieval, scores, sourcing, tables
 from foliate.plans import repairs
 
 
@@ -136,3 +136,12 @@ def test_signs_and_blanks_go_without_classes_of_many_kinds(spark):
     found = texts.select(markdown.cleanup(F.col("t")).alias("t"))
     assert "[^\\S\\n]+" not in _plan(found)
     assert [r.t for r in found.collect()] == ["fin - x\nα\n\n", None]
+
+
+def test_ends_of_edges_are_looked_up_in_their_answer(spark):
+    """Answers were read three times and their edges joined twice."""
+    good = '{"nodes": [{"id": "a", "label": "A"}, 7, {"id": "b"}, {"id": "c", "label": "C", "confidence": "x"}], "edges": [{"source": "a", "target": "c"}, 3, {"source": "b", "target": "c"}, {"source": "c", "target": "d"}, {"source": "c", "target": "a", "relation": "uses"}]}'
+    rows = [(1, 1, good), (1, 2, '{"nodes": [{"id": "d", "label": "D"}], "edges": [{"source": "a", "target": "d"}]}'), (2, 1, "none"), (2, 2, '{"edges": [{"source": "a", "target": "c"}]}'), (3, 1, None)]
+    edges = answers.graphs(spark.createDataFrame(rows, "paper_id int, batch int, response string"))[1]
+    assert "Join" not in _plan(edges) and _plan(edges).count("ArrowEvalPython") == 1
+    assert sorted((r.paper_id, r.batch, r.ord - (1 << 32), r.source, r.target, r.relation) for r in edges.collect()) == [(1, 1, 0, "a", "c", "related_to"), (1, 1, 4, "c", "a", "uses")]
