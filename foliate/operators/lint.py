@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliate.functions.text import cite_keys, strip, word_count
+from foliate.storage import spread
 
 #: A draft below this share of its budget is short; a plan's budgets may be off by this share of the target.
 SHORT_OF_BUDGET, BUDGET_TOLERANCE = 0.8, 0.15
@@ -69,10 +70,14 @@ def placeholders(sections: DataFrame, *more: Column) -> DataFrame:
 
 
 def missing_titles(required: DataFrame, present: DataFrame) -> DataFrame:
-    """Required rows without a present title of their paper, blanks and case aside."""
+    """Required rows without a present title of their paper, blanks and case aside.
+
+    Repeated titles stay, since finding them would take a table of all titles
+    in memory; both sides are dealt over all tasks, though they are small.
+    """
     key = F.lower(strip(F.col("title"))).alias("_t")
-    have = present.select("paper_id", F.lower(strip(F.coalesce("title", F.lit("")))).alias("_t")).distinct()
-    return required.select("*", key).join(have, ["paper_id", "_t"], "left_anti").drop("_t")
+    have = spread(present.select("paper_id", F.lower(strip(F.coalesce("title", F.lit("")))).alias("_t")), "paper_id", "_t")
+    return spread(required.select("*", key), "paper_id", "_t").join(have, ["paper_id", "_t"], "left_anti").drop("_t")
 
 
 def coverage(candidates: Column, verified: Column) -> list[Column]:

@@ -145,3 +145,12 @@ def test_ends_of_edges_are_looked_up_in_their_answer(spark):
     edges = answers.graphs(spark.createDataFrame(rows, "paper_id int, batch int, response string"))[1]
     assert "Join" not in _plan(edges) and _plan(edges).count("ArrowEvalPython") == 1
     assert sorted((r.paper_id, r.batch, r.ord - (1 << 32), r.source, r.target, r.relation) for r in edges.collect()) == [(1, 1, 0, "a", "c", "related_to"), (1, 1, 4, "c", "a", "uses")]
+
+
+def test_missing_titles_hold_no_table_of_titles(spark):
+    """Distinct titles were kept in memory, in as few tasks as their size alone asked for."""
+    required = spark.createDataFrame([("p", " A "), ("p", "b"), ("p", "b"), ("q", "a"), (None, "a"), ("q", None)], "paper_id string, title string")
+    present = spark.createDataFrame([("p", "a"), ("p", "a "), ("q", None), (None, "a")], "paper_id string, title string")
+    found = lint.missing_titles(required, present)
+    assert "Aggregate" not in _plan(found) and _plan(found).count("RepartitionByExpression") == 2
+    assert sorted((r.paper_id or "", r.title or "") for r in found.collect()) == [("", "a"), ("p", "b"), ("p", "b"), ("q", ""), ("q", "a")]
