@@ -52,10 +52,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """As ``cut``, in columns and compressed, for tables that are read in part or more than once."""
+def written(df: DataFrame, what: str, **options: str) -> DataFrame:
+    """As ``cut``, in columns and compressed, for tables that are read in part or more than once; with options of the writer."""
     path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

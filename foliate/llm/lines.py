@@ -19,6 +19,8 @@ STEPS, HASH_BITS = 4096, 33
 LONG = 80
 #: Earliest lines of a word's group that the first round probes, and by how much each further round reaches on.
 FIRST_REACH, REACH = 256, 8
+#: The words of a task fit a dictionary of this size, and then take less than four bytes each.
+PACKED = {"compression": "zstd", "parquet.dictionary.page.size": str(4 << 20)}
 #: Words that occur in so many lines have groups that are not gathered in one task.
 FREQUENT = 100_000
 
@@ -42,9 +44,11 @@ def _dense(rows: DataFrame, size: int, value: Column) -> DataFrame:
 def _lines(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """A row a line with words: its document (id and hash of the text), number, hash, and the 32-bit hashes of its distinct words."""
     whole = documents.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("k"), F.posexplode(F.split(F.lower(text), "\n")).alias("l", "_line"))
+    # a line with more than blanks has a word; asked of the words, each would be hashed twice
+    whole = whole.where(F.length(F.trim("_line")) > 0)
     hashes = F.transform(F.split("_line", " "), lambda w: F.hash(w))
     nothing = F.array(F.hash(F.lit("")))
-    return whole.select("d", "k", "l", F.xxhash64("_line").alias("line"), F.array_except(hashes, nothing).alias("words")).where(F.size("words") > 0)
+    return whole.select("d", "k", "l", F.xxhash64("_line").alias("line"), F.array_except(hashes, nothing).alias("words"))
 
 
 def _frequencies(lines: DataFrame) -> DataFrame:
@@ -124,7 +128,7 @@ def _similar(lines: DataFrame, threshold: float) -> DataFrame:
     large = large.drop("size").unionAll(entries.where(F.col("code") >= least).select(*usual.columns, F.lit(0).alias("met")))
     # one job, so that the entries are made and dealt once
     kept = [F.lit(None).cast(f.dataType).alias(f.name) for f in large.schema]
-    made = written(pairs.select("first", "then", *kept).unionAll(large.select(F.lit(None).cast("long"), F.lit(None).cast("long"), "*")), "line-pairs")
+    made = written(pairs.select("first", "then", *kept).unionAll(large.select(F.lit(None).cast("long"), F.lit(None).cast("long"), "*")), "line-pairs", compression="zstd")
     found = _verified(made.where("met is null").select("first", "then"), lines, threshold)
     large = made.where("met is not null").drop("first", "then")
     last = large.groupBy("code").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -154,7 +158,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
 
 def _removed(documents: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
     """``removed`` for each document with a line to remove, by id (d) and hash of the text (k)."""
-    lines = written(_lines(documents, doc_id, text), "coded-lines")
+    lines = written(_lines(documents, doc_id, text), "coded-lines", **PACKED)
     similar = _similar(lines, threshold)
     place = F.struct("d", "l", "k")
     own = lines.select("d", "k", "l", "line")

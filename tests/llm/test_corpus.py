@@ -472,6 +472,14 @@ def test_duplicate_lines_of_one_group(spark):
     assert {r.doc_id: (r.n_lines, r.removed) for r in found.collect()} == brute_lines(list(enumerate(texts)))
 
 
+def test_lines_are_coded_once(spark):
+    """Blank lines are left out without hashing the words of every line a second time."""
+    texts = ["a b a", "  \n\n x  y \n\t\n", " ", "", None, "\u00a0", "A B"]
+    coded = lines._lines(docs(spark, texts), "doc_id", "text")
+    assert coded._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
+    assert sorted((r.d, r.l, len(r.words)) for r in coded.collect()) == [(0, 0, 2), (1, 2, 2), (1, 3, 1), (5, 0, 1), (6, 0, 2)]
+
+
 def test_duplicate_lines_without_ids(spark):
     """Rows without an id come first; rows alike in id and text are one document, others that share an id are not."""
     rows = [(None, "a b c\nd e f", 1), (None, "a b c\nd e f", 2), (3, "d e f\nx", 3), (3, "y y\nx", 4), (3, None, 5), (1, "a b c", 6), (4, "x\nq", 7)]
